@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, media, packing, quality, toxicity
+from . import bpe, exact_dedup, langid, media, packing, quality, secrets, toxicity
 from .base import documents
 
 
@@ -36,11 +36,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op4_media, op5_exact_dedup, op7_toxicity, op8_bpe, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op4_media, op5_exact_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
