@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, media, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, toxicity
 from .base import documents
 
 
@@ -19,6 +19,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train_fold(docs))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir), size=3, percent=90)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(documents(spark, sf_dir))
 
@@ -46,6 +50,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op4_media, op5_exact_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op3_ngram_jaccard, op4_media, op5_exact_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
