@@ -121,13 +121,13 @@ def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
 
 def _pick(node: int, doc: int | None) -> int:
     """What the bitmap holds of a class and the document that stands for it."""
-    return (node ^ ((doc or 0) * 0x9E3779B1)) & 0x7FFFFFFFFFFFFFFF
+    return node ^ (doc or 0)
 
 
 def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) that are as alike as the threshold."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    spokesmen = classes.join(ends, "node", "left_semi").select(F.col("node").bitwiseXOR(F.coalesce("id", F.lit(0)) * 0x9E3779B1).bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("k"))
+    spokesmen = classes.join(ends, "node", "left_semi").select(F.col("node").bitwiseXOR(F.coalesce("id", F.lit(0))).alias("k"))
     wanted = rows.sparkSession.sparkContext.broadcast(bitmap(spokesmen, "k"))
     parts = _fragments(rows, size, wanted)
     left = pairs.join(parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("keys").alias("keys_a")), "a")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, toxicity
+from . import bpe, exact_dedup, jaccard, langid, media, packing, quality, secrets, substring, toxicity
 from .base import documents
 
 
@@ -31,6 +31,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
@@ -50,6 +54,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, documents(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op3_ngram_jaccard, op4_media, op5_exact_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op3_ngram_jaccard, op4_media, op5_exact_dedup, op6_substring_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE}
