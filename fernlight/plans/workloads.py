@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import cosine
 from ..operators import catalog, filters, fusion, keyword
+from ..sources import embeddings, markdown
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -494,3 +495,78 @@ def catalog_stats(spark, sf):
     docs, links = _resolved(spark, sf)
     ch, queue = _queue_tables(spark, sf)
     return catalog.statistics(docs, ch, links, queue)
+
+
+# Markdown: documents become files with front matter, headings, a fence and links, by the same text in both engines
+
+_SETTINGS = {"cjk_char_per_token": 1.6, "target_tokens": 60, "max_tokens": 120, "tier_boost": TIERS, "exclude_flags": ["hidden"]}
+_MD_SQL = """md AS (SELECT doc_id, lang || '/' || doc_id || '.md' AS path, '---' || chr(10) || 'title: T' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || 'rank: ' || (doc_id % 5) || chr(10) || 'tags: [a, ' || source || ', a]' || chr(10) || '---' || chr(10) AS front,
+  '# Head ' || doc_id || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || chr(10) || '## Links' || chr(10) || '[[doc-' || ((doc_id * 7) % 1200) || '#part|name]] and [x](../' || source || '/' || (doc_id + 1) || '.md#a) and ![i](no.md) and ^[' || lang || '/' || (doc_id + 2) || '.md] and [e](https://example.org/' || doc_id || ')' || chr(10) || '```' || chr(10) || '[[fenced]]' || chr(10) || '```' || chr(10) AS body FROM documents)"""
+
+
+def _markdown(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents")
+    n, nl = F.col("doc_id"), F.lit("\n")
+    s = lambda c: c.cast("string")
+    front = F.concat(F.lit("---\ntitle: T"), s(n), F.lit("\nlang: "), "lang", F.lit("\nrank: "), s(n % 5), F.lit("\ntags: [a, "), "source", F.lit(", a]\n---\n"))
+    links = F.concat(
+        F.lit("[[doc-"), s(n * 7 % 1200), F.lit("#part|name]] and [x](../"), "source", F.lit("/"), s(n + 1), F.lit(".md#a) and ![i](no.md) and ^["), "lang", F.lit("/"), s(n + 2), F.lit(".md] and [e](https://example.org/"), s(n), F.lit(")\n")
+    )
+    body = F.concat(F.lit("# Head "), s(n), nl, F.replace("text", nl, F.lit("\n\n")), F.lit("\n## Links\n"), links, F.lit("```\n[[fenced]]\n```\n"))
+    return d.select("doc_id", F.concat("lang", F.lit("/"), s(n), F.lit(".md")).alias("path"), F.concat(front, body).alias("text"))
+
+
+def _parsed(spark, sf) -> DataFrame:
+    return markdown.parse_texts(_markdown(spark, sf), _SETTINGS)
+
+
+@query(f"WITH {_MD_SQL} SELECT path, 'T' || doc_id AS title, sha256(front || body) AS content_hash, (doc_id % 5)::VARCHAR AS rank, array_to_string(list_distinct_keep, ',') AS tags FROM (SELECT md.*, ['a', source] AS list_distinct_keep FROM md JOIN documents USING (doc_id))")
+def frontmatter_split(spark, sf):
+    return _parsed(spark, sf).select("path", "title", "content_hash", F.get_json_object("facets", "$.rank").alias("rank"), F.array_join("tags", ",").alias("tags"))
+
+
+_LINK_SQL = {
+    "wikilinks": ("wikilink", "SELECT path, 'doc-' || ((doc_id * 7) % 1200) || '#part|name' AS raw_target, 'doc-' || ((doc_id * 7) % 1200) AS normalized_target, 'part' AS anchor, 'name' AS alias FROM md"),
+    "mdlinks": ("mdlink_relative", "SELECT path, '../' || source || '/' || (doc_id + 1) || '.md#a' AS raw_target, source || '/' || (doc_id + 1) || '.md' AS normalized_target, 'a' AS anchor, 'x' AS alias FROM md JOIN documents USING (doc_id)"),
+    "footnotes": ("footnote_source", "SELECT path, lang || '/' || (doc_id + 2) || '.md' AS raw_target, lang || '/' || (doc_id + 2) || '.md' AS normalized_target, NULL::VARCHAR AS anchor, NULL::VARCHAR AS alias FROM md JOIN documents USING (doc_id)"),
+    "external_links": ("external", "SELECT path, 'https://example.org/' || doc_id AS raw_target, 'https://example.org/' || doc_id AS normalized_target, NULL::VARCHAR AS anchor, 'e' AS alias FROM md"),
+}
+
+
+def _links_of(name: str, kind: str, sql: str):
+    def run(spark, sf):
+        rows = _parsed(spark, sf).select("path", F.explode("links").alias("l")).where(F.col("l.kind") == kind)
+        return rows.select("path", "l.raw_target", "l.normalized_target", "l.anchor", "l.alias")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH {_MD_SQL} {sql}"
+
+
+for _name, (_kind, _sql) in _LINK_SQL.items():
+    _links_of(_name, _kind, _sql)
+
+
+@query()
+def markdown_chunks(spark, sf):
+    rows = _parsed(spark, sf).select("path", F.explode("chunks").alias("c"))
+    return rows.select("path", "c.seq", F.array_join("c.heading_path", " > ").alias("heading_path"), "c.anchor", "c.token_est", "c.content_hash")
+
+
+@query(rf"""WITH {_MD_SQL}, l AS (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM md),
+f AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY n) AS fences FROM l)
+SELECT path, count(*) FILTER (WHERE NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^#{{1,6}}\s+\S')) AS headings FROM f GROUP BY path""")
+def sections(spark, sf):
+    heads = F.size(F.array_distinct(F.transform(F.filter("chunks", lambda c: c["seq"] > 0), lambda c: F.array_join(c["heading_path"], ">"))))
+    return _parsed(spark, sf).select("path", heads.cast("long").alias("headings"))
+
+
+@query(f"WITH {_MD_SQL} SELECT path, 'Head ' || doc_id AS heading FROM md")
+def first_heading(spark, sf):
+    return _markdown(spark, sf).select("path", T.first_heading(F.col("text")).alias("heading"))
+
+
+@query()
+def embed_batches(spark, sf):
+    pending = chunks(spark, sf).select(F.col("path").alias("chunk_uid"), F.md5("body").alias("content_hash"), "body", T.estimate_tokens(F.col("body")).cast("long").alias("token_est"))
+    settings = {"provider": "local", "dimensions": 32, "batch_size": 16, "max_batch_tokens": 3000, "max_input_tokens": 800}
+    return embeddings.embed(pending, settings).select("chunk_uid", "content_hash", F.size("vector").alias("dimensions"), "error")
