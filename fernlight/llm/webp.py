@@ -134,7 +134,7 @@ class Bits:
 
 def decode(data: bytes) -> np.ndarray:
     """Pixels (height, width) of one lossless image."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
+    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP image")
     (size,) = struct.unpack_from("<I", data, 16)
     bits = Bits(data[20 : 20 + size])

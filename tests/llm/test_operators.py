@@ -1,0 +1,421 @@
+"""Each operator against brute force, a round trip or held-out labels, and on odd rows and empty tables."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from fernlight.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, queries, secrets, substring, toxicity, webp
+from fernlight.llm.base import documents
+
+from ..compare import assert_same, database
+from .conftest import ODD
+
+SF = "/root/testdata/sf0.001"
+TEXTS = [r[1] or "" for r in ODD]
+
+
+def texts_of(spark, sf=SF):
+    return {r.doc_id: r.text or "" for r in documents(spark, sf).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    assert_same(queries.QUERIES[name](spark, SF).toArrow(), database(SF).execute(queries.ORACLE_SQL[name]).to_arrow_table())
+
+
+# 1 packing
+
+
+def check_packing(rows, texts, length):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+    assert set(by_doc) == set(want)
+    for i, pieces in by_doc.items():
+        at = 0
+        for p in sorted(pieces, key=lambda p: p.start):
+            part = np.array(want[i][p.start : p.start + p.length], "<u4").tobytes()
+            assert p.start == at and p.length > 0 and p.ids_crc32 == zlib.crc32(part) and p.doc_tokens == len(want[i])
+            at += p.length
+        assert at == len(want[i])
+    for s in by_sequence.values():
+        at = 0
+        for p in sorted(s, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at == length or at < length and at & (at - 1) == 0
+
+
+def test_packing(spark, odd, none):
+    check_packing(queries.op1_packing(spark, SF).collect(), texts_of(spark), 2048)
+    unique = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    check_packing(packing.pack(unique, length=64, open_limit=2).collect(), {r.doc_id: r.text or "" for r in unique.collect()}, 64)
+    assert packing.pack(odd).groupBy().sum("length").first()[0] == sum(len(packing.tokens(public_tokenizers.path("byte_bpe_50k.json")).encode(t)) // 4 + 1 for t in TEXTS)
+    assert packing.pack(none).count() == 0
+
+
+def test_sum_of_squares_choice():
+    rng = random.Random(3)
+    p = packing.SumOfSquares(32, 100)
+    for _ in range(400):
+        size = rng.randint(1, 31)
+        counts = p.count.copy()
+        level = p.level(size)
+
+        def squares(h, counts=counts, size=size):
+            c = counts.copy()
+            c[h] -= h > 0
+            if h + size < 32:
+                c[h + size] += 1
+            return int((c[1:32] ** 2).sum())
+
+        open_levels = [h for h in range(1, 33 - size) if counts[h]]
+        assert squares(level) == min(map(squares, [0, *open_levels]))
+        list(p.add((1, 0, bytes(4 * size), size)))
+
+
+# 2 language
+
+
+def test_language(spark, odd, none):
+    rows = queries.op2_langid(spark, SF).join(documents(spark, SF).select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert held and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert not any(r.rejected for r in rows)
+    model = langid.train_fold(odd)
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd, model).collect()}
+    assert {(3, "und"), (4, "und"), (5, "und"), (-5, "und")} <= got and (7, "es") in got
+    assert langid.identify(none, langid.train_fold(none)).count() == 0
+    assert {r.lang_pred for r in langid.identify(odd, langid.train_fold(none)).collect()} == {"und"}
+    kept = langid.keep_identified(odd, model)
+    assert kept.columns == odd.columns and {3, 4, 5, -5}.isdisjoint({r.doc_id for r in kept.collect()})
+
+
+def test_kneser_ney_sums_to_one():
+    words = ["abab", "abc", "ca", "bb"]
+    of, _ = langid.grams(words)
+    kinds, n = np.unique(of, axis=0, return_counts=True)
+    model = langid.Model.of({"x": (kinds, n)})
+    letters = sorted({*"abc", langid._END})
+    for context in ("\x02\x02\x02\x02", "\x02\x02\x02a", "\x02\x02ab", "zzzz"):
+        p = np.exp(model.log_p(np.array([[*map(ord, context), ord(c)] for c in letters], np.uint32)))[:, 0]
+        assert p.sum() + model.unknown[0] * 1 == pytest.approx(1, abs=0.05)
+        assert (p > 0).all()
+
+
+# 3 Jaccard
+
+
+def components_by_force(texts, size, percent):
+    sets, seen, parent = {}, defaultdict(list), {i: i for i in texts}
+    for i, t in texts.items():
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        sets[i] = {tuple(w)} if 0 < len(w) < size else {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sorted(sets):
+        common = Counter(j for s in sets[i] for j in seen[s])
+        for s in sets[i]:
+            seen[s].append(i)
+        for j, n in common.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def test_jaccard(spark, none):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op3_ngram_jaccard(spark, SF).collect()}
+    assert got == components_by_force(texts_of(spark), 3, 90)
+    assert jaccard.similar(none).count() == 0
+
+
+def test_jaccard_chains_and_odd_rows(spark, odd):
+    rng = random.Random(4)
+    base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+    texts = {}
+    for i in range(60):  # each a small change of the one before, so that the ends of the chain differ
+        if i % 20 == 0:
+            base = [f"w{rng.randint(0, 400)}" for _ in range(80)]
+        base[rng.randrange(80)] = f"v{i}"
+        texts[i] = " ".join(base)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(rows, size=3, percent=90).collect()}
+    assert got == components_by_force(texts, 3, 90)
+    found = sorted(((r.doc_id, r.component_id) for r in jaccard.similar(odd).collect()), key=repr)
+    assert len(found) == len(ODD) and {(1, 1), (2, 1), (6, 6), (7, 6), (8, 8), (None, None), (3, 3), (4, 4)} <= set(found)
+    kept = jaccard.drop_similar(odd)
+    assert kept.columns == odd.columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == sorted(map(repr, [1, 3, 4, 5, 6, 8, 8, None, None, -5, 9]))
+
+
+# 4 media
+
+
+def test_webp_transforms():
+    rng = np.random.default_rng(0)
+    for h, w in ((1, 1), (5, 7), (16, 16), (33, 20)):
+        blocks = (-(-h >> 2), -(-w >> 2))
+        noise = rng.integers(0, 1 << 32, (h, w), dtype=np.uint64).astype(np.uint32)
+        few = np.uint32(webp.BLACK) | rng.integers(0, 5, (h, w)).astype(np.uint32) * np.uint32(0x10101)
+        for pixels in (noise, few):
+            modes, cross, groups = rng.integers(0, 14, blocks), rng.integers(0, 1 << 24, blocks).astype(np.uint32), rng.integers(0, 3, blocks)
+            for options in ({}, {"subtract_green": True}, {"cache_bits": 4}, {"cache_bits": 3, "references": False}, {"predictor": modes}, {"cross_colour": cross}, {"palette": pixels is few}, {"groups": groups}, {"predictor": modes, "cross_colour": cross, "subtract_green": True, "cache_bits": 5, "groups": groups}):
+                assert np.array_equal(webp.decode(webp.encode(pixels, **options)), pixels), (h, w, options)
+
+
+def test_webp_rejects_what_is_broken():
+    good = webp.encode(np.full((4, 4), webp.BLACK, np.uint32))
+    for bad in (b"", b"RIFF" + bytes(30), good[:20] + b"\0" + good[21:]):
+        with pytest.raises(ValueError):
+            webp.decode(bad)
+    with pytest.raises(ValueError):
+        webp.Code((1, 1, 1))
+
+
+def test_media(spark, odd, none):
+    for data in (b"", b"a" * 63, b"ab" * 8192, bytes(range(256)) * 64, bytes(20_000) + b"x", LONG_BYTES):
+        p = media.payload(data)
+        assert len(p) % 64 == 0 and p and media.read(media.store(p)).tobytes() == p
+    for r in media.digests(odd).collect():
+        if r.doc_id is not None:
+            p = media.payload(next(t for t, x in zip(TEXTS, ODD, strict=True) if x[0] == r.doc_id).encode())
+            assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+    assert media.digests(none).count() == 0
+    stored = media.to_media(odd.where("doc_id = 1"))
+    pixels = media.to_pixels(stored).first()
+    assert pixels.width == 64 and bytes(x >> 8 & 255 for x in pixels.pixels)[:5] == b"alpha"
+
+
+LONG_BYTES = bytes(random.Random(1).choices(b"abcdefgh \n", k=1 << 21))
+
+
+# 5 exact copies
+
+
+def test_exact(spark, odd, none):
+    got = exact_dedup.exact_dedup(odd).collect()
+    groups = defaultdict(list)
+    for r, t in zip(ODD, TEXTS, strict=True):
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", t)].append(r[0])
+    assert len(got) == len(ODD) and sum(r.kept for r in got) == len(groups)
+    for r in got:
+        ids = next(v for k, v in groups.items() if hashlib.sha256(k.encode()).hexdigest() == r.text_sha256)
+        known = [i for i in ids if i is not None]
+        assert r.group_size == len(ids) and r.keep_id == (min(known) if known else None) and (not r.kept or r.doc_id == r.keep_id)
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == odd.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+
+
+def test_exact_hot_text(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"own {i}") for i in range(900)], "doc_id long, text string").repartition(6)
+    assert [tuple(r) for r in exact_dedup.heavy_winners(rows.select(exact_dedup.digest(rows.text).alias("digest"), exact_dedup._key("doc_id").alias("key"))).select("first.id", "size").collect()] == [(1, 600)]
+    assert exact_dedup.drop_copies(rows).count() == 301
+
+
+# 6 repeated passages
+
+
+def removed_by_force(texts, size=13):
+    first, out = {}, {}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()}
+    for i in sorted(words):
+        for k in range(len(words[i]) - size + 1):
+            first.setdefault(tuple(words[i][k : k + size]), i)
+    for i, w in words.items():
+        gone = {k + d for k in range(len(w) - size + 1) if first[tuple(w[k : k + size])] < i for d in range(size)}
+        out[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("crowded", [2000, 1])
+def test_substring(spark, odd, none, monkeypatch, crowded):
+    monkeypatch.setattr(substring, "CROWDED", crowded)
+    rng = random.Random(5)
+    vocabulary = ["a", "b", "c", "dd", "eé"]  # few words, so that windows repeat by chance and within one document
+    passages = [[rng.choice(vocabulary) for _ in range(rng.randint(5, 40))] for _ in range(12)]
+    texts = {i * 3: " ".join(w for _ in range(rng.randint(0, 5)) for w in rng.choice(passages) + [rng.choice(vocabulary)]) for i in range(50)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(rows).collect()}
+    assert got == removed_by_force(texts)
+    if crowded > 1:
+        found = substring.remove_repeats(odd).collect()
+        assert len(found) == len(ODD)
+        n = {r.doc_id: r.n_removed for r in found}
+        assert n[2] == 15 and n[7] == 36_000 and n[1] == n[6] == n[3] == n[8] == n[None] == 0
+        assert substring.remove_repeats(none).count() == 0
+
+
+def test_automaton():
+    rng = random.Random(6)
+    texts = [[rng.randint(0, 2) for _ in range(rng.randint(0, 30))] for _ in range(20)]
+    a = substring.Automaton()
+    for i, t in enumerate(texts):
+        a.add(t, 100 - i)
+    a.close()
+    for q in [[rng.randint(0, 2) for _ in range(40)], *texts]:
+        want = [min((100 - i for i, t in enumerate(texts) for j in range(len(t) - 3) if t[j : j + 4] == q[k : k + 4]), default=substring.NONE) for k in range(len(q) - 3)]
+        assert a.windows(q, 4) == want
+
+
+# 7 and 10: classifiers
+
+
+def held_out(spark, rows, label, folds, fold, sf):
+    found = rows.join(documents(spark, sf, "labels"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) and 0 <= r.score <= 1 for r in found)
+    found = [r for r in found if r.held_out]
+    yes, no = ([r.score for r in found if r[label] == k] for k in (1, 0))
+    return sum((a > b) + 0.5 * (a == b) for a in yes for b in no) / (len(yes) * len(no))
+
+
+def test_toxicity(spark, odd, none):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), documents(spark, sf, "labels")
+    crf = toxicity.train(docs, labels, most=3000)
+    assert held_out(spark, toxicity.score(docs.join(labels, "doc_id", "left_semi"), crf), "toxic", 4, 2, sf) > 0.85
+    rows = toxicity.score(odd, crf).collect()
+    assert len(rows) == len(ODD) and all(r.predicted == (r.score >= 0.3) for r in rows)
+    assert toxicity.score(none, crf).count() == 0
+    plain = toxicity.train(none, labels.where("false"))
+    assert {round(r.score, 6) for r in toxicity.score(odd, plain).collect()} == {0.5}
+    text = "this is a stupid idiot and nothing else"
+    rows = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    found = {r.doc_id: [text[s.start : s.end] for s in r.spans] for r in toxicity.spans(rows, crf).collect()}
+    assert found[2] == [] and "idiot" in " ".join(found[1])
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 0, 5, 1])
+    e, t = rng.normal(size=lengths.sum()), rng.normal(size=(2, 2))
+    got, at = toxicity.marginals(e, lengths, t), 0
+    for n in lengths:
+        total, on = 0.0, np.zeros(n)
+        for code in range(1 << n):
+            y = [code >> k & 1 for k in range(n)]
+            w = np.exp(sum(e[at + k] * y[k] for k in range(n)) + sum(t[y[k], y[k + 1]] for k in range(n - 1)))
+            total += w
+            on += w * np.array(y)
+        assert np.allclose(got[at : at + n], on / total)
+        at += n
+
+
+def test_quality(spark, odd, none):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = documents(spark, sf), documents(spark, sf, "labels")
+    machine = quality.train(docs, labels)
+    assert held_out(spark, quality.score(docs, machine), "quality", 3, 1, sf) > 0.9
+    rows = quality.score(odd, machine).collect()
+    assert len(rows) == len(ODD) and all(r.predicted == (r.score >= 0.5) for r in rows)
+    assert quality.score(none, machine).count() == 0
+    assert {round(r.score, 6) for r in quality.score(odd, quality.train(none, labels.where("false"))).collect()} == {0.5}
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(2)
+    size = quality.BUCKETS + quality.STATISTICS
+    m = quality.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.RANK)), np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS))
+    doc, bucket, value, stats = quality.inputs(["some words and some more", ""])
+    got = m.sums(doc, bucket, value, stats)[0]
+    for d in range(2):
+        x = np.zeros(size)
+        x[bucket[doc == d]] = value[doc == d]
+        x[quality.BUCKETS :] = np.clip(stats[d], -4, 4) / np.sqrt(quality.STATISTICS)
+        some = np.flatnonzero(x)
+        pairs = sum(m.factors[i] @ m.factors[j] * x[i] * x[j] for n, i in enumerate(some) for j in some[:n])
+        assert got[d] == pytest.approx(0.3 + m.weights @ x + pairs)
+
+
+# 8 byte-level BPE
+
+
+def test_bpe(spark, odd, none):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, decoder = bpe.codec(path)
+    rng = random.Random(7)
+    samples = ["".join(rng.choices("aab  \n\t é漢字かなカ한😀👩‍👧ßç0123'’s.,!?ΩжЯ\x1c\x85　the and ing", k=rng.randint(0, 60))) for _ in range(600)]
+    samples += ["".join(rng.choices(["th", "er", "tion", "a", "zz"], k=900)), " " * 3000, "<|endoftext|>", *TEXTS]
+    samples += ["".join(chr(rng.choice([rng.randint(0, 0x2FF), rng.randint(0x300, 0xD7FF), rng.randint(0x10000, 0x1FFFF)])) for _ in range(20)) for _ in range(300)]
+    for s in samples:
+        ids = encoder.encode(s)
+        assert ids == want.encode_ordinary(s)
+        assert b"".join(decoder.feed([i]) for i in ids) + decoder.end() == s.encode()
+    for r in bpe.round_trip(odd.where("doc_id = 9")).collect():
+        t = ODD[-1][1]
+        ids = want.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert bpe.round_trip(odd).count() == len(ODD) and bpe.round_trip(none).count() == 0
+    back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(odd.where("doc_id in (1, 3, 9)"))).collect()}
+    assert back == {1: ODD[0][1], 3: "", 9: ODD[-1][1]}
+
+
+def test_apart_and_utf8():
+    encoder, _ = bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    v, rng = encoder.vocabulary, random.Random(8)
+    for _ in range(3000):
+        a, b = rng.randrange(v.size), rng.randrange(v.size)
+        if v.merge(v.bytes[a]) == [a] and v.merge(v.bytes[b]) == [b]:
+            assert v.apart(a, b) == (v.merge(v.bytes[a] + v.bytes[b]) == [a, b])
+    for _ in range(3000):
+        data = bytes(rng.choices([0x41, 0x80, 0xBF, 0xC2, 0xE0, 0xA0, 0xED, 0xF0, 0x90, 0xF4, 0xFF], k=6))
+        cut = rng.randint(0, 6)
+        one, held = bpe.utf8_step(b"", data[:cut])
+        two, held = bpe.utf8_step(held, data[cut:])
+        assert (one + two + (b"\xef\xbf\xbd" if held else b"")).decode() == data.decode("utf-8", "replace")
+
+
+# 9 secrets
+
+
+def spans_by_force(t):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32])
+
+
+def test_secrets(spark, odd, none):
+    rng = random.Random(9)
+    parts = ["password", "PassWd=", "secret", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "AKIA", "ABCDEF0123456789", "deadbeef" * 5, "abc", "x.y/z", "\n", "é", "ſecret=abcdefghij", "K"]
+    for _ in range(3000):
+        t = "".join(rng.choices(parts, k=12))
+        assert secrets.base_spans(t, secrets.runs(t)) == spans_by_force(t)
+    net = secrets.train(documents(spark, SF))
+    for r in secrets.scan(documents(spark, SF), net).join(documents(spark, SF).select("doc_id", "text"), "doc_id").collect():
+        base = spans_by_force(r.text)
+        assert r.base_sha256 == hashlib.sha256(secrets.label(base).encode()).hexdigest() and [r.n_assign, r.n_access, r.n_hex] == [sum(k == i for _, k, _ in base) for i in range(3)]
+    text = "deploy with ghp_" + "a8Kd93LmQz71Xw0PbVn5Rt2Yc6Hs4Jf8Gu1E now"
+    (_, whole), (_, clean) = secrets.all_spans([text, "an-ordinary-hyphened-compound-word and https/docs/readme/index.html"], net)
+    assert [text[a:b] for a, _, b in whole] == [text[12:-4]] and clean == []
+    assert secrets.scan(odd, net).count() == len(ODD) and secrets.scan(none, net).count() == 0
+    new = secrets.redact(odd, net)
+    assert new.columns == odd.columns
+    changed = next(r for r in new.collect() if r.doc_id == 9)
+    assert "abcdefgh" not in changed.text and "[secret]" in changed.text and changed.n_chars == len(changed.text)
+    assert secrets.redact(none, secrets.train(none)).count() == 0
+
+
+def test_mask():
+    assert secrets.mask("abcdefghij", [(1, 0, 3), (2, 2, 5), (7, 0, 8)], "_") == "a_fg_ij"
