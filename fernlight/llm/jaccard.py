@@ -1,14 +1,16 @@
 """A similarity join of documents on their sets of word n-grams, partitioned vertically.
 
-All n-grams have one global order: rare ones by hash, then those that a broadcast list names as frequent, by frequency.
-Equal sets are one class. Two sets as alike as the threshold share an n-gram among their first few in that order; the
-classes that share one are first compared with the smallest of them, and only those that are still in different
-components with each other. For every pair, the order is cut into fragments: the overlap is counted in each fragment by
-itself and summed. Overlaps are exact counts.
+All n-grams have one global order: rare ones first by the counts of a broadcast sketch of fixed size, and by hash. Equal
+sets are one class. Two sets as alike as the threshold share an n-gram among their first few in that order; the classes
+that share one are first compared with the smallest of them, and only those that are still in different components with
+each other. For every pair, the hashes are cut into fragments: the overlap is counted in each fragment by itself and
+summed. The first fragments alone already tell most pairs apart, when they differ in more n-grams than the whole sets
+may; only the other pairs meet in all fragments. Overlaps are exact counts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,8 @@ from .components import components
 from .hashing import bitmap, in_bitmap, mix, shingles
 
 FRAGMENTS = 8
-#: Frequent n-grams are in one of so many documents at least, so there are at most so many times the mean set size.
-FREQUENT = 1000
-#: Documents whose n-grams are counted together when looking for frequent ones.
-CHUNK = 1024
+#: Counters of the sketch and counters in one of its blocks. A broadcast counter is one byte: 4 MB.
+COUNTERS, BLOCK = 1 << 22, 1 << 16
 
 
 def _words(text: str) -> list[bytes]:
@@ -39,57 +39,101 @@ def _sum(found: np.ndarray) -> int:
     return int(total.view(np.int64)[0]) or 1
 
 
-def frequent(rows: DataFrame, size: int) -> np.ndarray:
-    """Frequent n-grams' hashes from the rarest to the most common; rows: text. Every document counts."""
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def _survey(rows: DataFrame, size: int) -> DataFrame:
+    """Two kinds of rows: id, n, node of every document (node 0 for an empty set), and blocks of each partition's sketch."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, CHUNK):
+        counts = np.zeros(COUNTERS, np.int32)
+        for batch in slices(batches):
             found = [shingles(_words(t), size) for t in batch.column("text").to_pylist()]
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            some = n >= max(4, batch.num_rows // FREQUENT)
-            yield rows_of({"h": h[some].view(np.int64), "n": n[some]}, schema)
+            for f in found:
+                np.add.at(counts, _counter(f), 1)
+            k = batch.num_rows
+            yield rows_of({"id": batch.column("id").to_pylist(), "n": list(map(len, found)), "node": [_sum(f) if len(f) else 0 for f in found], "block": [None] * k, "counts": [None] * k}, schema)
+        full = [(i, c) for i, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
+        none = [None] * len(full)
+        yield rows_of({"id": none, "n": none, "node": none, "block": [i for i, _ in full], "counts": [zlib.compress(c.tobytes(), 1) for _, c in full]}, schema)
+
+    return rows.mapInArrow(run, "id long, n long, node long, block int, counts binary")
+
+
+def _counter(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(7)) & np.uint64(COUNTERS - 1)
+
 
-    total = rows.count()
-    counted = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, total // FREQUENT))
-    table = counted.orderBy("n", "h").toArrow()
-    return table.column("h").to_numpy().astype(np.int64).view(np.uint64)
+def _sketch(blocks: DataFrame) -> np.ndarray:
+    """Blocks added up, each in one task that holds its sums alone; counters as logarithms in a byte."""
+    schema = pa.schema([("block", pa.int32()), ("levels", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in slices(batches, 64):
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                own = total.setdefault(block, np.zeros(BLOCK, np.int64))
+                own += np.frombuffer(zlib.decompress(counts), np.int32)
+        levels = [np.minimum(255, np.round(7 * np.log2(1 + t))).astype(np.uint8).tobytes() for t in total.values()]
+        yield rows_of({"block": list(total), "levels": levels}, schema)
+
+    out = np.zeros(COUNTERS, np.uint8)
+    for block, levels in blocks.repartition(COUNTERS // BLOCK, "block").mapInArrow(run, "block int, levels binary").collect():
+        out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(levels, np.uint8)
+    return out
 
 
-class Order:
-    """The global order of n-grams."""
+def _first(found: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarray:
+    """As many n-grams, in the global order, as must hold one that any set alike enough shares."""
+    n = len(found)
+    most = n - -(-percent * n // 100) + 1
+    return found[np.argsort(sketch[_counter(found)], kind="stable")[:most]]
 
-    def __init__(self, common: np.ndarray):
-        self.sorted = np.sort(common)
-        self.rank = np.argsort(common, kind="stable")  # by frequency, of each sorted hash
 
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """Sortable keys: hashes of rare n-grams halved, above them the ranks of frequent ones."""
-        keys = found >> np.uint64(1)
-        if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
-            common = self.sorted[at] == found
-            keys = np.where(common, np.uint64(1 << 63) + self.rank[at].astype(np.uint64), keys)
-        return keys
+def _probe_cut(percent: int) -> int:
+    """Fragments in which unlike sets already differ in more n-grams than whole sets that link may."""
+    return min(FRAGMENTS, -(-13 * FRAGMENTS * (100 - percent) // (10 * (100 + percent))))
 
-    def first(self, found: np.ndarray, percent: int) -> np.ndarray:
-        """As many n-grams as must hold one that any set alike enough shares."""
-        n = len(found)
-        most = n - -(-percent * n // 100) + 1
-        return found[np.argsort(self.keys(found), kind="stable")[:most]] if n else found
 
+def _keys(piece: np.ndarray) -> np.ndarray:
+    """The 32 bits after those that name the fragment."""
+    return (piece >> np.uint64(29)).astype(np.uint32).view(np.int32)
 
-def _read(rows: DataFrame, size: int, percent: int, common) -> DataFrame:
-    """id, n, node, first of every row; node 0 for an empty set."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64()))])
+
+def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFrame:
+    """node, n, first, probe of one document of each class: its first n-grams, and the keys of its first fragments."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int32()))])
+    cut = _probe_cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(common.value)
+        some, levels = np.frombuffer(wanted.value, np.uint8), sketch.value
         for batch in slices(batches):
-            found = [shingles(_words(t), size) for t in batch.column("text").to_pylist()]
-            yield rows_of({"id": batch.column("id").to_pylist(), "n": list(map(len, found)), "node": [_sum(f) if len(f) else 0 for f in found], "first": [order.first(f, percent).view(np.int64) for f in found]}, schema)
+            node, count, first, probe = [], [], [], []
+            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = shingles(_words(text), size)
+                own = _sum(found) if len(found) else 0
+                if own and in_bitmap(some, np.array([_pick(own, doc)]))[0]:
+                    node.append(own)
+                    count.append(len(found))
+                    first.append(_first(found, percent, levels).view(np.int64))
+                    probe.append(_keys(found[: np.searchsorted(found, np.uint64(cut << 61))] if cut < FRAGMENTS else found))
+            yield rows_of({"node": node, "n": count, "first": first, "probe": probe}, schema)
+
+    return rows.mapInArrow(run, "node long, n long, first array<long>, probe array<int>")
+
+
+def _shared(heads: DataFrame, wanted) -> DataFrame:
+    """gram, node: first n-grams that the bitmap holds."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64())])
 
-    return rows.mapInArrow(run, "id long, n long, node long, first array<long>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.frombuffer(wanted.value, np.uint8)
+        for batch in slices(batches, 4096):
+            column = batch.column("first")
+            gram = column.flatten().to_numpy()
+            node = np.repeat(batch.column("node").to_numpy(), np.diff(column.offsets.to_numpy()))
+            hit = in_bitmap(some, gram)
+            yield rows_of({"gram": gram[hit], "node": node[hit]}, schema)
+
+    return heads.select("node", "first").mapInArrow(run, "gram long, node long")
 
 
 def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
@@ -113,7 +157,7 @@ def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
                         node.append(own)
                         count.append(len(found))
                         part.append(k)
-                        keys.append((piece >> np.uint64(29)).astype(np.uint32).view(np.int32))  # the 32 bits after the fragment's
+                        keys.append(_keys(piece))
             yield rows_of({"node": node, "n": count, "part": part, "keys": keys}, schema)
 
     return rows.mapInArrow(run, "node long, n long, part int, keys array<int>")
@@ -124,16 +168,24 @@ def _pick(node: int, doc: int | None) -> int:
     return node ^ (doc or 0)
 
 
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _pick_column(node: str = "node", doc: str = "id"):
+    return F.col(node).bitwiseXOR(F.coalesce(doc, F.lit(0)))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Those pairs (a, b) that are as alike as the threshold."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    spokesmen = classes.join(ends, "node", "left_semi").select(F.col("node").bitwiseXOR(F.coalesce("id", F.lit(0))).alias("k"))
-    wanted = rows.sparkSession.sparkContext.broadcast(bitmap(spokesmen, "k"))
-    parts = _fragments(rows, size, wanted)
-    left = pairs.join(parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("keys").alias("keys_a")), "a")
-    right = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("keys").alias("keys_b"))
-    alike = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    each = left.join(right, ["b", "part"]).where(alike).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("keys_a", "keys_b")).alias("common"))
+    share = rows.sparkSession.sparkContext.broadcast
+    one = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
+    two = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
+    apart = F.size("probe_a") + F.size("probe_b") - 2 * F.size(F.array_intersect("probe_a", "probe_b"))
+    may = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+    left = staged(pairs.join(one, "a").join(two, "b").where(may).select("a", "b").distinct(), "pairs")
+    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    spokesmen = classes.join(ends, "node", "left_semi").select(_pick_column().alias("k"))
+    parts = staged(_fragments(rows, size, share(bitmap(spokesmen, "k"))), "parts")
+    whole = left.join(parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("keys").alias("keys_a")), "a")
+    other = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("keys").alias("keys_b"))
+    each = whole.join(other, ["b", "part"]).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("keys_a", "keys_b")).alias("common"))
     # Rows that repeat a document bring the same fragment twice, hence max before sum.
     each = each.groupBy("a", "b", "n_a", "n_b", "part").agg(F.max("common").alias("common"))
     both = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
@@ -149,20 +201,23 @@ def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     rows. Nodes of the graph are 64-bit hashes of sets.
     """
     rows = id_and_text(docs, id_col, text_col)
-    common = docs.sparkSession.sparkContext.broadcast(frequent(rows.select("text"), size))
-    sets = staged(_read(rows, size, percent, common), "sets")
-    classes = staged(sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("first").alias("first")), "classes")
-    shared = classes.select("node", F.explode("first").alias("gram"))
-    leaders = shared.groupBy("gram").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    shared = staged(shared.join(leaders, "gram"), "shared")
-    near = classes.select("node", "id")
+    share = docs.sparkSession.sparkContext.broadcast
+    surveyed = staged(_survey(rows, size), "survey")
+    sets = surveyed.where("block IS NULL").select("id", "n", "node")
+    sketch = share(_sketch(surveyed.where("block IS NOT NULL").select("block", "counts")))
+    classes = staged(sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
+    heads = staged(_heads(rows, size, percent, sketch, share(bitmap(classes.select(_pick_column().alias("k")), "k"))), "heads")
+    leaders = heads.select("node", F.explode("first").alias("gram")).groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("nodes"))
+    leaders = staged(leaders.where("leader <> last").drop("last"), "leaders")
+    shared = staged(_shared(heads, share(bitmap(leaders, "gram"))).join(leaders, "gram"), "shared")
     pairs = staged(shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links = staged(_links(pairs, near, rows, size, percent), "links")
+    links = staged(_links(pairs, classes, heads, rows, size, percent), "links")
     found = components(links)
-    rest = staged(_unsettled(shared, classes.select("node", "n"), found, pairs, percent), "rest")
-    more = staged(_links(rest, near, rows, size, percent), "links")
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    rest = staged(_unsettled(shared, heads.select("node", "n"), found, pairs, percent), "rest")
+    if not rest.isEmpty():
+        more = staged(_links(rest, classes, heads, rows, size, percent), "links")
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = sets.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
     smallest = named.where("root <> 0").groupBy("root").agg(F.min("id").alias("component"))
     return named.join(smallest, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root") != 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
@@ -172,7 +227,7 @@ def _unsettled(shared: DataFrame, sizes: DataFrame, found: DataFrame, done: Data
     """Pairs of classes that share a first n-gram, have fitting sizes, lie in different components and weren't compared."""
     grams = shared.where("nodes > 2").select("gram", "node").join(sizes, "node").join(found, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    grams = grams.join(mixed, "gram", "left_semi")
+    grams = staged(grams.join(mixed, "gram", "left_semi"), "grams")
     other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     fit = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
     pairs = grams.join(other, "gram").where(fit).select(F.col("node").alias("a"), "b").distinct()
@@ -185,5 +240,6 @@ def drop_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_
     An id of several rows goes only if all of them are in components of smaller ids.
     """
     found = similar(docs, text_col=text_col, id_col=id_col, size=size, percent=percent)
-    gone = found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("__gone"))
+    # Written first, so that its size is known when the join is planned.
+    gone = staged(found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("__gone")), "gone")
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
