@@ -22,10 +22,13 @@ def trim(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    """Terms with repetition: lower case, split at everything but letters, digits and dots, cleaned, without stop words."""
-    parts = F.split(F.lower(c), "[^\\p{L}\\p{N}.]+")
-    clean = F.transform(parts, lambda t: F.regexp_replace(t, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+\\z", ""))
-    return F.filter(clean, lambda t: (t != "") & ~t.isin(*STOP_WORDS) & ~F.regexp_like(t, F.lit("^\\p{IsHan}\\z")))
+    """Terms with repetition: lower case, split at everything but letters, digits and dots, cleaned, without stop words.
+
+    After the split only dots are left to clean off, so no pattern runs on the parts but on those of one character.
+    """
+    parts = F.transform(F.split(F.lower(c), "[^\\p{L}\\p{N}.]+"), lambda t: F.btrim(t, F.lit(".")))
+    one_han = lambda t: (F.length(t) == 1) & F.regexp_like(t, F.lit("^\\p{IsHan}\\z"))
+    return F.filter(parts, lambda t: (t != "") & ~t.isin(*STOP_WORDS) & ~one_han(t))
 
 
 def query_terms(query: str) -> list[str]:
