@@ -2,8 +2,9 @@
 
 All n-grams have one global order: rare ones first by the counts of a broadcast sketch of fixed size, and by hash. Equal
 sets are one class. Two sets as alike as the threshold share an n-gram among their first few in that order; the classes
-that share one are first compared with the smallest of them, and only those that are still in different components with
-each other. For every pair, the hashes are cut into fragments: the overlap is counted in each fragment by itself and
+that share one are first compared with the one of the most common n-grams, and only those that are still in different components with
+each other. A pair whose n-grams before the shared one, in either set, are more than alike sets may have apart isn't
+compared at all. For every other pair, the hashes are cut into fragments: the overlap is counted in each fragment by itself and
 summed. The first fragments alone already tell most pairs apart, when they differ in more n-grams than the whole sets
 may; only the other pairs meet in all fragments. Overlaps are exact counts.
 """
@@ -81,11 +82,11 @@ def _sketch(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def _first(found: np.ndarray, percent: int, sketch: np.ndarray) -> np.ndarray:
-    """As many n-grams, in the global order, as must hold one that any set alike enough shares."""
-    n = len(found)
-    most = n - -(-percent * n // 100) + 1
-    return found[np.argsort(sketch[_counter(found)], kind="stable")[:most]]
+def _wanted(batch: pa.RecordBatch, wanted) -> list[str]:
+    """Texts of the documents that a bitmap of ids holds; those without an id too."""
+    ids = batch.column("id")
+    hit = in_bitmap(np.frombuffer(wanted.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+    return batch.column("text").filter(pa.array(hit)).to_pylist()
 
 
 def _probe_cut(percent: int) -> int:
@@ -99,41 +100,51 @@ def _keys(piece: np.ndarray) -> np.ndarray:
 
 
 def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFrame:
-    """node, n, first, probe of one document of each class: its first n-grams, and the keys of its first fragments."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int32()))])
+    """node, n, score, first, probe of one document of each class: how common its n-grams are, the first of them in order,
+    and the keys of its first fragments."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int32()))])
     cut = _probe_cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, levels = np.frombuffer(wanted.value, np.uint8), sketch.value
+        levels = sketch.value
         for batch in slices(batches):
-            node, count, first, probe = [], [], [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            node, count, score, first, probe = [], [], [], [], []
+            for text in _wanted(batch, wanted):
                 found = shingles(_words(text), size)
-                own = _sum(found) if len(found) else 0
-                if own and in_bitmap(some, np.array([_pick(own, doc)]))[0]:
-                    node.append(own)
+                if len(found):
+                    own = levels[_counter(found)]
+                    node.append(_sum(found))
                     count.append(len(found))
-                    first.append(_first(found, percent, levels).view(np.int64))
+                    score.append(int(1000 * own.mean()))
+                    first.append(found[np.argsort(own, kind="stable")[: len(found) - -(-percent * len(found) // 100) + 1]].view(np.int64))
                     probe.append(_keys(found[: np.searchsorted(found, np.uint64(cut << 61))] if cut < FRAGMENTS else found))
-            yield rows_of({"node": node, "n": count, "first": first, "probe": probe}, schema)
+            yield rows_of({"node": node, "n": count, "score": score, "first": first, "probe": probe}, schema)
 
-    return rows.mapInArrow(run, "node long, n long, first array<long>, probe array<int>")
+    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<int>")
 
 
 def _shared(heads: DataFrame, wanted) -> DataFrame:
-    """gram, node: first n-grams that the bitmap holds."""
-    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64())])
+    """gram, node, n, at, score: first n-grams that the bitmap holds, with their places in the order."""
+    schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("score", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches, 4096):
             column = batch.column("first")
-            gram = column.flatten().to_numpy()
-            node = np.repeat(batch.column("node").to_numpy(), np.diff(column.offsets.to_numpy()))
+            gram, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
+            size = np.diff(offsets)
+            at = np.arange(len(gram)) - np.repeat(offsets[:-1] - offsets[0], size)
             hit = in_bitmap(some, gram)
-            yield rows_of({"gram": gram[hit], "node": node[hit]}, schema)
+            each = {c: np.repeat(batch.column(c).to_numpy(), size)[hit] for c in ("node", "n", "score")}
+            yield rows_of({"gram": gram[hit], "at": at[hit].astype(np.int32)} | each, schema)
+
+    return heads.select("node", "n", "score", "first").mapInArrow(run, "gram long, node long, n long, at int, score int")
+
 
-    return heads.select("node", "first").mapInArrow(run, "gram long, node long")
+def _may_link(n, at, n_b, at_b, percent: int):
+    """Whether sets that share the n-gram at these places, and none before, can be as alike as the threshold."""
+    sizes = F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent
+    return sizes & ((F.least(n - at, n_b - at_b)) * (100 + percent) >= (n + n_b) * percent)
 
 
 def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
@@ -141,16 +152,11 @@ def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("keys", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches):
             node, count, part, keys = [], [], [], []
-            for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in _wanted(batch, wanted):
                 found = shingles(_words(text), size)
-                if not len(found):
-                    continue
-                own = _sum(found)
-                if not in_bitmap(some, np.array([_pick(own, doc)]))[0]:
-                    continue
+                own = _sum(found) if len(found) else 0
                 cuts = np.searchsorted(found, (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
                 for k, piece in enumerate(np.split(found, cuts)):
                     if len(piece):
@@ -163,16 +169,7 @@ def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
     return rows.mapInArrow(run, "node long, n long, part int, keys array<int>")
 
 
-def _pick(node: int, doc: int | None) -> int:
-    """What the bitmap holds of a class and the document that stands for it."""
-    return node ^ (doc or 0)
-
-
-def _pick_column(node: str = "node", doc: str = "id"):
-    return F.col(node).bitwiseXOR(F.coalesce(doc, F.lit(0)))
-
-
-def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, rows: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame:
     """Those pairs (a, b) that are as alike as the threshold."""
     share = rows.sparkSession.sparkContext.broadcast
     one = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
@@ -181,13 +178,13 @@ def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, rows: DataFra
     may = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
     left = staged(pairs.join(one, "a").join(two, "b").where(may).select("a", "b").distinct(), "pairs")
     ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    spokesmen = classes.join(ends, "node", "left_semi").select(_pick_column().alias("k"))
-    parts = staged(_fragments(rows, size, share(bitmap(spokesmen, "k"))), "parts")
+    spokesmen = classes.join(ends, "node", "left_semi").where("id IS NOT NULL")
+    parts = staged(_fragments(rows, size, share(bitmap(spokesmen, "id"))), "parts")
+    if repeated:
+        parts = staged(parts.dropDuplicates(["node", "part"]), "parts")
     whole = left.join(parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("keys").alias("keys_a")), "a")
     other = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("keys").alias("keys_b"))
     each = whole.join(other, ["b", "part"]).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("keys_a", "keys_b")).alias("common"))
-    # Rows that repeat a document bring the same fragment twice, hence max before sum.
-    each = each.groupBy("a", "b", "n_a", "n_b", "part").agg(F.max("common").alias("common"))
     both = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
     return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
@@ -206,16 +203,23 @@ def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     sets = surveyed.where("block IS NULL").select("id", "n", "node")
     sketch = share(_sketch(surveyed.where("block IS NOT NULL").select("block", "counts")))
     classes = staged(sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
-    heads = staged(_heads(rows, size, percent, sketch, share(bitmap(classes.select(_pick_column().alias("k")), "k"))), "heads")
-    leaders = heads.select("node", F.explode("first").alias("gram")).groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count(F.lit(1)).alias("nodes"))
-    leaders = staged(leaders.where("leader <> last").drop("last"), "leaders")
-    shared = staged(_shared(heads, share(bitmap(leaders, "gram"))).join(leaders, "gram"), "shared")
-    pairs = staged(shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), "pairs")
-    links = staged(_links(pairs, classes, heads, rows, size, percent), "links")
+    heads = staged(_heads(rows, size, percent, sketch, share(bitmap(classes.where("id IS NOT NULL"), "id"))), "heads")
+    # Rows that repeat an id and a text, or have no id, may speak for one class several times.
+    repeated = heads.count() > classes.count()
+    if repeated:
+        heads = staged(heads.dropDuplicates(["node"]), "heads")
+    twice = heads.select("node", F.explode("first").alias("gram")).groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = staged(_shared(heads, share(bitmap(twice, "gram"))), "shared")
+    leaders = shared.groupBy("gram").agg(F.max(F.struct("score", "node", "n", "at")).alias("leader"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    shared = staged(shared.join(leaders, "gram"), "shared")
+    lead = F.col("leader")
+    pairs = shared.where((F.col("node") != lead["node"]) & _may_link(F.col("n"), F.col("at"), lead["n"], lead["at"], percent))
+    pairs = staged(pairs.select(F.col("node").alias("a"), lead["node"].alias("b")).distinct(), "pairs")
+    links = staged(_links(pairs, classes, heads, rows, size, percent, repeated), "links")
     found = components(links)
-    rest = staged(_unsettled(shared, heads.select("node", "n"), found, pairs, percent), "rest")
+    rest = staged(_unsettled(shared, found, pairs, percent), "rest")
     if not rest.isEmpty():
-        more = staged(_links(rest, classes, heads, rows, size, percent), "links")
+        more = staged(_links(rest, classes, heads, rows, size, percent, repeated), "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = sets.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
@@ -223,15 +227,15 @@ def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     return named.join(smallest, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root") != 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
-def _unsettled(shared: DataFrame, sizes: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a first n-gram, have fitting sizes, lie in different components and weren't compared."""
-    grams = shared.where("nodes > 2").select("gram", "node").join(sizes, "node").join(found, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+def _unsettled(shared: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a first n-gram, may link, lie in different components and weren't compared."""
+    grams = shared.where("nodes > 2").select("gram", "node", "n", "at").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
     grams = staged(grams.join(mixed, "gram", "left_semi"), "grams")
-    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    fit = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & (F.least("n", "n_b") * 100 >= F.greatest("n", "n_b") * percent)
-    pairs = grams.join(other, "gram").where(fit).select(F.col("node").alias("a"), "b").distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    fit = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), percent)
+    pairs = grams.join(other, (grams["gram"] == other["gram"]) & fit).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def drop_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
