@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,43 +104,63 @@ class Automaton:
 
 
 class Pieces:
-    """Pieces of one document: first window, number of windows, anchor and content of each."""
+    """Pieces of several documents: document, first window, number of windows, anchor and content of each.
 
-    def __init__(self, words: list[bytes], size: int):
-        self.words, self.hash = words, word_hashes(words)
-        n = len(words) - size + 1
+    All documents' words are one array, so that the work is done for many documents at once; windows that would reach
+    from one document into the next are left out.
+    """
+
+    def __init__(self, texts: list[str], size: int):
+        self.words = [t.encode().split() for t in texts]
+        self.size, self.lengths = size, np.fromiter(map(len, self.words), np.int64, len(texts))
+        self.offset = np.cumsum(self.lengths) - self.lengths
+        self.hash = word_hashes(list(chain.from_iterable(self.words)))
+        total = len(self.hash)
+        n = total - size + 1
         if n <= 0:
-            self.start = self.count = np.zeros(0, np.int64)
-            self.anchor = self.content = np.zeros(0, np.int64)
+            self.doc = self.at = self.count = self.anchor = self.content = np.zeros(0, np.int64)
             return
-        grams = len(words) - GRAM + 1
+        owner = np.repeat(np.arange(len(texts)), self.lengths)
+        inside = owner[:n] == owner[size - 1 :]
+        grams = total - GRAM + 1
         h = self.hash[:grams].copy()
         for k in range(1, GRAM):
             h = mix(h) + self.hash[k : k + grams]
         h = mix(h)
-        span = size - GRAM + 1
         # The place of the smallest hash in each window; the first of equal ones.
         best, place = h[:n].copy(), np.arange(n)
-        for k in range(1, span):
+        for k in range(1, size - GRAM + 1):
             less = h[k : k + n] < best
-            best = np.where(less, h[k : k + n], best)
-            place = np.where(less, np.arange(k, k + n), place)
-        self.start = np.flatnonzero(np.diff(place, prepend=-1))
-        self.count = np.diff(self.start, append=n)
+            np.copyto(best, h[k : k + n], where=less)
+            np.copyto(place, np.arange(k, k + n), where=less)
+        place[~inside] = -1
+        first = np.flatnonzero(np.diff(place, prepend=-2))
+        count = np.diff(first, append=n)
+        some = inside[first]
+        self.at, self.count = first[some], count[some]
+        self.doc = owner[self.at]
         # A polynomial over 64 bits gives the content of any run of words.
-        power = np.full(len(words), np.uint64(_INVERSE))
-        power[0] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash) * np.cumprod(power))])
-        scale = np.full(len(words), np.uint64(_B))
-        scale[0] = 1
-        end = self.start + self.count + size - 1
-        content = (sums[end] - sums[self.start]) * np.cumprod(scale)[self.start]
-        self.anchor = best[self.start].view(np.int64)
-        self.content = mix(content + (end - self.start).astype(np.uint64) + mix(best[self.start])).view(np.int64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash) * _powers(_INVERSE, total))])
+        end = self.at + self.count + size - 1
+        content = (sums[end] - sums[self.at]) * _powers(_B, total)[self.at]
+        anchor = best[self.at]
+        self.anchor = anchor.view(np.int64)
+        self.content = mix(content + (end - self.at).astype(np.uint64) + mix(anchor)).view(np.int64)
+
+    @property
+    def start(self) -> np.ndarray:
+        """First windows, counted within the documents."""
+        return self.at - self.offset[self.doc]
+
+    def run(self, k: int) -> np.ndarray:
+        """The hashes of piece k's words."""
+        return self.hash[self.at[k] : self.at[k] + self.count[k] + self.size - 1].view(np.int64)
 
 
-def _split(text: str) -> list[bytes]:
-    return text.encode().split()
+def _powers(of: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(of))
+    out[:1] = 1
+    return np.cumprod(out)
 
 
 def _count(rows: DataFrame, size: int) -> DataFrame:
@@ -151,9 +172,8 @@ def _count(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
-            found = [Pieces(_split(t), size) for t in batch.column("text").to_pylist()]
-            doc = np.repeat(np.array(batch.column("id").to_pylist(), np.int64), [len(f.anchor) for f in found])
-            anchor, content = (np.concatenate([getattr(f, a) for f in found]) for a in ("anchor", "content"))
+            found = Pieces(batch.column("text").to_pylist(), size)
+            doc, anchor, content = batch.column("id").to_numpy()[found.doc], found.anchor, found.content
             # Of copies within the batch only the smallest and the largest document matter.
             order = np.lexsort((doc, content))
             new = np.diff(content[order], prepend=~content[order][:1]) != 0
@@ -174,18 +194,11 @@ def _send(rows: DataFrame, size: int, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches):
-            anchor, content, doc, words = [], [], [], []
-            for d, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                p = Pieces(_split(t), size)
-                seen = set()
-                for k in np.flatnonzero(in_bitmap(some, p.content ^ np.int64(d))).tolist():
-                    c = int(p.content[k])
-                    if c not in seen:
-                        seen.add(c)
-                        anchor.append(int(p.anchor[k]))
-                        content.append(c)
-                        doc.append(d)
-                        words.append(p.hash[p.start[k] : p.start[k] + p.count[k] + size - 1].view(np.int64))
+            found = Pieces(batch.column("text").to_pylist(), size)
+            doc = batch.column("id").to_numpy()[found.doc]
+            hit = np.flatnonzero(in_bitmap(some, found.content ^ doc))
+            hit = hit[np.unique(np.stack([found.doc[hit], found.content[hit]]), axis=1, return_index=True)[1]] if len(hit) else hit
+            anchor, content, doc, words = found.anchor[hit], found.content[hit], doc[hit], [found.run(k) for k in hit.tolist()]
             yield rows_of({"anchor": anchor, "content": content, "doc": doc, "words": words}, schema)
 
     return rows.mapInArrow(run, "anchor long, content long, doc long, words array<long>")
@@ -233,16 +246,17 @@ def _ask(rows: DataFrame, size: int, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches):
-            n, sha, packed, pieces = [], [], [], []
-            for t in batch.column("text").to_pylist():
-                words = _split(t)
-                p = Pieces(words, size)
-                at = np.flatnonzero(in_bitmap(some, p.content))
+            found = Pieces(batch.column("text").to_pylist(), size)
+            hit = np.flatnonzero(in_bitmap(some, found.content))
+            ends = np.searchsorted(found.doc[hit], np.arange(len(found.words) + 1))
+            listed = list(zip(found.content[hit].tolist(), found.start[hit].tolist(), found.count[hit].tolist(), strict=True))
+            n, sha, packed, pieces = found.lengths, [], [], []
+            for d, words in enumerate(found.words):
+                own = listed[ends[d] : ends[d + 1]]
                 joined = b" ".join(words)
-                n.append(len(words))
-                sha.append(None if len(at) else hashlib.sha256(joined).hexdigest())
-                packed.append(zlib.compress(joined, 1) if len(at) else None)
-                pieces.append([{"content": c, "start": s, "count": k} for c, s, k in zip(p.content[at].tolist(), p.start[at].tolist(), p.count[at].tolist(), strict=True)])
+                sha.append(None if own else hashlib.sha256(joined).hexdigest())
+                packed.append(zlib.compress(joined, 1) if own else None)
+                pieces.append([{"content": c, "start": a, "count": k} for c, a, k in own])
             yield rows_of({"doc": batch.column("id").to_pylist(), "row": batch.column("row").to_pylist(), "n_words": n, "sha": sha, "packed": packed, "pieces": pieces}, schema)
 
     return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc long, row long, n_words long, sha string, packed binary, pieces array<struct<content:long,start:int,count:int>>")
