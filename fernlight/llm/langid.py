@@ -1,28 +1,33 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
-Counts come from every training document: each partition counts the n-grams of its words, Spark adds them up, and the
-driver turns at most `MAX_GRAMS` distinct n-grams into sorted arrays of 64-bit hashes with their probabilities, which
-are broadcast. A document gets the language of lowest cross-entropy per character. Words are bounded by marks and
-scored once per worker; n-grams do not cross words.
+Counts come from every training document: each partition counts the n-grams of its words, and Spark adds them up and
+derives all orders' counts and contexts from every n-gram. They are laid out as sorted arrays of 64-bit hashes that are
+broadcast, or, where they are too large for that, sent to the executors as a file that workers map into memory. A
+document gets the language of lowest cross-entropy per character. Words are bounded by marks and scored once per worker;
+n-grams do not cross words.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import id_and_text, id_fold, rows_of, slices
+from .base import id_and_text, id_fold, rows_of, slices, staged
 
 ORDER = 5
-#: Most n-grams of all languages that the model keeps, the most frequent; bounds what is broadcast to about 40 bytes each.
-MAX_GRAMS = 2_000_000
+#: Bytes of arrays that are broadcast; more are mapped from a file, so that memory doesn't bound the model.
+BROADCAST = 128 << 20
 #: Documents (about) on which the score and the rejection are calibrated.
 CALIBRATION = 3_000
 #: Words whose scores a worker keeps, and distinct words of a language a partition counts at a time.
@@ -61,64 +66,93 @@ def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([chars[at - k] for k in range(ORDER - 1, -1, -1)], axis=1), lengths
 
 
+def _parts() -> list[tuple[int, int]]:
+    """Each order's two parts, n-grams (2 n) and contexts (2 n + 1), with the values they hold beside the hash."""
+    return [(2 * n + k, 1 + k) for n in range(1, ORDER + 1) for k in (0, 1)]
+
+
 @dataclass
 class Model:
     languages: list[str] = field(default_factory=list)
-    #: For each language and order: sorted hashes and probabilities of n-grams, sorted hashes and weights of contexts.
-    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]] = field(default_factory=list)
-    unknown: list[float] = field(default_factory=list)
+    #: Sorted hashes and values of every part, one after another; or the name of the file that Spark sent with them.
+    data: np.ndarray | str = field(default_factory=lambda: np.zeros(0, np.int64))
+    #: For each language and order: where n-grams' hashes and counts, contexts' hashes, totals and followers start and end.
+    places: list[list[list[tuple[int, int]]]] = field(default_factory=list)
+    #: For each language and order: what is taken off a count.
+    discounts: list[list[float]] = field(default_factory=list)
     temperature: float = 20.0
     #: For each language: mean cross-entropy and variance a + b / characters; and the most standard deviations above it.
     usual: list[tuple[float, float, float]] = field(default_factory=list)
     reject_beyond: float = float("inf")
 
+    @classmethod
+    def laid_out(cls, sizes: dict[tuple[str, int], tuple[int, int, int]]) -> Model:
+        """A model without data. sizes: language and part -> rows, and how many of them have a count of one and of two."""
+        self, at = cls(sorted({k for k, _ in sizes})), 0
+        for language in self.languages:
+            orders: list[list[tuple[int, int]]] = [[] for _ in range(ORDER)]
+            for part, values in _parts():
+                n = sizes[language, part][0]
+                for _ in range(1 + values):
+                    orders[part // 2 - 1].append((at, at + n))
+                    at += n
+            self.places.append(orders)
+            seen = [sizes[language, 2 * n][1:] for n in range(1, ORDER + 1)]
+            self.discounts.append([float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95)) for ones, twos in seen])
+        return self
+
+    @property
+    def size(self) -> int:
+        return self.places[-1][-1][-1][1] if self.places else 0
+
     @classmethod
     def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """counts: language -> n-grams (n, ORDER) and their counts."""
-        self = cls(sorted(counts))
-        for language in self.languages:
-            top, count = counts[language]
-            columns = [top[:, k] for k in range(ORDER - 1, -1, -1)]
-            orders = [None] * ORDER
-            grams_now, count_now = columns, count.astype(np.float64)
+        held, sizes = {}, {}
+        for language, (top, count) in counts.items():
+            now, c = [top[:, k] for k in range(ORDER - 1, -1, -1)], count.astype(np.int64)
             for n in range(ORDER, 0, -1):
-                orders[n - 1] = (grams_now, count_now)
-                if n > 1:  # lower orders count the distinct characters that come before
-                    h = _suffix_hashes(grams_now[: n - 1])[-1]
-                    _, first, kinds = np.unique(h, return_index=True, return_counts=True)
-                    grams_now, count_now = [c[first] for c in grams_now[: n - 1]], kinds.astype(np.float64)
-            vocabulary = len(orders[0][1]) + 1
-            lower_hash, lower_p, tables = None, None, []
-            for n, (cols, c) in enumerate(orders, 1):
-                h = _suffix_hashes(cols)
-                context = _suffix_hashes(cols[1:])[-1] if n > 1 else np.zeros(len(c), np.uint64)
-                ones, twos = np.sum(c == 1), np.sum(c == 2)
-                discount = float(np.clip(ones / max(1, ones + 2 * twos), 0.1, 0.95))
+                h = _suffix_hashes(now)[-1].view(np.int64)
+                context = _suffix_hashes(now[1:])[-1].view(np.int64) if n > 1 else np.zeros(len(c), np.int64)
+                order = np.argsort(h)
                 kinds, where = np.unique(context, return_inverse=True)
-                total, followers = np.bincount(where, c), np.bincount(where)
-                weight = discount * followers / total
-                below = 1 / vocabulary if n == 1 else lower_p[np.searchsorted(lower_hash, h[-2])]
-                p = np.maximum(c - discount, 0) / total[where] + weight[where] * below
-                order = np.argsort(h[-1])
-                lower_hash, lower_p = h[-1][order], p[order]
-                tables.append((lower_hash, lower_p, kinds, weight))
-            self.unknown.append(float(tables[0][3][0] / vocabulary) if len(tables[0][3]) else 1e-6)
-            self.tables.append(tables)
+                held[language, 2 * n] = [h[order], c[order]]
+                held[language, 2 * n + 1] = [kinds, np.bincount(where, c).astype(np.int64), np.bincount(where)]
+                sizes |= {(language, 2 * n): (len(h), np.sum(c == 1), np.sum(c == 2)), (language, 2 * n + 1): (len(kinds), 0, 0)}
+                if n > 1:  # lower orders count the distinct characters that come before
+                    _, first, c = np.unique(_suffix_hashes(now[: n - 1])[-1], return_index=True, return_counts=True)
+                    now = [x[first] for x in now[: n - 1]]
+        self = cls.laid_out(sizes)
+        self.data = np.concatenate([np.zeros(0, np.int64), *(x for k in self.languages for part, _ in _parts() for x in held[k, part])])
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    @cached_property
+    def tables(self) -> list[list[list[np.ndarray]]]:
+        data = np.memmap(SparkFiles.get(self.data), np.int64, "r") if isinstance(self.data, str) else self.data
+        return [[[np.asarray(data[a:b]) for a, b in order] for order in orders] for orders in self.places]
+
+    @property
+    def unknown(self) -> list[float]:
+        """For each language: the probability of a character it has never seen."""
+        return [float(d[0] * t[0][4][0] / t[0][3][0] / (len(t[0][0]) + 1)) for t, d in zip(self.tables, self.discounts, strict=True)]
+
     def log_p(self, of: np.ndarray) -> np.ndarray:
         """Natural logarithms (n, languages) of the last character given the others."""
         columns = [of[:, k] for k in range(ORDER - 1, -1, -1)]
-        h, before = _suffix_hashes(columns), _suffix_hashes(columns[1:])
+        h, before = ([x.view(np.int64) for x in _suffix_hashes(c)] for c in (columns, columns[1:]))
         out = np.empty((len(of), len(self.languages)))
         for k, tables in enumerate(self.tables):
-            p = np.full(len(of), self.unknown[k])
-            for n, (grams_h, grams_p, contexts, weights) in enumerate(tables, 1):
-                if n > 1:
-                    at = np.minimum(np.searchsorted(contexts, before[n - 2]), len(contexts) - 1)
-                    p = np.where(contexts[at] == before[n - 2], p * weights[at], p)
+            p = np.full(len(of), 1 / (len(tables[0][0]) + 1))
+            for n, ((grams_h, count, contexts, total, followers), discount) in enumerate(zip(tables, self.discounts[k], strict=True), 1):
+                context = before[n - 2] if n > 1 else np.zeros(len(of), np.int64)
+                at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                all_of = total[at]
+                p = np.where(contexts[at] == context, p * discount * followers[at] / all_of, p)
                 at = np.minimum(np.searchsorted(grams_h, h[n - 1]), len(grams_h) - 1)
-                p = np.where(grams_h[at] == h[n - 1], grams_p[at], p)
+                p += np.where(grams_h[at] == h[n - 1], np.maximum(count[at] - discount, 0) / all_of, 0)
             out[:, k] = np.log(p)
         return out
 
@@ -193,16 +227,87 @@ def count_grams(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lan
     return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_grams: int = MAX_GRAMS, calibration: int = CALIBRATION) -> Model:
-    """A model of the rows of docs that have a language and a text; without such rows it knows no language."""
-    counted = count_grams(docs, text_col=text_col, lang_col=lang_col)
-    table = counted.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toArrow()
-    langs = np.array(table.column("lang").to_pylist(), object)
-    text, n = table.column("gram").to_pylist(), np.array(table.column("n").to_pylist(), np.int64)
-    of = np.frombuffer("".join(text).encode("utf-32-le"), np.uint32).reshape(-1, ORDER) if text else np.zeros((0, ORDER), np.uint32)
-    model = Model.of({k: (of[langs == k], n[langs == k]) for k in set(langs)})
-    if model.languages:
-        _calibrate(model, docs, text_col, lang_col, id_col, calibration)
+def _entries(counted: DataFrame) -> DataFrame:
+    """lang, part, gram, x, y: every order's n-grams with their counts, and contexts with totals and followers."""
+    level, levels = counted.withColumnRenamed("n", "x"), []
+    for n in range(ORDER, 0, -1):
+        level = staged(level, "grams")
+        levels.append(level.withColumn("part", F.lit(2 * n)))
+        # Lower orders count the distinct characters that come before.
+        level = level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("x"))
+    rows = levels[0]
+    for more in levels[1:]:
+        rows = rows.unionByName(more)
+    context = F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")
+    contexts = rows.groupBy("lang", (F.col("part") + 1).alias("part"), context).agg(F.sum("x").alias("x"), F.count(F.lit(1)).alias("y"))
+    return rows.withColumn("y", F.lit(0).cast("long")).unionByName(contexts).select("lang", "part", "gram", "x", "y")
+
+
+def _chunks(entries: DataFrame) -> DataFrame:
+    """lang, part, first, size, ones, twos, columns: sorted stretches of each part, ordered by their first hashes."""
+    hashed = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("hash", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])
+    names = [("lang", pa.string()), ("part", pa.int32()), ("first", pa.int64()), ("size", pa.int64()), ("ones", pa.int64()), ("twos", pa.int64()), ("columns", pa.list_(pa.binary()))]
+    schema = pa.schema(names)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("gram").to_pylist()
+            lengths, h = np.fromiter(map(len, found), np.int64, len(found)), np.zeros(len(found), np.uint64)
+            for n in set(lengths.tolist()) - {0}:
+                of = np.flatnonzero(lengths == n)
+                chars = np.frombuffer("".join(found[i] for i in of).encode("utf-32-le"), np.uint32).reshape(-1, n)
+                h[of] = _suffix_hashes([chars[:, k] for k in range(n - 1, -1, -1)])[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("part"), pa.array(h.view(np.int64)), batch.column("x"), batch.column("y")], schema=hashed)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, part = np.array(batch.column("lang").to_pylist(), object), batch.column("part").to_numpy()
+            own = [batch.column(c).to_numpy() for c in ("hash", "x", "y")]
+            starts = np.flatnonzero(np.r_[True, (lang[1:] != lang[:-1]) | (part[1:] != part[:-1])]) if len(lang) else []
+            out = []
+            for a, b in zip(starts, [*starts[1:], len(lang)], strict=True):
+                x = own[1][a:b]
+                out.append((lang[a], part[a], own[0][a], b - a, np.sum(x == 1), np.sum(x == 2), [c[a:b].tobytes() for c in own[: 2 + part[a] % 2]]))
+            yield rows_of({k: [r[i] for r in out] for i, (k, _) in enumerate(names)}, schema)
+
+    # Written before, since range partitioning reads its input twice.
+    rows = staged(entries.mapInArrow(hashes, "lang string, part int, hash long, x long, y long"), "hashes")
+    order = ("lang", "part", "hash")
+    return staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, "lang string, part int, first long, size long, ones long, twos long, columns array<binary>"), "chunks")
+
+
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", calibration: int = CALIBRATION) -> Model:
+    """A model of the rows of docs that have a language and a text; without such rows it knows no language.
+
+    Every n-gram is kept. The driver copies the arrays stretch by stretch, and holds no more than `BROADCAST` bytes of them.
+    """
+    chunks = _chunks(_entries(count_grams(docs, text_col=text_col, lang_col=lang_col)))
+    known = sorted((tuple(r) for r in chunks.drop("columns").collect()), key=lambda r: r[:3])
+    sizes: dict[tuple[str, int], tuple[int, int, int]] = {}
+    before = {}
+    for lang, part, first, *own in known:
+        held = sizes.get((lang, part), (0, 0, 0))
+        before[lang, part, first] = held[0]
+        sizes[lang, part] = tuple(a + b for a, b in zip(held, own, strict=True))
+    model = Model.laid_out(sizes)
+    if not model.languages:
+        return model
+    path = None
+    if 8 * model.size > BROADCAST:
+        path = f"{tempfile.mkdtemp(prefix='fernlight-grams-')}/grams-{os.urandom(8).hex()}"
+        model.data = np.memmap(path, np.int64, "w+", shape=(model.size,))
+    else:
+        model.data = np.empty(model.size, np.int64)
+    for r in chunks.select("lang", "part", "first", "columns").toLocalIterator():
+        place = model.places[model.languages.index(r.lang)][r.part // 2 - 1][2 * (r.part % 2) :]
+        for (start, _), column in zip(place, r.columns):
+            at = start + before[r.lang, r.part, r.first]
+            model.data[at : at + len(column) // 8] = np.frombuffer(column, np.int64)
+    if path:
+        model.data.flush()
+        docs.sparkSession.sparkContext.addFile(path)
+        model.data = os.path.basename(path)
+    _calibrate(model, docs, text_col, lang_col, id_col, calibration)
     return model
 
 

@@ -118,6 +118,32 @@ def test_kneser_ney_sums_to_one():
         assert (p > 0).all()
 
 
+def test_every_gram_is_kept(spark, monkeypatch):
+    texts = [("aa", "banana bandana cabana"), ("aa", "banana"), ("zz", "\U00020000漢字 ünïque"), ("zz", "x")]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(texts)], "doc_id long, lang string, text string").repartition(3)
+    counts = {}
+    for lang in ("aa", "zz"):
+        of, _ = langid.grams([w for k, t in texts if k == lang for w in langid.words(t)])
+        counts[lang] = np.unique(of, axis=0, return_counts=True)
+    want, probes = langid.Model.of(counts), np.concatenate([of for of, _ in counts.values()])
+    for limit in (langid.BROADCAST, 0):  # broadcast, and mapped from a file
+        monkeypatch.setattr(langid, "BROADCAST", limit)
+        model = langid.train(rows)
+        assert model.languages == ["aa", "zz"] and isinstance(model.data, str) == (limit == 0)
+        assert [[[a.tolist() for a in order] for order in orders] for orders in model.tables] == [[[a.tolist() for a in order] for order in orders] for orders in want.tables]
+        assert model.discounts == want.discounts and np.array_equal(model.log_p(probes), want.log_p(probes))
+        assert {r.doc_id: r.lang_pred for r in langid.identify(rows, model).collect()} == {0: "aa", 1: "aa", 2: "zz", 3: "zz"}
+
+
+def test_small_language_beside_two_million_grams(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "aa", "".join(map(chr, rng.integers(0x4E00, 0x9F00, 10_000)))) for i in range(210)] + [(900, "zz", "wyvern")]
+    rows = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.train(rows)
+    assert model.languages == ["aa", "zz"]
+    assert langid.identify(rows.where("doc_id = 900"), model).first().lang_pred == "zz"
+
+
 # 3 Jaccard
 
 
