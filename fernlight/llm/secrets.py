@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other long token.
 
-A candidate is a maximal run of `[A-Za-z0-9+/_.=-]` of at least `SHORTEST` characters. The network reads the run's first
-characters with the text around it. It is trained on labelled findings: values that the fixed patterns find in a bounded
+A candidate is a maximal run of `[A-Za-z0-9+/_.=-]` of at least `SHORTEST` characters. The network reads `INSIDE`
+characters with the text around the run; longer runs are read whole, in overlapping windows and in their parts between
+separators, each as if it stood alone in the run's place. It is trained on labelled findings: values that the fixed patterns find in a bounded
 sample of documents are secrets and the other candidates there are not, and findings generated from public token shapes
 stand beside them. Its threshold is the highest that keeps a recall of `RECALL` on findings kept aside, and no lower than
 a calibrated probability of `FLOOR`.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ SHORTEST = 16
 #: Documents (about) and candidates (at most) from which findings are labelled.
 SAMPLE_DOCS, SAMPLE_RUNS = 20_000, 6_000
 BEFORE, INSIDE, AFTER = 16, 40, 8
+#: Steps between the windows of a long run.
+STEP = 8
 WIDTH, FILTERS, KERNEL, CHANNELS = BEFORE + INSIDE + AFTER, 24, 5, 12
 RECALL, FLOOR = 0.98, 0.5
 EPOCHS, BATCH, RATE = 6, 128, 0.01
@@ -38,6 +42,7 @@ _NAMES = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{SHORTEST},}}")
+_PART = re.compile(r"[^/.=]+")
 Span = tuple[int, int, int]  # start, kind's number, end
 
 
@@ -68,9 +73,31 @@ for _i, _group in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJ
         _CLASSES[ord(_c)] = _i
 
 
-def window(text: str, a: int, b: int) -> str:
-    """The candidate's first characters with what is around it; blanks where there is nothing."""
-    return text[max(0, a - BEFORE) : a].rjust(BEFORE) + text[a : min(b, a + INSIDE)].ljust(INSIDE) + text[b : b + AFTER].ljust(AFTER)
+def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """What is read of a candidate: all of it, or of a long one every window and the parts between separators."""
+    if b - a <= INSIDE:
+        return [(a, b)]
+    out = {(c, c + INSIDE) for c in [*range(a, b - INSIDE, STEP), b - INSIDE]}
+    return sorted(out | {m.span() for m in _PART.finditer(text, a, b) if SHORTEST <= m.end() - m.start() <= INSIDE})
+
+
+def widened(text: str, a: int, b: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pieces of the candidate, out to the separators around them, since a window may cut a token; those that meet as one."""
+    ends = [a, *(m for x in _PART.finditer(text, a, b) for m in x.span()), b]
+    out: list[tuple[int, int]] = []
+    for c, d in sorted(found):
+        c, d = ends[bisect_right(ends, c) - 1], ends[bisect_left(ends, d)]
+        if out and c <= out[-1][1]:
+            out[-1] = (out[-1][0], max(d, out[-1][1]))
+        else:
+            out.append((c, d))
+    return out
+
+
+def window(text: str, a: int, b: int, piece: tuple[int, int] | None = None) -> str:
+    """The piece of the candidate, by default its first characters, with what is around the candidate; blanks where there is nothing."""
+    c, d = piece or (a, b)
+    return text[max(0, a - BEFORE) : a].rjust(BEFORE) + text[c : min(d, c + INSIDE)].ljust(INSIDE) + text[b : b + AFTER].ljust(AFTER)
 
 
 def classes(windows: list[str]) -> np.ndarray:
@@ -200,8 +227,11 @@ def train(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", sa
                 found = runs(text)
                 base = base_spans(text, found)
                 for a, b in found:
-                    windows.append(window(text, a, b))
-                    labels.append(int(any(x < b and a < y for x, _, y in base)))
+                    own = [(max(a, x), min(b, y)) for x, _, y in base if x < b and a < y]
+                    for c, d in own or [(a, b)]:
+                        if d - c >= SHORTEST:
+                            windows += [window(text, a, b, piece) for piece in pieces(text, c, d)]
+                            labels += [int(bool(own))] * (len(windows) - len(labels))
             yield rows_of({"window": windows, "secret": labels}, schema)
 
     share = min(1.0, sample_docs / max(1, docs.count()))
@@ -220,13 +250,16 @@ def all_spans(texts: list[str], net: Network) -> list[tuple[list[Span], list[Spa
         base.append(base_spans(text, found))
         for a, b in found:
             if not any(x < b and a < y for x, _, y in base[-1]):
-                windows.append(window(text, a, b))
-                places.append((i, a, b))
-    whole = [list(b) for b in base]
+                for piece in pieces(text, a, b):
+                    windows.append(window(text, a, b, piece))
+                    places.append((i, a, b, piece))
+    whole, hits = [list(b) for b in base], {}
     if windows:
-        for (i, a, b), p in zip(places, net.probability(windows), strict=True):
+        for (i, a, b, piece), p in zip(places, net.probability(windows), strict=True):
             if p >= net.threshold:
-                whole[i].append((a, 3, b))
+                hits.setdefault((i, a, b), []).append(piece)
+    for (i, a, b), found in hits.items():
+        whole[i] += [(c, 3, d) for c, d in widened(texts[i], a, b, found)]
     return [(b, sorted(w)) for b, w in zip(base, whole, strict=True)]
 
 

@@ -443,5 +443,17 @@ def test_secrets(spark, odd, none):
     assert secrets.redact(none, secrets.train(none)).count() == 0
 
 
+TOKEN = "ghp_a8Kd93LmQz71Xw0PbVn5Rt2Yc6Hs4Jf8Gu1E"
+PATH = "/srv/app/config/production/settings/service/"
+
+
+def test_secret_behind_forty_characters():
+    net = secrets.fit(*(f(x) for f, x in zip((list, np.array), secrets.generated(), strict=True)))
+    texts = [f"see {PATH}{TOKEN} now", f"see {PATH}{PATH[1:]}index.html now", f"see {PATH}{TOKEN}{PATH}{TOKEN} now"]
+    one, clean, two = ([t[a:b] for a, _, b in whole] for t, (_, whole) in zip(texts, secrets.all_spans(texts, net), strict=True))
+    assert len(one) == 1 and TOKEN in one[0] and not one[0].startswith("/srv") and clean == []
+    assert "".join(two).count(TOKEN) == 2 and not two[0].startswith("/srv")
+
+
 def test_mask():
     assert secrets.mask("abcdefghij", [(1, 0, 3), (2, 2, 5), (7, 0, 8)], "_") == "a_fg_ij"
