@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other long token.
 
-A candidate is a maximal run of `[A-Za-z0-9+/_.=-]` of at least `SHORTEST` characters. The network reads `INSIDE`
+A candidate is what the fixed patterns leave of a maximal run of `[A-Za-z0-9+/_.=-]`, of at least `SHORTEST` characters. The network reads `INSIDE`
 characters with the text around the run; longer runs are read whole, in overlapping windows and in their parts between
 separators, each as if it stood alone in the run's place. It is trained on labelled findings: values that the fixed patterns find in a bounded
 sample of documents are secrets and the other candidates there are not, and findings generated from public token shapes
@@ -81,6 +81,17 @@ def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return sorted(out | {m.span() for m in _PART.finditer(text, a, b) if SHORTEST <= m.end() - m.start() <= INSIDE})
 
 
+def uncovered(a: int, b: int, spans: list[Span]) -> list[tuple[int, int]]:
+    """Parts of a candidate of at least `SHORTEST` characters that findings, sorted by start, leave."""
+    out = []
+    for x, _, y in [*spans, (b, 0, b)]:
+        if y > a or x >= b:
+            if min(x, b) - a >= SHORTEST:
+                out.append((a, min(x, b)))
+            a = max(a, y)
+    return out
+
+
 def widened(text: str, a: int, b: int, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pieces of the candidate, out to the separators around them, since a window may cut a token; those that meet as one."""
     ends = [a, *(m for x in _PART.finditer(text, a, b) for m in x.span()), b]
@@ -249,10 +260,10 @@ def all_spans(texts: list[str], net: Network) -> list[tuple[list[Span], list[Spa
         found = runs(text)
         base.append(base_spans(text, found))
         for a, b in found:
-            if not any(x < b and a < y for x, _, y in base[-1]):
-                for piece in pieces(text, a, b):
+            for c, d in uncovered(a, b, base[-1]):
+                for piece in pieces(text, c, d):
                     windows.append(window(text, a, b, piece))
-                    places.append((i, a, b, piece))
+                    places.append((i, c, d, piece))
     whole, hits = [list(b) for b in base], {}
     if windows:
         for (i, a, b, piece), p in zip(places, net.probability(windows), strict=True):
