@@ -168,40 +168,42 @@ def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 11) -> Field:
     cache: dict[str, tuple[list[int], list[int], list[int]]] = {}
     windows, tags = [], []
     for found, label in zip(texts, toxic, strict=True):
+        if not found:
+            continue
         mark = [bool(label) and any(s in marks for s in stems(w)) for w in found]
         hits = [i for i, x in enumerate(mark) if x]
         # Windows around a few toxic words of a document, and one anywhere.
         centres = [hits[i] for i in sorted({int(k) for k in np.linspace(0, len(hits) - 1, min(4, len(hits)))})] if hits else []
         for c in [*centres, int(rng.integers(max(1, len(found))))]:
             a = max(0, min(c - WINDOW // 2, len(found) - WINDOW))
-            if len(found) >= WINDOW:
-                windows.append(found[a : a + WINDOW])
-                tags.append(mark[a : a + WINDOW])
+            windows.append(found[a : a + WINDOW])
+            tags.append(np.array(mark[a : a + WINDOW], np.float64))
+            if len(found) <= WINDOW:  # kept whole, once
+                break
     for w in {w for x in windows for w in x}:
         cache[w] = features(w)
     squares, trans_sq = np.full(BUCKETS, 1e-2), np.full((2, 2), 1e-2)
-    lengths = np.full(BATCH, WINDOW)
-    gold_all = np.array(tags, np.float64)
     for _ in range(EPOCHS):
         for part in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // BATCH)):
             at, token = [], []
-            for j, i in enumerate(part):
+            lengths = np.array([len(windows[i]) for i in part])
+            starts = np.cumsum(lengths) - lengths
+            for start, i in zip(starts.tolist(), part, strict=True):
                 window = windows[i]
                 for k, w in enumerate(window):
                     own, before, after = cache[w]
                     at += own
-                    token += [j * WINDOW + k] * len(own)
-                    if k + 1 < WINDOW:
+                    token += [start + k] * len(own)
+                    if k + 1 < len(window):
                         at += before
-                        token.append(j * WINDOW + k + 1)
+                        token.append(start + k + 1)
                     if k:
                         at += after
-                        token.append(j * WINDOW + k - 1)
+                        token.append(start + k - 1)
             at, token = np.array(at), np.array(token)
-            score = np.bincount(token, crf.weights[at], len(part) * WINDOW) + crf.bias
-            lengths = np.full(len(part), WINDOW)
+            score = np.bincount(token, crf.weights[at], lengths.sum()) + crf.bias
             p = marginals(score, lengths, crf.transitions)
-            gold = gold_all[part].ravel()
+            gold = np.concatenate([tags[i] for i in part])
             error = p - gold
             own, where = np.unique(at, return_inverse=True)
             g = np.bincount(where, error[token], len(own)) + DECAY * crf.weights[own]
@@ -209,11 +211,11 @@ def fit(texts: list[list[str]], toxic: np.ndarray, seed: int = 11) -> Field:
             crf.weights[own] -= RATE * g / np.sqrt(squares[own])
             crf.bias -= RATE * float(error.mean())
             # Expected tag pairs, to first order from the marginals, against those seen.
-            q, y = p.reshape(-1, WINDOW), gold.reshape(-1, WINDOW)
-            for a in (0, 1):
+            after = np.delete(np.arange(len(p)), starts)
+            for a in (0, 1) if len(after) else ():
                 for b in (0, 1):
-                    pair = lambda z, a=a, b=b: float(((z[:, :-1] if a else 1 - z[:, :-1]) * (z[:, 1:] if b else 1 - z[:, 1:])).mean())
-                    g = pair(q) - pair(y) + 1e-3 * crf.transitions[a, b]
+                    pair = lambda z, a=a, b=b, after=after: float(((z[after - 1] if a else 1 - z[after - 1]) * (z[after] if b else 1 - z[after])).mean())
+                    g = pair(p) - pair(gold) + 1e-3 * crf.transitions[a, b]
                     trans_sq[a, b] += g * g
                     crf.transitions[a, b] -= 0.1 * g / np.sqrt(trans_sq[a, b])
     tagger = Tagger(crf)

@@ -330,6 +330,13 @@ def test_toxicity(spark, odd, none):
     assert found[2] == [] and "idiot" in " ".join(found[1])
 
 
+def test_toxicity_of_short_texts_only():
+    texts = [[f"w{i % 7}", "moron"] if i % 4 == 0 else [f"w{i % 7}"] if i % 4 == 1 else [f"w{i % 7}", "fine", "day"] for i in range(200)] + [[]]
+    crf = toxicity.fit(texts, np.array([float("moron" in t) for t in texts]))
+    bad, good, none = toxicity.Tagger(crf).scores([["w3", "moron"], ["w3", "fine", "day"], []])
+    assert bad > 0.9 and good < 0.1 and none < 0.5
+
+
 def test_marginals_by_enumeration():
     rng = np.random.default_rng(1)
     lengths = np.array([3, 0, 5, 1])
