@@ -3,8 +3,11 @@
 Counts come from every training document: each partition counts the n-grams of its words, and Spark adds them up and
 derives all orders' counts and contexts from every n-gram. They are laid out as sorted arrays of 64-bit hashes that are
 broadcast, or, where they are too large for that, sent to the executors as a file that workers map into memory. A
-document gets the language of lowest cross-entropy per character. Words are bounded by marks and scored once per worker;
-n-grams do not cross words.
+document gets the language of lowest cross-entropy per character. Words, runs of letters and combining marks, are bounded
+by marks and scored once per worker; n-grams do not cross words.
+
+A fixed share of the training documents is kept out of the counts: on all of them, at every size, the score and the
+rejection are calibrated. Only languages with few documents count every one, and take the others' usual spread.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +32,18 @@ from .base import id_and_text, id_fold, rows_of, slices, staged
 ORDER = 5
 #: Bytes of arrays that are broadcast; more are mapped from a file, so that memory doesn't bound the model.
 BROADCAST = 128 << 20
-#: Documents (about) on which the score and the rejection are calibrated.
-CALIBRATION = 3_000
+#: Of a language's training documents one in so many calibrates and isn't counted, where it has at least FEW of them.
+ASIDE, FEW = 8, 64
 #: Words whose scores a worker keeps, and distinct words of a language a partition counts at a time.
 WORDS = 200_000
-#: A rejected text must also cost at least so much of the way from its language's usual cost to even characters.
+#: A text is rejected beyond MARGIN times the deviation that this share of the calibrating documents stays within,
+REJECT, MARGIN = 0.999, 1.5
+#: if it also costs at least so much of the way from its language's usual cost to that of characters drawn evenly.
 NEAR_EVEN = 0.6
+#: Temperatures among which the score's is chosen.
+TEMPERATURES = np.geomspace(1, 200, 40)
 NO_LANGUAGE = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _WORD_OR_MARK = re.compile(r"[^\W\d_]+"), regex.compile(r"[\p{L}\p{M}]+")
 _PAD, _END = "\x02" * (ORDER - 1), "\x03"
 
 
@@ -54,7 +62,12 @@ def _suffix_hashes(columns: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    low = text.lower()
+    try:
+        low.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD_OR_MARK.findall(low)
+    return _WORD.findall(low)  # Latin-1 has no combining marks
 
 
 def grams(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +97,8 @@ class Model:
     #: For each language: mean cross-entropy and variance a + b / characters; and the most standard deviations above it.
     usual: list[tuple[float, float, float]] = field(default_factory=list)
     reject_beyond: float = float("inf")
+    #: The documents that calibrated it.
+    calibrated_on: int = 0
 
     @classmethod
     def laid_out(cls, sizes: dict[tuple[str, int], tuple[int, int, int]]) -> Model:
@@ -276,12 +291,16 @@ def _chunks(entries: DataFrame) -> DataFrame:
     return staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, "lang string, part int, first long, size long, ones long, twos long, columns array<binary>"), "chunks")
 
 
-def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", calibration: int = CALIBRATION) -> Model:
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model of the rows of docs that have a language and a text; without such rows it knows no language.
 
-    Every n-gram is kept. The driver copies the arrays stretch by stretch, and holds no more than `BROADCAST` bytes of them.
+    Every n-gram of the documents that don't calibrate is kept. The driver copies the arrays stretch by stretch, and holds
+    no more than `BROADCAST` bytes of them.
     """
-    chunks = _chunks(_entries(count_grams(docs, text_col=text_col, lang_col=lang_col)))
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    many = [r[0] for r in labelled.groupBy(F.col(lang_col)).count().where(F.col("count") >= FEW).select(lang_col).collect()]
+    aside = F.coalesce((F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit("aside")), F.lit(ASIDE)) == 0) & F.col(lang_col).isin(many), F.lit(False))
+    chunks = _chunks(_entries(count_grams(labelled.where(~aside), text_col=text_col, lang_col=lang_col)))
     known = sorted((tuple(r) for r in chunks.drop("columns").collect()), key=lambda r: r[:3])
     sizes: dict[tuple[str, int], tuple[int, int, int]] = {}
     before = {}
@@ -307,43 +326,50 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
         model.data.flush()
         docs.sparkSession.sparkContext.addFile(path)
         model.data = os.path.basename(path)
-    _calibrate(model, docs, text_col, lang_col, id_col, calibration)
+    _calibrate(model, labelled.where(aside), text_col, lang_col, id_col)
     return model
 
 
-def _calibrate(model: Model, docs: DataFrame, text_col: str, lang_col: str, id_col: str, most: int) -> None:
-    labelled = docs.where(F.col(lang_col).isin(model.languages) & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    share = min(1.0, most / max(1, labelled.count()))
-    part = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = _costs(part, model, text_col, id_col, F.col(lang_col).alias("lang")).where("chars > 0").limit(2 * most).toArrow().to_pydict()
-    if not rows["id"]:
+def _calibrate(model: Model, aside: DataFrame, text_col: str, lang_col: str, id_col: str) -> None:
+    """Temperature, usual costs and rejection from documents that weren't counted; Spark adds up all of them."""
+    rows = _costs(aside.where(F.col(lang_col).isin(model.languages)), model, text_col, id_col, F.col(lang_col).alias("lang")).where("chars > 0")
+    rows = staged(rows.withColumn("ce", F.transform("costs", lambda c: c / F.col("chars"))).withColumn("gold", F.array_position(F.array(*map(F.lit, model.languages)), F.col("lang")).cast("int")).withColumn("own", F.element_at("ce", F.col("gold"))), "calibration")
+    schema = pa.schema([("k", pa.int32()), ("loss", pa.float64())])
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(TEMPERATURES))
+        for batch in slices(batches, 4096):
+            gold = batch.column("gold").to_numpy() - 1
+            z = -batch.column("ce").flatten().to_numpy().reshape(len(gold), -1)
+            z -= z.max(1, keepdims=True, initial=-np.inf)
+            for k, t in enumerate(TEMPERATURES):
+                total[k] += np.sum(np.log(np.exp(t * z).sum(1)) - t * z[np.arange(len(z)), gold])
+        yield rows_of({"k": list(range(len(total))), "loss": total}, schema)
+
+    # One job: losses of the temperatures, and each language's median and number.
+    middle = F.percentile_approx("own", 0.5, 10_000)
+    medians = {r.gold: (r.m, r.n) for r in rows.groupBy("gold").agg(middle.alias("m"), F.count(F.lit(1)).alias("n")).collect()}
+    model.calibrated_on = sum(n for _, n in medians.values())
+    if not model.calibrated_on:
         return
-    ce = np.array(rows["costs"]) / np.array(rows["chars"])[:, None]
-    chars, gold = np.array(rows["chars"]), np.array([model.languages.index(x) for x in rows["lang"]])
-    best = (np.inf, model.temperature)
-    for t in np.geomspace(1, 200, 40):
-        z = -t * ce
-        z -= z.max(1, keepdims=True)
-        best = min(best, (float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), gold])), float(t)))
-    model.temperature = best[1]
-    own, deviations = ce[np.arange(len(ce)), gold], []
-    for k in range(len(model.languages)):
-        x, m = own[gold == k], chars[gold == k]
-        if len(x) < 5:
-            model.usual.append((float(np.mean(own)), float(np.var(own)) + 1e-3, 1.0))
-        else:
-            mean = float(np.median(x))
-            b, a = np.polyfit(1 / m, (x - mean) ** 2, 1) if len(set(m)) > 1 else (0.0, np.var(x))
-            model.usual.append((mean, max(float(a), 1e-3), max(float(b), 0.05)))
-        deviations.append(_deviation(x, m, model.usual[k]))
-    spread = np.concatenate(deviations)
-    # Stays clear of what labelled documents show: half as far again as all but a thousandth of them.
-    model.reject_beyond = max(6.0, 1.5 * float(np.quantile(spread, 0.999)))
-
-
-def _deviation(ce: np.ndarray, chars: np.ndarray, usual: tuple[float, float, float]) -> np.ndarray:
-    mean, a, b = usual
-    return (ce - mean) / np.sqrt(a + b / np.maximum(chars, 1))
+    found = {r.k: r.loss for r in rows.select("gold", "ce").mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss").alias("loss")).collect()}
+    model.temperature = float(TEMPERATURES[min(found, key=lambda k: (found[k], k))])
+    mean = F.element_at(F.create_map(*(F.lit(x) for k, (m, _) in sorted(medians.items()) for x in (k, m))), F.col("gold"))
+    d, u = F.pow(F.col("own") - mean, 2), 1 / F.col("chars")
+    sums = {r.gold: r for r in rows.groupBy("gold").agg(F.avg(d).alias("d"), F.avg(u).alias("u"), F.avg(d * u).alias("du"), F.avg(u * u).alias("uu")).collect()}
+    everyone = sum(medians[k][0] * medians[k][1] for k in medians) / model.calibrated_on
+    spread = sum(sums[k].d * medians[k][1] for k in medians) / model.calibrated_on
+    for k in range(1, len(model.languages) + 1):
+        if k not in sums:  # few documents, all of them counted
+            model.usual.append((everyone, spread + 1e-3, 1.0))
+            continue
+        r = sums[k]
+        varied = r.uu - r.u * r.u
+        b = (r.du - r.d * r.u) / varied if varied > 1e-12 else 0.0  # of the squares' regression on 1 / characters
+        model.usual.append((medians[k][0], max(r.d - b * r.u, 1e-3), max(b, 0.05)))
+    of = lambda i: F.element_at(F.array(*(F.lit(x[i]) for x in model.usual)), F.col("gold"))
+    deviation = (F.col("own") - of(0)) / F.sqrt(of(1) + of(2) / F.col("chars"))
+    model.reject_beyond = MARGIN * float(rows.agg(F.percentile_approx(deviation, REJECT, 10_000)).first()[0])
 
 
 def _decide(model: Model, costs: np.ndarray, chars: np.ndarray, letters: np.ndarray) -> dict[str, list]:
@@ -351,7 +377,7 @@ def _decide(model: Model, costs: np.ndarray, chars: np.ndarray, letters: np.ndar
     known = (letters > 0) & (some > 0)
     ce = costs / np.maximum(chars, 1)[:, None]
     if not some:
-        return {"lang_pred": [NO_LANGUAGE] * n, "score": [0.0] * n, "cross_entropy": [None] * n, "rejected": [True] * n}
+        return {"lang_pred": [NO_LANGUAGE] * n, "score": [0.0] * n, "cross_entropy": [None] * n, "rejected": (letters == 0).tolist()}
     z = -model.temperature * ce
     z = np.exp(z - z.max(1, keepdims=True))
     z /= z.sum(1, keepdims=True)
@@ -387,9 +413,9 @@ def _costs(docs: DataFrame, model: Model, text_col: str, id_col: str, *extra: Co
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", id_col: str = "doc_id", folds: int = 4, held_out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy, rejected of every row; only the text is looked at.
 
-    A null text, one without a letter and any text under a model without languages are `und` with score 0 and rejected.
-    Ties go to the first language by name. Null ids are not held out; repeated rows are scored alike; an empty table
-    gives no rows.
+    A null text and one without a letter are `und` with score 0 and rejected. Under a model without languages every text is
+    `und` with score 0, and only those without a letter are rejected, since there is nothing to tell the others by. Ties go
+    to the first language by name. Null ids are not held out; repeated rows are scored alike; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())]
@@ -406,7 +432,11 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text", id_col: s
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that `identify` doesn't reject."""
+    """The rows of docs, all columns, that `identify` doesn't reject.
+
+    Null and empty texts and those without a letter go; null ids and repeated rows stay as they are; a model without
+    languages (a corpus without labels) keeps every text with a letter; an empty table gives no rows.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
