@@ -2,9 +2,10 @@
 
 Every partition packs its own rows in one streaming pass: no shuffle, and memory bounded by the open sequences.
 A document is cut into whole sequences and a remainder; the remainder goes to the fill level that leaves the
-smallest sum of squared counts of partially filled sequences, kept in a level array. When `open_limit` sequences are
-open, or at a partition's end, the open ones are re-cut into whole sequences, and what then remains is cut into
-sequences whose lengths are powers of two, which need no padding.
+smallest sum of squared counts of partially filled sequences, kept in a level array. Where that would open a sequence
+beyond `open_limit`, the remainder is cut so that its first part closes a sequence of the fullest level, and its rest is
+placed anew. At a partition's end the emptiest sequences are placed onto the fullest levels in the same way, until what
+is left is cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -34,17 +35,17 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 class TokenBytes(dict):
     """Piece of a text -> its ids as little-endian 32-bit integers.
 
-    Ids are those of the tokenizer file. Where its ids rise in the order of its merges, as in any byte-level BPE file
-    whose ids double as ranks, single pieces are merged by rank, which gives the same ids at a tenth of the time.
+    Ids are those of the tokenizer file. Where merging by rank is proven to give the same ids (see same_by_rank), single
+    pieces are merged so, at a tenth of the time; otherwise the tokenizer itself encodes them.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_rank: bool):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranked = ranked(path)
+        self.ranked = _ranked(_merges(path)[0]) if by_rank else None
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -65,34 +66,68 @@ class TokenBytes(dict):
         return b"".join(map(self.__getitem__, split(text)))
 
 
-def ranked(path: str):
-    """The file's vocabulary as merge ranks, or None where its ids aren't in the order of its merges."""
-    import tiktoken
-
+def _merges(path: str) -> tuple[dict[bytes, int], list[tuple[bytes, bytes]]]:
+    """The file's tokens that are bytes or made by merges, with their ids; and its merges, in order."""
     with open(path, encoding="utf-8") as file:
         model = json.load(file)["model"]
     vocab = model["vocab"]
-    pairs = [m if isinstance(m, str) else "".join(m) for m in model["merges"]]
-    order = [vocab[p.replace(" ", "")] for p in pairs]
-    if order != sorted(order):
-        return None
-    merged = set(order)
     # Byte-level files write a byte as itself where it is printable, and the others as U+0100 onwards.
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-    ranks = {bytes(map(letters.__getitem__, token)): i for token, i in vocab.items() if all(c in letters for c in token) and (len(token) == 1 or i in merged)}
-    return tiktoken.Encoding("ranked", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe if len(ranks) >= 256 else None
+    raw = lambda token: bytes(map(letters.__getitem__, token))
+    pairs = [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    made = {a + b for a, b in pairs}
+    return {raw(t): i for t, i in vocab.items() if all(c in letters for c in t) and (len(t) == 1 or raw(t) in made)}, pairs
+
+
+def _ranked(ranks: dict[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("ranked", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
+def merged(word: bytes, ranks: dict[bytes, int], below: int) -> list[bytes]:
+    """Joins the neighbours whose token has the lowest rank, while that is below the given one."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank >= below:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
 
+def same_by_rank(path: str) -> bool:
+    """Whether merging by rank, any two neighbours that make a token, gives the same ids as the file's list of merges.
 
+    That is so if ids rise in the order of merges, every byte has an id, each token has one merge, and merging the bytes
+    of a token by lower ranks alone ends with exactly the two halves of that merge: before two neighbours are joined, all
+    joins of lower rank have been made within them, and none across their ends, so that they are these halves.
+    """
+    ranks, pairs = _merges(path)
+    order = [ranks.get(a + b, -1) for a, b in pairs]
+    if order != sorted(set(order)) or -1 in order or not all(bytes([b]) in ranks for b in range(256)):
+        return False
+    return all(merged(a + b, ranks, i) == [a, b] for (a, b), i in zip(pairs, order, strict=True))
+
+
+_SAME: dict[str, bool] = {}
 _TOKENS: dict[str, TokenBytes] = {}
 
 
-def tokens(path: str) -> TokenBytes:
+def tokens(path: str, by_rank: bool | None = None) -> TokenBytes:
+    """The file's encoder; the driver proves by_rank once and tells its workers."""
     if path not in _TOKENS:
-        _TOKENS[path] = TokenBytes(path)
+        _TOKENS[path] = TokenBytes(path, _proven(path) if by_rank is None else by_rank)
     return _TOKENS[path]
 
 
+def _proven(path: str) -> bool:
+    if path not in _SAME:
+        _SAME[path] = same_by_rank(path)
+    return _SAME[path]
+
+
 class SumOfSquares:
     """Packs pieces (doc_id, start, ids, doc_tokens) and yields closed sequences as lists of pieces."""
 
@@ -120,56 +155,62 @@ class SumOfSquares:
         whole = len(ids) // width * width
         for at in range(0, whole, width):
             yield [(doc, start + at // 4, ids[at : at + width], total)]
-        if whole == len(ids):
-            return
         rest = (doc, start + whole // 4, ids[whole:], total)
-        size = (len(ids) - whole) // 4
-        level = self.level(size)
-        held = [rest]
-        if level:
-            held = self.bins[level].popleft()
-            held.append(rest)
-            self.count[level] -= 1
-            self.open -= 1
-        if level + size == self.length:
+        while len(rest[2]):
+            size = len(rest[2]) // 4
+            level = self.level(size)
+            if level or self.open < self.open_limit:
+                yield from self.put(self.take(level) if level else [], level, rest)
+                return
+            rest = yield from self.close_fullest(rest)
+
+    def take(self, level: int) -> list[tuple]:
+        self.count[level] -= 1
+        self.open -= 1
+        return self.bins[level].popleft()
+
+    def put(self, held: list[tuple], level: int, piece: tuple) -> Iterator[list[tuple]]:
+        """Adds the piece to a sequence of this level."""
+        held.append(piece)
+        level += len(piece[2]) // 4
+        if level == self.length:
             yield held
-            return
-        self.bins[level + size].append(held)
-        self.count[level + size] += 1
-        self.open += 1
-        if self.open > self.open_limit:
-            yield from self.recut(last=False)
-
-    def recut(self, last: bool) -> Iterator[list[tuple]]:
-        """Joins the open sequences and cuts them anew; only what is left over stays open, or is cut at powers of two."""
-        held = [p for level in reversed(self.bins) for b in level for p in b]
-        self.count[:] = 0
-        self.open = 0
-        for level in self.bins:
-            level.clear()
-        left = sum(len(p[2]) for p in held) // 4
-        target, sequence, filled = min(left, self.length), [], 0
-        if last and target < self.length and target:
-            target = 1 << (target.bit_length() - 1)
-        queue = deque(held)
-        while queue:
-            doc, start, ids, total = queue.popleft()
-            take = min(len(ids) // 4, target - filled)
-            sequence.append((doc, start, ids[: 4 * take], total))
-            filled += take
-            if 4 * take < len(ids):
-                queue.appendleft((doc, start + take, ids[4 * take :], total))
-            if filled == target:
-                left -= filled
-                if not last and filled < self.length:
-                    self.bins[filled].append(sequence)
-                    self.count[filled] += 1
-                    self.open += 1
-                else:
-                    yield sequence
-                sequence, filled, target = [], 0, min(left, self.length)
-                if last and 0 < target < self.length:
-                    target = 1 << (target.bit_length() - 1)
+        else:
+            self.bins[level].append(held)
+            self.count[level] += 1
+            self.open += 1
+
+    def close_fullest(self, piece: tuple):
+        """Puts what fits of the piece onto the fullest level; gives back its rest."""
+        level = int(np.flatnonzero(self.count)[-1])
+        doc, start, ids, total = piece
+        n = min(len(ids) // 4, self.length - level)
+        yield from self.put(self.take(level), level, (doc, start, ids[: 4 * n], total))
+        return doc, start + n, ids[4 * n :], total
+
+    def finish(self) -> Iterator[list[tuple]]:
+        """Places the pieces of the emptiest sequences onto the fullest; cuts what then is left at powers of two."""
+        while self.open > 1:
+            for piece in self.take(int(np.flatnonzero(self.count)[0])):
+                while len(piece[2]):
+                    if not self.open:
+                        yield from self.put([], 0, piece)
+                        break
+                    piece = yield from self.close_fullest(piece)
+        queue = deque(p for level in self.bins for b in level for p in b)
+        left = sum(len(p[2]) for p in queue) // 4
+        while left:
+            target = 1 << (left.bit_length() - 1)
+            sequence, filled = [], 0
+            while filled < target:
+                doc, start, ids, total = queue.popleft()
+                take = min(len(ids) // 4, target - filled)
+                sequence.append((doc, start, ids[: 4 * take], total))
+                filled += take
+                if 4 * take < len(ids):
+                    queue.appendleft((doc, start + take, ids[4 * take :], total))
+            yield sequence
+            left -= target
 
 
 def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", length: int = 2048, open_limit: int = 2048, tokenizer: str | None = None) -> DataFrame:
@@ -179,9 +220,10 @@ def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", len
     empty table gives no rows; other columns are ignored. Long texts are cut into many sequences.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    by_rank = _proven(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = tokens(path).encode, SumOfSquares(length, open_limit)
+        encode, packer = tokens(path, by_rank).encode, SumOfSquares(length, open_limit)
         number, end = TaskContext.get().partitionId() << 40, END.to_bytes(4, "little")
         out: list[tuple] = []
 
@@ -205,7 +247,7 @@ def pack(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", len
                 ids = encode(text) + end
                 put(packer.add((doc, 0, ids, len(ids) // 4)))
             yield rows()
-        put(packer.recut(last=True))
+        put(packer.finish())
         yield rows()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
