@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other long token.
 
-A candidate is what the fixed patterns leave of a maximal run of `[A-Za-z0-9+/_.=-]`, of at least `SHORTEST` characters. The network reads `INSIDE`
-characters with the text around the run; longer runs are read whole, in overlapping windows and in their parts between
-separators, each as if it stood alone in the run's place. It is trained on labelled findings: values that the fixed patterns find in a bounded
-sample of documents are secrets and the other candidates there are not, and findings generated from public token shapes
-stand beside them. Its threshold is the highest that keeps a recall of `RECALL` on findings kept aside, and no lower than
-a calibrated probability of `FLOOR`.
+A candidate is what the fixed patterns leave of a maximal run of `[A-Za-z0-9+/_.=-]`, of at least `SHORTEST` characters;
+shorter ones are too short for a token of their own and are left to the patterns. The network reads `INSIDE` characters
+with the text around the run; longer runs are read whole, in overlapping windows and in their parts between separators,
+each as if it stood alone in the run's place. It is trained on labelled findings: values that the fixed patterns find in a
+bounded sample of documents are secrets and the other candidates there are not, and findings generated from public token
+shapes stand beside them. Its threshold is the highest calibrated probability that keeps a recall of `RECALL` on findings
+kept aside.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ BEFORE, INSIDE, AFTER = 16, 40, 8
 #: Steps between the windows of a long run.
 STEP = 8
 WIDTH, FILTERS, KERNEL, CHANNELS = BEFORE + INSIDE + AFTER, 24, 5, 12
-RECALL, FLOOR = 0.98, 0.5
+RECALL = 0.98
 EPOCHS, BATCH, RATE = 6, 128, 0.01
 
 _LETTERS = {c: f"[{c}{c.upper()}]" for c in string.ascii_lowercase}
@@ -151,6 +152,24 @@ class Network:
         pooled = np.concatenate([h.max(1), h.mean(1), f, np.ones((len(x), 1))], 1)
         return pooled @ self.dense, h, pooled
 
+    def gradient(self, x: np.ndarray, f: np.ndarray, secret: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Derivatives of the weighted logistic loss."""
+        z, h, pooled = self.forward(x, f)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - secret) * weight
+        into = error[:, None] * self.dense[None, : 2 * FILTERS]
+        places = h.shape[1]
+        dh = np.repeat(into[:, None, FILTERS:] / places, places, 1)
+        rows, columns = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
+        dh[rows, h.argmax(1), columns] += into[:, :FILTERS]
+        dh *= h > 0
+        dk = np.zeros_like(self.kernel)
+        for k in range(KERNEL):
+            at = x[:, k : k + places].ravel()
+            one = np.zeros((len(at), CHANNELS))
+            one[np.arange(len(at)), at] = 1
+            dk[k] = one.T @ dh.reshape(-1, FILTERS)
+        return {"kernel": dk, "shift": dh.sum((0, 1)), "dense": pooled.T @ error}
+
     def probability(self, windows: list[str]) -> np.ndarray:
         out = [self.forward(classes(windows[i : i + 512]), features(windows[i : i + 512]))[0] for i in range(0, len(windows), 512)]
         z = self.slope * np.concatenate(out or [np.zeros(0)]) + self.offset
@@ -170,22 +189,10 @@ def fit(windows: list[str], secret: np.ndarray, seed: int = 5) -> Network:
     step = 0
     for _ in range(EPOCHS):
         for own in np.array_split(rng.permutation(part), max(1, len(part) // BATCH)):
-            z, h, pooled = net.forward(x[own], f[own])
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - secret[own]) * weight[own] / len(own)
-            into = error[:, None] * net.dense[None, : 2 * FILTERS]
-            places = h.shape[1]
-            dh = np.repeat(into[:, None, FILTERS:] / places, places, 1)
-            rows, columns = np.arange(len(own))[:, None], np.arange(FILTERS)[None, :]
-            dh[rows, h.argmax(1), columns] += into[:, :FILTERS]
-            dh *= h > 0
-            dk = np.zeros_like(net.kernel)
-            for k in range(KERNEL):
-                at = x[own, k : k + places].ravel()
-                one = np.zeros((len(at), CHANNELS))
-                one[np.arange(len(at)), at] = 1
-                dk[k] = one.T @ dh.reshape(-1, FILTERS)
+            slopes = net.gradient(x[own], f[own], secret[own], weight[own] / len(own))
             step += 1
-            for name, g in (("kernel", dk), ("shift", dh.sum((0, 1))), ("dense", pooled.T @ error + 1e-4 * net.dense)):
+            slopes["dense"] += 1e-4 * net.dense
+            for name, g in slopes.items():
                 m, v = state[name]
                 m *= 0.9
                 m += 0.1 * g
@@ -201,7 +208,8 @@ def fit(windows: list[str], secret: np.ndarray, seed: int = 5) -> Network:
         b -= 0.5 * float((p - y).mean())
     net.slope, net.offset = max(a, 1e-3), b
     p = 1 / (1 + np.exp(-np.clip(net.slope * z + net.offset, -30, 30)))
-    net.threshold = max(FLOOR, float(np.quantile(p[y == 1], 1 - RECALL))) if y.any() else 1.0
+    # The lower of two neighbours, so that at least RECALL of the findings reach it.
+    net.threshold = float(np.quantile(p[y == 1], 1 - RECALL, method="lower")) if y.any() else 1.0
     return net
 
 
@@ -315,7 +323,11 @@ def mask(text: str, spans: list[Span], by: str) -> str:
 
 
 def redact(docs: DataFrame, net: Network, *, text_col: str = "text", length_col: str = "n_chars", by: str = "[secret]") -> DataFrame:
-    """docs with every finding in the text replaced; length_col, where there is one, follows. Null texts stay null."""
+    """docs with every finding in the text replaced; length_col, where there is one, follows.
+
+    Null texts stay null and empty ones empty; rows without findings, rows with null ids and repeated rows stay as they
+    are, each by itself; an empty table gives no rows.
+    """
     held, at = docs.sparkSession.sparkContext.broadcast(net), docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
