@@ -24,6 +24,8 @@ from .pieces import split
 
 #: Pieces and pairs of tokens that a worker keeps; beyond, it starts afresh.
 PIECES, PAIRS = 300_000, 1_000_000
+#: Transitions beyond the vocabulary's own, likewise: 100 MB.
+TRANSITIONS = 1_000_000
 #: Bytes after which a long piece emits.
 EMIT = 512
 
@@ -108,7 +110,11 @@ class Vocabulary:
 class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.goto = dict(vocabulary.trie)
+        self.reset()
+
+    def reset(self) -> None:
+        """Only what the vocabulary holds: failures and endings are of its states, so that they stay bounded."""
+        self.goto = dict(self.vocabulary.trie)
         self.fail: dict[int, int] = {0: 0}
         self.ends: dict[int, tuple] = {0: ()}
 
@@ -139,6 +145,8 @@ class Transducer:
         return found
 
     def run(self, word: bytes) -> list[int]:
+        if len(self.goto) > len(self.vocabulary.trie) + TRANSITIONS:
+            self.reset()
         goto, ends, size, known, apart = self.goto, self.ends, self.vocabulary.size, self.vocabulary._apart, self.vocabulary.apart
         node, at, base, out = 0, 0, 0, []
         last, width = [-1], [0]  # of each boundary since the last emission
@@ -265,11 +273,19 @@ class Decoder:
             key = (self.pending, i)
             step = self.steps.get(key)
             if step is None:
-                step = self.steps[key] = utf8_step(self.pending, self.vocabulary.bytes[i])
+                if len(self.steps) > PAIRS:
+                    self.steps.clear()
+                known = self.vocabulary.bytes.get(i)
+                # An id that there isn't ends what is pending and is one ill-formed character itself.
+                step = self.steps[key] = (b"\xef\xbf\xbd" * (1 + bool(self.pending)), b"") if known is None else utf8_step(self.pending, known)
             out.append(step[0])
             self.pending = step[1]
         return b"".join(out)
 
+    def start(self) -> None:
+        """Forgets what an interrupted text left."""
+        self.pending = b""
+
     def end(self) -> bytes:
         """What is still pending can't become a character."""
         left, self.pending = self.pending, b""
@@ -303,13 +319,18 @@ def encode(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", v
 
 
 def decode(encoded: DataFrame, *, ids_col: str = "ids", id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
-    """doc_id and text of every row; null or empty ids give an empty text, ill-formed bytes U+FFFD."""
+    """doc_id and text of every row; null or empty ids give an empty text, ill-formed bytes U+FFFD.
+
+    An id that the vocabulary lacks, or a null in place of one, is U+FFFD too. Null doc_ids and repeated rows pass through;
+    an empty table gives no rows.
+    """
     from pyspark.sql import functions as F
 
     path, schema = _vocabulary(vocabulary), pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, decoder = codec(path)
+        decoder.start()
         for batch in slices(batches):
             texts = [(decoder.feed(i or []) + decoder.end()).decode() for i in batch.column("ids").to_pylist()]
             yield rows_of({"doc_id": batch.column("id").to_pylist(), "text": texts}, schema)
@@ -328,6 +349,7 @@ def round_trip(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = codec(path)
+        decoder.start()
         names = [str(i) for i in range(encoder.vocabulary.size)].__getitem__
         for batch in slices(batches):
             n, ids_sha, text_sha = [], [], []
