@@ -6,22 +6,15 @@ codes are canonical and read from their highest bit.
 
 from __future__ import annotations
 
-import heapq
 import struct
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
 # Fixed values of the format.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-NEAR = (
-    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2), (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3),
-    (3, 2), (-3, 2), (0, 4), (4, 0), (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4), (-3, 4), (4, 3), (-4, 3), (5, 0),
-    (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2), (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
-    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3), (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1),
-    (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
-    (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
-)
+#: Distance codes of the pixels near by: columns to the left and rows up, the nearest first.
+NEAR = sorted(((dx, dy) for dx in range(-7, 9) for dy in range(8) if dy or dx > 0), key=lambda d: (d[0] ** 2 + d[1] ** 2, abs(d[0]), -d[0]))
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
 SIDE = 16_384  # most pixels of a side
@@ -31,15 +24,30 @@ BLACK = 0xFF000000
 # Prefix codes
 
 
+@lru_cache(maxsize=16)
+def turned(bits: int) -> np.ndarray:
+    """All numbers of so many bits with their bits in reverse."""
+    out = np.zeros(1, np.int64)
+    for _ in range(bits):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+def _canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Used symbols in the order of their codes, shorter codes first, and their lengths."""
+    used = np.flatnonzero(lengths)
+    order = np.argsort(lengths[used], kind="stable")
+    return used[order], lengths[used][order]
+
+
 def reversed_codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes of symbols with these lengths, first bit lowest."""
     out = np.zeros(len(lengths), np.int64)
-    code = 0
-    for n in range(1, int(lengths.max(initial=0)) + 1):
-        for s in np.flatnonzero(lengths == n).tolist():
-            out[s] = int(f"{code:0{n}b}"[::-1], 2)
-            code += 1
-        code <<= 1
+    used, n = _canonical(lengths)
+    if len(used):
+        most = int(n[-1])
+        spans = 1 << (most - n)
+        out[used] = turned(most)[np.cumsum(spans) - spans]  # codes as wide as the longest one, reversed: the low bits stay
     return out
 
 
@@ -47,19 +55,23 @@ class Code:
     """A prefix code to read with: for each value of the next `bits` bits a symbol and its length."""
 
     def __init__(self, lengths: tuple[int, ...]):
-        n = np.array(lengths, np.int64)
-        used = np.flatnonzero(n)
+        used, n = _canonical(np.array(lengths, np.int64))
         if len(used) <= 1:  # the one symbol takes no bits
             self.bits, self.symbol, self.length = 0, np.array(used if len(used) else [0]), np.zeros(1, np.int64)
         else:
-            if int(np.sum(1 << (15 - n[used]))) != 1 << 15:
+            if int(np.sum(1 << (15 - n))) != 1 << 15:
                 raise ValueError("a prefix code is not complete")
-            self.bits = int(n.max())
-            self.symbol, self.length = np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
-            for s, c in zip(used.tolist(), reversed_codes(n)[used].tolist(), strict=True):
-                self.symbol[c :: 1 << int(n[s])] = s
-                self.length[c :: 1 << int(n[s])] = n[s]
-        self.symbols, self.lengths = self.symbol.tolist(), self.length.tolist()
+            self.bits = int(n[-1])
+            at = turned(self.bits)
+            self.symbol, self.length = np.repeat(used, 1 << (self.bits - n))[at], np.repeat(n, 1 << (self.bits - n))[at]
+
+    @cached_property
+    def symbols(self) -> list[int]:
+        return self.symbol.tolist()
+
+    @cached_property
+    def lengths(self) -> list[int]:
+        return self.length.tolist()
 
 
 @lru_cache(maxsize=64)
@@ -99,6 +111,8 @@ class Bits:
                 symbols.append(self.read(8))
             lengths = [0] * alphabet
             for s in symbols:
+                if s >= alphabet:
+                    raise ValueError("a simple prefix code names a symbol that there isn't")
                 lengths[s] = 1
             return code_of(tuple(lengths))
         of_lengths = [0] * 19
@@ -106,17 +120,33 @@ class Bits:
             of_lengths[k] = self.read(3)
         reader = code_of(tuple(of_lengths))
         left = 2 + self.read(2 + 2 * self.read(3)) if self.read(1) else alphabet
-        lengths, before = [], 8
+        lengths, before, at, data = [], 8, self.at, self.data
+        symbols, sizes, mask = reader.symbols, reader.lengths, (1 << reader.bits) - 1
+        window, used = 0, 64
         while len(lengths) < alphabet and left:
             left -= 1
-            s = self.symbol(reader)
+            if used > 40:  # a length takes at most 14 bits
+                if at > self.end:
+                    raise ValueError("the image ends early")
+                window, used = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), at & 7
+            s = symbols[window & mask]
+            n = sizes[window & mask]
             if s < 16:
                 lengths.append(s)
                 before = s or before
             elif s == 16:
-                lengths += [before] * (3 + self.read(2))
+                lengths += [before] * (3 + (window >> n & 3))
+                n += 2
+            elif s == 17:
+                lengths += [0] * (3 + (window >> n & 7))
+                n += 3
             else:
-                lengths += [0] * (3 + self.read(3) if s == 17 else 11 + self.read(7))
+                lengths += [0] * (11 + (window >> n & 127))
+                n += 7
+            window >>= n
+            used += n
+            at += n
+        self.at = at
         if len(lengths) > alphabet:
             raise ValueError("a prefix code has too many lengths")
         return code_of(tuple(lengths + [0] * (alphabet - len(lengths))))
@@ -215,45 +245,87 @@ def _distance(code: int, width: int) -> int:
     return max(1, dx + dy * width)
 
 
+def _amounts(prefix: np.ndarray, peek, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes of these prefixes, whose extra bits begin at the given places; and where they end."""
+    extra = np.maximum(0, (prefix - 2) >> 1)
+    return np.where(prefix < 4, prefix, (2 + (prefix & 1) << extra) + (peek(at) & ((1 << extra) - 1))) + 1, at + extra
+
+
+#: Bytes of a stream that are looked at at once, and steps that are taken at once within them.
+STRETCH, HOP = 1 << 15, 4
+
+
+@lru_cache(maxsize=16)
+def _near_by(width: int) -> np.ndarray:
+    """How many pixels the near distance codes go back, from 1."""
+    return np.array([0, *(max(1, dx + dy * width) for dx, dy in NEAR)])
+
+
 def _one_channel(bits: Bits, codes: list[Code], width: int, total: int) -> np.ndarray:
-    """Pixels of which only green varies: the symbols at all bit positions are looked up at once and then followed."""
+    """Pixels of which only green varies.
+
+    At every bit position of a stretch the symbol there is looked up, with the length and distance of a back-reference,
+    and so where the next symbol would begin. Joining such steps gives steps of 2, 4, ... symbols; the symbols that are
+    really there are found by the longest steps and filled in by the shorter ones.
+    """
     green, red, blue, alpha, distance = codes
     fixed = red.symbols[0] << 16 | blue.symbols[0] | alpha.symbols[0] << 24
     if not green.bits and green.symbols[0] < 256:
         return np.full(total, fixed | green.symbols[0] << 8, np.uint32)
-    data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :].astype(np.uint32)
-    three = data[:-2] | data[1:-1] << 8 | data[2:] << 16
-    value = ((three[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32((1 << green.bits) - 1)).astype(np.uint16).ravel()
-    literal = np.where(green.symbol < 256, green.length, 0).astype(np.uint8)
-    steps = literal[value].tobytes()
-    origin = bits.at & ~7
-    out, places, n, p = np.empty(total, np.uint32), [], 0, bits.at & 7
-    put = places.append
-    most = len(steps) - 16
-    symbol = green.symbol.astype(np.uint32)
-    while True:
-        for _ in range(total - n):
-            step = steps[p]
-            if not step:
-                break
-            put(p)
-            p += step
-        out[n : n + len(places)] = symbol[value[np.array(places, np.int64)]] << np.uint32(8) | np.uint32(fixed)
-        n += len(places)
-        places.clear()
-        bits.at = origin + p
-        if p > most:
-            raise ValueError("the image ends early")
-        if n == total:
-            return out
-        length = bits.amount(bits.symbol(green) - 256)
-        back = _distance(bits.amount(bits.symbol(distance)), width)
-        if back > n or n + length > total:
+    out, n = np.empty(total, np.uint32), 0
+    near, entry = _near_by(width), green.symbol << 4 | green.length
+    whole = np.frombuffer(bits.data + bytes(32), np.uint8)
+    while n < total:
+        origin = bits.at >> 3
+        data = whole[origin : origin + STRETCH + 24].astype(np.int64)
+        inner = 8 * max(1, min(STRETCH, len(data) - 24))  # positions at which a symbol may begin here
+        words = data[:-7].copy()
+        for k in range(1, 7):
+            words |= data[k : k - 7] << (8 * k)
+
+        def peek(at: np.ndarray, words: np.ndarray = words) -> np.ndarray:
+            return words[at >> 3] >> (at & 7)
+
+        value = (words[: inner // 8, None] >> np.arange(8)).ravel() & ((1 << green.bits) - 1)
+        found = entry.take(value)  # the symbol, and its length in the low bits
+        step = found & 15
+        size, back = np.ones(inner, np.int64), np.zeros(inner, np.int64)
+        refs = np.flatnonzero(found >= 256 << 4)
+        if len(refs):
+            size[refs], at = _amounts((found[refs] >> 4) - 256, peek, refs + step[refs])
+            key = peek(at) & ((1 << distance.bits) - 1)
+            code, at = _amounts(distance.symbol[key], peek, at + distance.length[key])
+            back[refs] = np.where(code > 120, code - 120, near[np.minimum(code, 120)])
+            step[refs] = at - refs
+        # Places beyond the stretch stay where they are.
+        ends = np.arange(inner) + step
+        hops = [np.minimum(np.append(ends, inner), inner)]
+        for _ in range(HOP):
+            hops.append(hops[-1].take(hops[-1]))
+        heads, p, longest = [], bits.at & 7, hops[HOP]
+        while p < inner:
+            heads.append(p)
+            p = int(longest[p])
+        at = np.array(heads, np.int64)
+        for k in range(HOP - 1, -1, -1):
+            at = np.stack([at, hops[k].take(at)], axis=1).ravel()
+        at = at[at < inner]
+        begins = n + np.cumsum(size[at]) - size[at]
+        at, begins = at[begins < total], begins[begins < total]
+        n = int(begins[-1] + size[at[-1]])
+        bits.at = 8 * origin + int(ends[at[-1]])
+        if n > total:
             raise ValueError("a back-reference leaves the image")
-        source = out[n - back : n]
-        out[n : n + length] = np.resize(source, length) if back < length else source[:length]
-        n += length
-        p = bits.at - origin
+        if bits.at > bits.end:
+            raise ValueError("the image ends early")
+        far = np.flatnonzero(back[at])
+        plain = np.delete(np.arange(len(at)), far) if len(far) else slice(None)
+        out[begins[plain]] = (found[at[plain]] >> 4).astype(np.uint32) << np.uint32(8) | np.uint32(fixed)
+        for to, d, k in zip(begins[far].tolist(), back[at[far]].tolist(), size[at[far]].tolist(), strict=True):
+            if d > to:
+                raise ValueError("a back-reference leaves the image")
+            out[to : to + k] = out[to - d : to - d + k] if d >= k else np.resize(out[to - d : to], k)
+    return out
 
 
 def _split(pixels: np.ndarray) -> list[np.ndarray]:
@@ -374,19 +446,31 @@ def code_lengths(counts: np.ndarray, most: int = 15) -> np.ndarray:
     if len(used) < 2:
         lengths[used] = 1
         return lengths
-    counts = counts.astype(np.int64)
+    weight = np.asarray(counts, np.int64)[used]
+    order = np.argsort(weight, kind="stable")
     while True:
-        heap = [(int(counts[s]), int(s), (int(s),)) for s in used]
-        heapq.heapify(heap)
-        lengths[:] = 0
-        while len(heap) > 1:
-            (a, i, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            for s in (*x, *y):
-                lengths[s] += 1
-            heapq.heappush(heap, (a + b, i, x + y))
+        # The two lightest trees are joined: leaves and joined trees are each taken in the order of their weight.
+        leaves, joined, parent = weight[order].tolist(), [], [0] * (2 * len(used) - 1)
+        i = j = 0
+        for k in range(len(used) - 1):
+            total = 0
+            for _ in (0, 1):
+                if i < len(leaves) and (j >= len(joined) or leaves[i] <= joined[j]):
+                    total += leaves[i]
+                    parent[i] = len(used) + k
+                    i += 1
+                else:
+                    total += joined[j]
+                    parent[len(used) + j] = len(used) + k
+                    j += 1
+            joined.append(total)
+        depth = [0] * len(parent)
+        for k in range(len(parent) - 2, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        lengths[used[order]] = depth[: len(used)]
         if lengths.max() <= most:
             return lengths
-        counts[used] = (counts[used] + 1) // 2
+        weight = (weight + 1) // 2
 
 
 def amount_code(value: int) -> tuple[int, int, int]:
@@ -418,48 +502,43 @@ class Writer:
             return
         self.put(0, 1)
         runs: list[tuple[int, int, int]] = []
-        i, listed = 0, lengths.tolist()
-        while i < len(listed):
-            j = i
-            while j < len(listed) and listed[j] == 0:
-                j += 1
-            while j - i >= 3:
-                n = min(j - i, 138)
+        before, listed = -1, lengths.tolist()
+        for i in [*used, len(listed)]:
+            zeros = i - before - 1
+            while zeros >= 3:
+                n = min(zeros, 138)
                 runs.append((17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
-                i += n
+                zeros -= n
+            runs += [(0, 0, 0)] * zeros
             if i < len(listed):
                 runs.append((listed[i], 0, 0))
-                i += 1
+            before = i
         own = code_lengths(np.bincount([r[0] for r in runs], minlength=19), 7)
         if np.count_nonzero(own) == 1:
             own[np.flatnonzero(own == 0)[0]] = 1  # a code needs two symbols to take bits
         self.put(15, 4)
-        for k in LENGTH_ORDER:
-            self.put(int(own[k]), 3)
+        self.fields += [(int(own[k]), 3) for k in LENGTH_ORDER]
         self.put(0, 1)
-        codes = reversed_codes(own)
-        for s, extra, n in runs:
-            self.put(int(codes[s]), int(own[s]))
-            if n:
-                self.put(extra, n)
+        codes, own = reversed_codes(own).tolist(), own.tolist()
+        self.fields += [(codes[s] | extra << own[s], own[s] + n) for s, extra, n in runs]
 
-    def bits(self) -> np.ndarray:
-        values, sizes = (np.array(x, np.int64) for x in zip(*self.fields, strict=True)) if self.fields else (np.zeros(0, np.int64),) * 2
-        return spread(values, sizes)
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array(x, np.int64) for x in zip(*self.fields, strict=True)) if self.fields else (np.zeros(0, np.int64),) * 2
 
 
-def spread(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Bits of values, lowest first, one after another."""
+def packed_bits(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Values of at most 24 bits, lowest bits first, one after another. No two share a bit, so that bytes are sums."""
     at = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
-    for k in range(int(sizes.max(initial=0))):
-        some = sizes > k
-        out[at[some] + k] = values[some] >> k & 1
-    return out
+    total = int(sizes.sum())
+    place, shifted = at >> 3, values << (at & 7)
+    out = np.zeros(total // 8 + 5, np.int64)
+    for k in range(4):
+        out += np.bincount(place + k, shifted >> (8 * k) & 255, len(out)).astype(np.int64)
+    return out[: -(-total // 8)].astype(np.uint8).tobytes()
 
 
-def _container(bits: list[np.ndarray]) -> bytes:
-    body = np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+def _container(columns: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
+    body = packed_bits(*(np.concatenate(x) for x in zip(*columns, strict=True)))
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
@@ -581,74 +660,103 @@ def encode(pixels: np.ndarray, *, predictor: np.ndarray | None = None, cross_col
         now = _join(*(x - y for x, y in zip(_split(now), _split(guess), strict=True)))
     out.put(0, 1)
     _entropy(out, now, cache_bits, references, True, groups, block)
-    return _container([out.bits()])
+    return _container([out.columns()])
 
 
 # Bytes as images of one channel
 
+#: Bytes that a back-reference has at least, and pixels that it goes back at most.
+MATCH, FARTHEST = 8, (1 << 20) - 128
 
-@lru_cache(maxsize=1)
-def _standard() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, codes and written form of the code for bytes of prose, which every short payload uses."""
-    weight = np.ones(280, np.int64)
-    for rank, letter in enumerate(b"etaoinshrdlucmfwypvbgkqjxz"):
-        weight[letter] = int(10_000 * 0.87**rank)
-        weight[letter - 32] = 150
-    weight[ord(" ")] = 16_000
-    weight[ord("\n")] = 600
-    weight[[*b".,"]] = 900
-    weight[[*b"0123456789\"'()-:;!?/_=|#$%&*"]] = 200
-    weight[0x80:0xC0] = 120
-    weight[0xC3] = 3_000
-    weight[256:] = [30] * 24
-    lengths = code_lengths(weight, 14)
-    return lengths, reversed_codes(lengths), _codes_for(lengths)
-
-
-def _codes_for(lengths: np.ndarray) -> np.ndarray:
-    """The five codes of an image whose green varies, with distances of one pixel back."""
-    out = Writer()
-    out.put(0, 1)  # no colour cache
-    out.put(0, 1)  # one group of codes
-    out.put_code(lengths)
-    for only in (0, 0, 255, 1):  # red, blue, alpha; the second distance code is the pixel to the left
-        one = np.zeros(256, np.int64)
-        one[only] = 1
-        out.put_code(one)
-    return out.bits()
 
+def _repeats(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and distances of back-references, in order: each takes the latest place of its first MATCH bytes.
 
-def encode_bytes(data: np.ndarray, width: int = 64, own_code_from: int = 8192) -> bytes:
+    Where that place is equally far back for one byte after another, the reference goes on.
+    """
+    n = len(data) - MATCH + 1
+    if n < 2:
+        return (np.zeros(0, np.int64),) * 3
+    key = data[:n].astype(np.uint64)
+    for k in range(1, MATCH):
+        key |= data[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    same = np.flatnonzero(ordered[1:] == ordered[:-1])
+    back = np.zeros(n, np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    back[back > FARTHEST] = 0
+    first = np.flatnonzero((back > 0) & (np.diff(back, prepend=0) != 0))
+    change = np.append(np.flatnonzero(np.diff(back)) + 1, n)
+    last = change[np.searchsorted(change, first, "right")]
+    out, at = [], 0
+    for a, b, d in zip(first.tolist(), last.tolist(), back[first].tolist(), strict=True):
+        a, end = max(a, at), b + MATCH - 1
+        if a < b:
+            out += [(k, min(4096, end - k), d) for k in range(a, end, 4096)]
+            at = end
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+@lru_cache(maxsize=4)
+def _near_codes(width: int) -> np.ndarray:
+    """The smallest distance code for so many pixels back, 0 where there is none."""
+    out, codes = np.zeros(9 * width, np.int64), _near_by(width)
+    out[codes[:0:-1]] = np.arange(len(NEAR), 0, -1)
+    return out
+
+
+def _amount_codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """amount_code of many values."""
+    v = np.maximum(values - 1, 1)
+    high = np.frexp(v.astype(np.float64))[1] - 1
+    extra = np.where(values > 4, high - 1, 0)
+    return np.where(values > 4, 2 * high + (v >> np.maximum(high - 1, 0) & 1), values - 1), v & ((1 << extra) - 1), extra
+
+
+def encode_bytes(data: np.ndarray, width: int = 64) -> bytes:
     """One image whose green channel is data, in rows of `width`. Equal data give equal images.
 
-    From own_code_from bytes the prefix code follows the data. A run of zeros at the end is one back-reference; at most
-    16 different values become a palette with several values to a pixel.
+    At every size: at most 16 different values become a palette, with several values to a pixel; else runs that occurred
+    before are back-references, and prefix codes follow the data. Other transforms and the colour cache save nothing
+    where two channels are empty and neighbours don't predict.
     """
     height = len(data) // width
-    kinds = np.flatnonzero(np.bincount(data, minlength=256)) if len(data) >= own_code_from else ()
-    if 0 < len(kinds) <= 16:
+    if np.count_nonzero(np.bincount(data, minlength=256)) <= 16:
         return encode((data.astype(np.uint32) << np.uint32(8) | np.uint32(BLACK)).reshape(height, width), palette=True)
-    zeros = len(data) - (int(np.flatnonzero(data)[-1]) + 1 if data.any() else 0)
-    run = zeros - 1 if zeros >= 5 else 0
-    symbols = data[: len(data) - run].astype(np.int64)
-    tail = Writer()
-    if len(data) >= own_code_from:
-        counts = np.bincount(symbols, minlength=280)
-        if run:
-            counts[256 + np.array([amount_code(min(run - k, 4096))[0] for k in range(0, run, 4096)])] += 1
-        lengths = code_lengths(counts, 14)
-        codes, head = reversed_codes(lengths), _codes_for(lengths)
-    else:
-        lengths, codes, head = _standard()
-    for k in range(0, run, 4096):
-        prefix, extra, n = amount_code(min(run - k, 4096))
-        tail.put(int(codes[256 + prefix]), int(lengths[256 + prefix]))
-        if n:
-            tail.put(extra, n)
+    begins, size, back = _repeats(data)
+    literal = np.ones(len(data), bool)
+    covered = np.arange(int(size.sum())) + np.repeat(begins - (np.cumsum(size) - size), size)
+    literal[covered] = False
+    literal[begins] = True  # stands for the whole reference
+    token = np.flatnonzero(literal)
+    ref = np.searchsorted(token, begins)
+    near = _near_codes(width)
+    found = near[np.minimum(back, len(near) - 1)] * (back < len(near))
+    length_code, length_extra, length_bits = _amount_codes(size)
+    distance_code, distance_extra, distance_bits = _amount_codes(np.where(found > 0, found, back + 120))
+    symbol = data[token].astype(np.int64)
+    symbol[ref] = 256 + length_code
+    lengths, far = code_lengths(np.bincount(symbol, minlength=280)), code_lengths(np.bincount(distance_code, minlength=40))
     start = _header(width, height, False)
-    start.put(0, 1)
-    body = spread(codes[symbols], lengths[symbols]) if np.count_nonzero(lengths) > 1 else np.zeros(0, np.uint8)
-    return _container([start.bits(), head, body, tail.bits()])
+    for value in (0, 0, 0):  # no transform, no colour cache, one group of codes
+        start.put(value, 1)
+    start.put_code(lengths)
+    for only in (0, 0, 255):  # red, blue, alpha
+        one = np.zeros(256, np.int64)
+        one[only] = 1
+        start.put_code(one)
+    start.put_code(far)
+    fields = np.ones(len(token), np.int64)
+    fields[ref] = 4
+    at = np.cumsum(fields) - fields
+    values, sizes = np.zeros(int(fields.sum()), np.int64), np.zeros(int(fields.sum()), np.int64)
+    values[at], sizes[at] = reversed_codes(lengths)[symbol], lengths[symbol]
+    distance_size = far[distance_code] if np.count_nonzero(far) > 1 else np.zeros(len(ref), np.int64)
+    more = ((length_extra, length_bits), (reversed_codes(far)[distance_code] * (distance_size > 0), distance_size), (distance_extra, distance_bits))
+    for k, (v, n) in enumerate(more, 1):
+        values[at[ref] + k], sizes[at[ref] + k] = v, n
+    return _container([start.columns(), (values, sizes)])
 
 
 def green(pixels: np.ndarray) -> np.ndarray:
