@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,16 +26,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task ranks; they are keys and scores, some dozen bytes each.
+ONE_TASK = 200_000
+
+
 def global_rank(df: DataFrame, name: str, *order: Column) -> DataFrame:
-    """df with a column of ranks 1.. in the given total order, without bringing all rows to one task.
+    """df with a column of ranks 1.. in the given total order.
 
-    Rows are range-partitioned and sorted; a row's place in its partition is added to the rows of the partitions before,
-    which are counted from the same written table.
+    df is written and counted. Up to ONE_TASK rows are ranked by a window. More are range-partitioned and sorted; a row's
+    place in its partition is added to the rows of the partitions before, which are counted from the same written table.
     """
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Written before, since range partitioning reads its input twice.
-    placed = staged(staged(df, "unranked").repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    held = staged(df, "unranked")
+    if held.count() <= ONE_TASK:
+        return held.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).cast("long"))
+    placed = staged(held.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftrightunsigned("__at", 33)
     counts = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}  # one row for each partition
     before, total = [], 0

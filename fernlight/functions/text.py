@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -32,11 +32,10 @@ def terms(c: Column) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query in order, by the same rules as `terms`, with compatibility forms folded."""
-    import re
-
+    """Distinct terms of a query in order, by the same rules as `terms`. Compatibility forms stay apart on both sides here;
+    the search's own terms, which fold them, are in segment.py."""
     out: list[str] = []
-    for part in re.split(r"[^\w.]+|_", unicodedata.normalize("NFKC", query.lower())):
+    for part in re.split(r"[^\w.]+|_", query.lower()):
         t = part.strip(".")
         if t and t not in STOP_WORDS and t not in out and not (len(t) == 1 and "一" <= t <= "鿿"):
             out.append(t)

@@ -51,8 +51,12 @@ def resolve_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """links with resolved_doc_id and ambiguous.
 
     External links resolve to nothing; links to files by path; wiki links by path, by path with .md, then by a slug that
-    one active document alone has. Of several, the link is ambiguous and unresolved.
+    one active document alone has. Of several, the link is ambiguous and unresolved. Links with no target and external
+    ones don't join: their null keys would all meet in one task.
     """
+    named = (F.col("kind") != "external") & (F.col("normalized_target") != "")
+    apart = links.where(~F.coalesce(named, F.lit(False))).withColumns({"resolved_doc_id": F.lit(None).cast("string"), "ambiguous": F.lit(False)})
+    links, columns = links.where(named), [*links.drop("resolved_doc_id", "ambiguous").columns, "resolved_doc_id", "ambiguous"]
     active = documents.where("status = 'active'")
     paths = active.select(F.col("path").alias("__path"), F.col("doc_id").alias("__by_path"))
     with_md = active.select(F.col("path").alias("__path_md"), F.col("doc_id").alias("__by_md"))
@@ -60,18 +64,13 @@ def resolve_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     target = F.col("normalized_target")
     last = F.regexp_extract(target, "([^/]*)\\z", 1)
     wiki = F.col("kind") == "wikilink"
-    out = (
-        links.drop("resolved_doc_id", "ambiguous")
-        .withColumns({"__slug_of": F.when(wiki & (target != ""), F.regexp_replace(last, "(?i)\\.md\\z", "")), "__md": F.when(wiki & (target != ""), F.concat(target, F.lit(".md"))), "__target": F.when(target != "", target)})
-        .join(paths, F.col("__target") == F.col("__path"), "left")
-        .join(with_md, F.col("__md") == F.col("__path_md"), "left")
-        .join(slugs, F.col("__slug_of") == F.col("__slug"), "left")
-    )
-    direct = F.coalesce("__by_path", F.when(wiki, F.col("__by_md")))
-    external = F.col("kind") == "external"
-    resolved = F.when(external, F.lit(None)).otherwise(F.coalesce(direct, F.when(wiki & (F.col("__same") == 1), F.col("__by_slug"))))
-    ambiguous = ~external & wiki & direct.isNull() & F.coalesce(F.col("__same") > 1, F.lit(False))
-    return out.withColumns({"resolved_doc_id": resolved, "ambiguous": F.coalesce(ambiguous, F.lit(False))}).select(*links.drop("resolved_doc_id", "ambiguous").columns, "resolved_doc_id", "ambiguous")
+    plain = links.drop("resolved_doc_id", "ambiguous")
+    files = plain.where(~wiki).join(paths, target == F.col("__path"), "left").withColumns({"resolved_doc_id": F.col("__by_path"), "ambiguous": F.lit(False)})
+    wikis = plain.where(wiki).join(paths, target == F.col("__path"), "left").join(with_md, F.concat(target, F.lit(".md")) == F.col("__path_md"), "left")
+    wikis = wikis.withColumn("__slug_of", F.regexp_replace(last, "(?i)\\.md\\z", "")).join(slugs, F.col("__slug_of") == F.col("__slug"), "left")
+    direct = F.coalesce("__by_path", "__by_md")
+    wikis = wikis.withColumns({"resolved_doc_id": F.coalesce(direct, F.when(F.col("__same") == 1, F.col("__by_slug"))), "ambiguous": direct.isNull() & F.coalesce(F.col("__same") > 1, F.lit(False))})
+    return apart.select(*columns).unionByName(files.select(*columns)).unionByName(wikis.select(*columns))
 
 
 def link_rows(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -121,10 +120,13 @@ def statistics(documents: DataFrame, chunks: DataFrame, links: DataFrame, queue:
 # The embedding queue: chunk_uid, enqueued_at, attempts, last_error, retryable.
 
 
-def poll(queue: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """The n oldest entries that may be tried; null counts as may."""
+def poll(queue: DataFrame, chunks: DataFrame, n: int | None = None) -> DataFrame:
+    """The n oldest entries that may be tried, in order; all of them, in none, without n. Null counts as may."""
     ready = queue.where(~F.col("retryable").eqNullSafe(F.lit(False)))
-    return ready.join(chunks.select("chunk_uid", "content_hash", "body", "token_est"), "chunk_uid").orderBy("enqueued_at", "attempts", "chunk_uid").limit(n)
+    if n is not None:  # only the entries are ordered, not the bodies
+        ready = ready.join(chunks.select("chunk_uid"), "chunk_uid", "left_semi").orderBy("enqueued_at", "attempts", "chunk_uid").limit(n)
+    rows = ready.join(chunks.select("chunk_uid", "content_hash", "body", "token_est"), "chunk_uid")
+    return rows if n is None else rows.orderBy("enqueued_at", "attempts", "chunk_uid")
 
 
 def failed(queue: DataFrame, chunks: DataFrame, documents: DataFrame, n: int) -> DataFrame:

@@ -27,12 +27,15 @@ def vector_top(rows: DataFrame, vector: list[float], key: str, n: int = CANDIDAT
     return rows.where(F.col(column).isNotNull()).withColumn("vector_score", own).orderBy(F.round("vector_score", 9).desc(), key).limit(n)
 
 
-def fuse(keyword: DataFrame, vector: DataFrame, key: str, *, k: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def fuse(keyword: DataFrame, vector: DataFrame | None, key: str, *, k: int = 60, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """key, keyword_score, vector_score, their ranks and rrf: sums of weight / (k + rank) over the channels that have a row.
 
-    keyword and vector: key and score. Ties rank by key.
+    keyword and vector: key and score; vector is None where there is no such channel. Ties rank by key.
     """
     kw = global_rank(keyword.select(key, "keyword_score"), "keyword_rank", F.round("keyword_score", 9).desc(), F.col(key))
+    if vector is None:
+        missing = {"vector_score": F.lit(None).cast("double"), "vector_rank": F.lit(None).cast("long")}
+        return kw.withColumns(missing).withColumn("rrf", F.lit(float(weights[0])) / (F.lit(float(k)) + F.col("keyword_rank")))
     vec = global_rank(vector.select(key, "vector_score"), "vector_rank", F.round("vector_score", 9).desc(), F.col(key))
     part = lambda rank, w: F.coalesce(F.lit(float(w)) / (F.lit(float(k)) + F.col(rank)), F.lit(0.0))
     return kw.join(vec, key, "full_outer").withColumn("rrf", part("keyword_rank", weights[0]) + part("vector_rank", weights[1]))
@@ -61,5 +64,10 @@ def normalise(rows: DataFrame, score: str = "score", out: str = "normalized_scor
 
 
 def threshold(rows: DataFrame, k: int, least: float, *order: Column) -> DataFrame:
-    """The best max(4k, 20) rows, normalised among themselves, those that reach the threshold, and of them the first k."""
-    return normalise(rows.orderBy(*order).limit(max(4 * k, 20))).where(F.col("normalized_score") >= least).orderBy(*order).limit(k)
+    """The best max(4k, 20) rows, normalised among themselves, those that reach the threshold, and of them the first k.
+
+    The top slice is taken once; its largest score is found in the one task that holds it.
+    """
+    top = rows.orderBy(*order).limit(max(4 * k, 20)).withColumn("__top", F.max("score").over(Window.partitionBy(F.lit(1))))
+    own = F.when(F.col("__top") > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / F.col("__top")))).otherwise(0.0)
+    return top.withColumn("normalized_score", own).drop("__top").where(F.col("normalized_score") >= least).orderBy(*order).limit(k)

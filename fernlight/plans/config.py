@@ -28,7 +28,7 @@ DEFAULTS: dict[str, Any] = {
     },
     "chunking": {"target_tokens": 400, "max_tokens": 800, "overlap_tokens": 60, "cjk_char_per_token": 1.6},
     "search": {
-        "mode": "hybrid", "rank_fusion": "rrf", "rrf_k": 60, "rrf_weights": {"keyword": 1, "vector": 1},
+        "mode": "hybrid", "rank_fusion": "rrf", "rrf_k": 60, "vector_candidates": 0, "rrf_weights": {"keyword": 1, "vector": 1},
         "tier_boost": {"queries/": 1.5, "concepts/": 1.3, "comparisons/": 1.1, "_meta/": 0.8, "raw/": 0.5},
     },
 }
@@ -145,6 +145,7 @@ def validate(config: Config) -> None:
     check(config["search.mode"] in ("hybrid", "keyword", "vector"), "search.mode is hybrid, keyword or vector")
     check(config["search.rank_fusion"] in ("rrf", "weighted_rrf"), "search.rank_fusion is rrf or weighted_rrf")
     check(config["chunking.max_tokens"] >= config["chunking.target_tokens"], "chunking.max_tokens is at least chunking.target_tokens")
+    check(config["search.vector_candidates"] >= 0, "search.vector_candidates isn't negative")
     check(config["search.rrf_k"] > 0, "search.rrf_k is positive")
     weights = [config["search.rrf_weights.keyword"], config["search.rrf_weights.vector"]]
     check(all(isinstance(w, (int, float)) and w >= 0 for w in weights), "search.rrf_weights aren't negative")

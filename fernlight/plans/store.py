@@ -17,16 +17,19 @@ from pyspark.sql.types import StructType
 from ..sources.markdown import CHUNK, DOCUMENT, LINK
 from .config import Config, ConfigError
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 TABLES = {
     "documents": f"{DOCUMENT}, status string, diag_flags array<string>, last_synced_at string",
-    "chunks": f"doc_id string, {CHUNK}, embedding array<double>",
+    "chunks": f"doc_id string, {CHUNK}, embedding array<double>, length long, title_folded string, slug_folded string",
+    "postings": "term string, chunk_uid string, tf long",
     "links": f"src_doc_id string, {LINK}, resolved_doc_id string, ambiguous boolean",
     "embedding_cache": "provider string, model string, dimensions int, content_hash string, vector array<double>",
     "embed_queue": "chunk_uid string, enqueued_at string, attempts int, last_error string, retryable boolean",
     "sync_runs": "run_id string, started_at string, finished_at string, status string, plan_summary string",
 }
-KEPT_ON_RESET = ("embedding_cache", "sync_runs")
+KEPT_ON_RESET = ("embedding_cache",)
+#: Tables that only grow: each addition is files of its own beside the revisions, and makes no new revision.
+APPENDED = ("sync_runs",)
 
 
 class Store:
@@ -66,6 +69,9 @@ class Store:
         return self.pointer()["state"].get(key)
 
     def table(self, name: str) -> DataFrame:
+        if name in APPENDED:
+            schema, path = StructType.fromDDL(TABLES[name]), f"{self.folder}/{name}"
+            return self.spark.read.schema(schema).parquet(path) if self._fs.exists(self._path(path)) else self.spark.createDataFrame([], schema)
         revision = self.pointer()["tables"].get(name)
         schema = StructType.fromDDL(TABLES[name])
         if revision is None:
@@ -83,6 +89,9 @@ class Store:
         self._replace("current.json", json.dumps({"revision": revision, "tables": now["tables"] | dict.fromkeys(tables, revision), "state": own}))
         return revision
 
+    def append(self, name: str, rows: DataFrame) -> None:
+        rows.select(*StructType.fromDDL(TABLES[name]).fieldNames()).coalesce(1).write.mode("append").parquet(f"{self.folder}/{name}")
+
     def set_state(self, **state: Any) -> None:
         self.commit({}, state)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import json
 import os
+import stat
 import time
 import uuid
 from dataclasses import asdict, dataclass, field
@@ -13,12 +14,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import segment
 from ..functions.shared import staged
-from ..operators import catalog
+from ..operators import catalog, keyword
 from ..sources import embeddings, markdown
 from ..sources.discover import discover
 from .config import HOME, Config, ConfigError
-from .store import Store, open_store
+from .store import SCHEMA_VERSION, Store, open_store
 
 
 @dataclass
@@ -100,6 +102,8 @@ def sync(spark: SparkSession, config: Config, *, full: bool = False, embed: bool
         out, started = Summary(uuid.uuid4().hex, dry_run=dry_run), now()
         if not full:
             check_drift(store, config)
+            if not dry_run and "chunks" in store.pointer()["tables"] and "postings" not in store.pointer()["tables"]:
+                reindex(store)
         elif not dry_run:
             store.reset()
         if retry_failed and not dry_run:
@@ -108,6 +112,11 @@ def sync(spark: SparkSession, config: Config, *, full: bool = False, embed: bool
         paths = discover(config.root, **d)
         out.discovered = len(paths)
         journal = os.path.join(config.root, HOME, "journal", f"{out.run_id}.json")
+
+        def log() -> None:
+            run = (out.run_id, started, now(), out.status, json.dumps(asdict(out)))
+            store.append("sync_runs", spark.createDataFrame([run], store.table("sync_runs").schema))
+
         try:
             _apply(spark, store, config, out, paths, paths if max_files is None else paths[:max_files], prune_excluded)
             if embed and not dry_run and config["embedding.provider"] != "none":
@@ -115,15 +124,29 @@ def sync(spark: SparkSession, config: Config, *, full: bool = False, embed: bool
         except Exception as e:
             out.status = "failed"
             write_json(journal, asdict(out) | {"error": str(e), "started_at": started, "finished_at": now()})
+            if not dry_run:
+                log()
             raise
-        if not dry_run and (out.indexed or out.tombstoned or store.state("last_sync") is None):
-            run = spark.createDataFrame([(out.run_id, started, now(), out.status, json.dumps(asdict(out)))], store.table("sync_runs").schema)
-            store.commit({"sync_runs": store.table("sync_runs").unionByName(run)}, {"last_sync": {"run_id": out.run_id, "finished_at": now()}})
+        if not dry_run:
+            if out.indexed or out.tombstoned or store.state("last_sync") is None:
+                store.set_state(last_sync={"run_id": out.run_id, "finished_at": now()})
+            out.revision = store.pointer()["revision"]
+            log()
         out.revision = store.pointer()["revision"]
         write_json(journal, asdict(out) | {"started_at": started, "finished_at": now()})
         return out
 
 
+def gone(root: str, path: str) -> bool:
+    """Whether there is no such file any more; that it can't be told is an error, and deletes nothing."""
+    try:
+        return not stat.S_ISREG(os.stat(os.path.join(root, path)).st_mode)
+    except (FileNotFoundError, NotADirectoryError):
+        return True
+    except OSError as e:
+        raise ConfigError(f"whether {path} is still there can't be told: {e}", "Mend the file system's error and sync again.") from e
+
+
 def _apply(spark: SparkSession, store: Store, config: Config, out: Summary, all_paths: list[str], paths: list[str], prune: bool) -> None:
     at, documents = now(), store.table("documents")
     active = documents.where("status = 'active'")
@@ -134,9 +157,9 @@ def _apply(spark: SparkSession, store: Store, config: Config, out: Summary, all_
     # Of the paths that discovery no longer names, only those whose file is gone leave the index.
     here = spark.createDataFrame([(p,) for p in all_paths], "path string")
     lost = [r[0] for r in active.join(here, "path", "left_anti").select("path").toLocalIterator()]
-    gone = [p for p in lost if prune or not os.path.lexists(os.path.join(config.root, p))]
+    deleted = [p for p in lost if prune or gone(config.root, p)]
     hidden = parsed.where("excluded").join(active, "path", "left_semi").select("path")
-    tombs = spark.createDataFrame([(p,) for p in gone], "path string").unionByName(hidden)
+    tombs = spark.createDataFrame([(p,) for p in deleted], "path string").unionByName(hidden)
     counts = parsed.agg(F.count_if("excluded"), F.sum(F.size("diagnostics"))).first()
     out.excluded, out.diagnostics = counts[0] or 0, counts[1] or 0
     out.indexed, out.tombstoned = changed.count(), tombs.count()
@@ -145,16 +168,34 @@ def _apply(spark: SparkSession, store: Store, config: Config, out: Summary, all_
         return
     new = changed.withColumns({"status": F.lit("active"), "diag_flags": F.transform("diagnostics", lambda d: d["kind"]), "last_synced_at": F.lit(at)})
     docs = staged(catalog.tombstone(catalog.upsert(documents, new.select(*documents.columns)), tombs, at), "documents")
-    chunk = new.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", "c.*", F.lit(None).cast("array<double>").alias("embedding"))
+    indexed = staged(analysed(new.select("doc_id", "title", "slug", F.explode("chunks").alias("c")).select("doc_id", "title", "slug", "c.*")), "indexed")
+    chunk = indexed.drop("title", "slug", *keyword.FIELD_TERMS).withColumn("embedding", F.lit(None).cast("array<double>"))
     if config["embedding.provider"] != "none":
         chunk = catalog.from_cache(chunk, store.table("embedding_cache"), config["embedding.provider"], config["embedding.model"], config["embedding.dimensions"])
     chunks = staged(catalog.replace_children(store.table("chunks"), chunk, parents=new.select("doc_id")), "chunks")
+    replaced = store.table("chunks").join(new.select("doc_id"), "doc_id", "left_semi").select("chunk_uid")
+    postings = keyword.by_term(staged(store.table("postings").join(replaced, "chunk_uid", "left_anti").unionByName(keyword.postings(indexed)), "postings"))
     link = new.select(F.col("doc_id").alias("src_doc_id"), F.explode("links").alias("l")).select("src_doc_id", "l.*", F.lit(None).cast("string").alias("resolved_doc_id"), F.lit(False).alias("ambiguous"))
     links = catalog.replace_children(store.table("links"), link, "src_doc_id", new.select(F.col("doc_id").alias("src_doc_id")))
     queue = store.table("embed_queue").join(chunks.select("chunk_uid"), "chunk_uid", "left_semi")
     if config["embedding.provider"] != "none":
         queue = catalog.enqueue(queue, catalog.missing(chunks, docs, queue), at)
-    store.commit({"documents": docs, "chunks": chunks, "links": catalog.resolve_links(links, docs), "embed_queue": queue})
+    store.commit({"documents": docs, "chunks": chunks, "postings": postings, "links": catalog.resolve_links(links, docs), "embed_queue": queue})
+
+
+def analysed(chunks: DataFrame) -> DataFrame:
+    """Chunks with title and slug, segmented for the index."""
+    segment.register(chunks.sparkSession)
+    return keyword.index(chunks, segment.terms, segment.fold)
+
+
+def reindex(store: Store) -> None:
+    """Makes the inverted index anew from the stored chunks: for a store that was written before it had one."""
+    documents = store.table("documents").select("doc_id", "title", "slug")
+    chunks = store.table("chunks")
+    own = chunks.drop("length", "title_folded", "slug_folded").join(documents, "doc_id")
+    indexed = staged(analysed(own), "indexed")
+    store.commit({"chunks": indexed.select(*chunks.columns), "postings": keyword.by_term(staged(keyword.postings(indexed), "postings"))}, {"schema_version": SCHEMA_VERSION})
 
 
 def embed_pending(store: Store, config: Config, limit: int | None = None, provider=None) -> dict:
@@ -162,7 +203,7 @@ def embed_pending(store: Store, config: Config, limit: int | None = None, provid
     documents, chunks, queue, cache = (store.table(t) for t in ("documents", "chunks", "embed_queue", "embedding_cache"))
     queue = catalog.enqueue(queue, catalog.missing(chunks, documents, queue), now())
     settings = dict(config["embedding"])
-    pending = catalog.poll(queue, chunks, limit if limit is not None else 1 << 30)
+    pending = catalog.poll(queue, chunks, limit)
     begun = time.time()
     done = staged(embeddings.embed(pending, settings, provider), "embedded")
     good = done.where("error IS NULL").select("chunk_uid", "content_hash", "vector")

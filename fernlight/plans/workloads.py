@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shared import staged
 from ..functions.vectors import cosine
 from ..operators import catalog, filters, fusion, keyword
 from ..sources import embeddings, markdown
@@ -88,6 +89,27 @@ def indexed(spark: SparkSession, sf: str) -> DataFrame:
     return keyword.index(chunks(spark, sf))
 
 
+#: The inverted indexes of an application: rows without bodies, and postings.
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def build_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Splits all texts once and writes the index to the shared folder; later queries of the application read it."""
+    own = staged(indexed(spark, sf).drop("body"), "indexed")
+    rows = staged(own.drop("title", "slug", *keyword.FIELD_TERMS), "rows")
+    inverted = staged(keyword.by_term(staged(keyword.postings(own, "doc_id"), "postings")), "postings")
+    _INDEXES[spark.sparkContext.applicationId, sf] = rows, inverted
+    return rows, inverted
+
+
+def index_of(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return _INDEXES.get((spark.sparkContext.applicationId, sf)) or build_index(spark, sf)
+
+
+def keyword_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return keyword.score(*index_of(spark, sf), _WANTED, QUERY, "doc_id")
+
+
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
     """The vector that stands for the query's embedding: one row."""
     return [float(x) for x in table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
@@ -152,10 +174,21 @@ def bm25_doc_stats(spark, sf):
     return indexed(spark, sf).select("doc_id", "length")
 
 
+@query(f"WITH {TOKENS} SELECT doc_id, length::BIGINT AS length FROM idx")
+def keyword_index(spark, sf):
+    return build_index(spark, sf)[0].select("doc_id", "length")
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, term, sum(w)::BIGINT AS tf FROM (SELECT doc_id, unnest(tt) AS term, 4 AS w FROM tok UNION ALL SELECT doc_id, unnest(st), 3 FROM tok UNION ALL SELECT doc_id, unnest(bt), 1 FROM tok) GROUP BY doc_id, term")
+def inverted_index(spark, sf):
+    return index_of(spark, sf)[1].select("doc_id", "term", "tf")
+
+
 @query(f"WITH {TOKENS}, w AS (SELECT unnest({list(_WANTED)!r}) AS term) SELECT term, count(*) FILTER (WHERE list_contains(list_concat(tt, st, bt), term)) AS df FROM idx, w GROUP BY term")
 def doc_frequency(spark, sf):
-    stats = keyword.statistics(keyword.counted(indexed(spark, sf), _WANTED), _WANTED)
-    return stats.select(F.explode(F.arrays_zip(F.array(*map(F.lit, _WANTED)).alias("term"), F.col("df")))).select("col.term", "col.df")
+    wanted = spark.createDataFrame([(t,) for t in _WANTED], "term string")
+    df = index_of(spark, sf)[1].where(F.col("term").isin(_WANTED)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return wanted.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, {', '.join(f'{_count_of(t)}::BIGINT AS tf_{i}' for i, t in enumerate(_WANTED))} FROM idx")
@@ -166,25 +199,25 @@ def field_weighted_tf(spark, sf):
 
 @query(rf"""WITH {CHUNKS} SELECT doc_id, (CASE WHEN contains(lower(title), 'the') THEN 2.0 ELSE 0 END + CASE WHEN contains(lower(slug), 'the') OR contains(regexp_replace(lower(slug), '[./_-]+', ' ', 'g'), 'the') THEN 2.5 ELSE 0 END)::DOUBLE AS boost FROM chunks""")
 def exact_metadata_boost(spark, sf):
-    return chunks(spark, sf).select("doc_id", keyword.boost("the").alias("boost"))
+    return chunks(spark, sf).select("doc_id", keyword.boost("the", F.lower("title"), F.lower("slug")).alias("boost"))
 
 
 @query(KEYWORD + " SELECT doc_id, path, round(keyword_score, 6) AS score FROM kw ORDER BY round(keyword_score, 9) DESC, doc_id LIMIT 10")
 def keyword_topk(spark, sf):
-    hits = keyword.score(indexed(spark, sf), QUERY)
+    hits = keyword_hits(spark, sf)
     return hits.orderBy(F.round("keyword_score", 9).desc(), "doc_id").limit(10).select("doc_id", "path", F.round("keyword_score", 6).alias("score"))
 
 
 @query(f"WITH {TOKENS}, good AS (SELECT idx.* FROM idx JOIN labels USING (doc_id) WHERE quality = 1), {_keyword_sql('good')} SELECT doc_id, path, round(keyword_score, 6) AS score FROM kw ORDER BY round(keyword_score, 9) DESC, doc_id LIMIT 10")
 def keyword_topk_filtered(spark, sf):
-    good = indexed(spark, sf).join(table(spark, sf, "labels").where("quality = 1"), "doc_id")
-    return keyword.score(good, QUERY).orderBy(F.round("keyword_score", 9).desc(), "doc_id").limit(10).select("doc_id", "path", F.round("keyword_score", 6).alias("score"))
+    rows, inverted = index_of(spark, sf)
+    good = rows.join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi")
+    return keyword.score(good, inverted, _WANTED, QUERY, "doc_id").orderBy(F.round("keyword_score", 9).desc(), "doc_id").limit(10).select("doc_id", "path", F.round("keyword_score", 6).alias("score"))
 
 
 @query(KEYWORD.replace("+ CASE WHEN contains(lower(title)", "+ 0 * CASE WHEN contains(lower(title)").replace("+ CASE WHEN contains(lower(slug)", "+ 0 * CASE WHEN contains(lower(slug)") + " SELECT doc_id, round(keyword_score, 6) AS score FROM kw")
 def keyword_postings(spark, sf):
-    idx = indexed(spark, sf)
-    return keyword.by_postings(keyword.postings(idx, "doc_id"), idx, QUERY, "doc_id").select("doc_id", F.round("keyword_score", 6).alias("score"))
+    return keyword.score(*index_of(spark, sf), _WANTED, "", "doc_id").select("doc_id", F.round("keyword_score", 6).alias("score"))
 
 
 # Vectors, fusion, pooling
@@ -208,7 +241,7 @@ def vector_top50(spark, sf):
 
 
 def _fused(spark, sf, weights=(1.0, 1.0)):
-    kw = keyword.score(indexed(spark, sf), QUERY)
+    kw = keyword_hits(spark, sf)
     vec = fusion.vector_scan(table(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id"), query_vector(spark, sf))
     return fusion.fuse(kw, vec, "doc_id", weights=weights)
 
@@ -232,7 +265,7 @@ def weighted_rrf(spark, sf):
 
 @query(_fused_sql() + f", own AS (SELECT c.doc_id, c.source, rrf * CASE WHEN path LIKE 'en/src1%' THEN 1.3 WHEN path LIKE 'en/%' THEN 1.5 WHEN path LIKE 'de/%' THEN 0.8 WHEN path LIKE 'fr/%' THEN 0.5 ELSE 1.0 END AS score FROM fused JOIN chunks c USING (doc_id)) SELECT source, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, doc_id) AS n FROM own) WHERE n = 1 ORDER BY round(score, 9) DESC, doc_id LIMIT 10".replace("'", "'"))
 def pool_by_document(spark, sf):
-    own = _fused(spark, sf).join(chunks(spark, sf).select("doc_id", "path", "source"), "doc_id").withColumn("score", F.col("rrf") * T.tier(F.col("path"), TIERS))
+    own = _fused(spark, sf).join(index_of(spark, sf)[0].select("doc_id", "path", "source"), "doc_id").withColumn("score", F.col("rrf") * T.tier(F.col("path"), TIERS))
     return fusion.pool(own, "source", 10, "score", "doc_id").select("source", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -245,7 +278,7 @@ def evidence_class(spark, sf):
 @query(KEYWORD + """, top AS (SELECT doc_id, keyword_score AS score FROM kw ORDER BY round(keyword_score, 9) DESC, doc_id LIMIT 40), n AS (SELECT doc_id, score / (SELECT max(score) FROM top) AS s FROM top)
 SELECT doc_id, round(s, 6) AS normalized_score FROM n WHERE s >= 0.6 ORDER BY round(s, 9) DESC, doc_id LIMIT 10""")
 def normalized_threshold(spark, sf):
-    hits = keyword.score(indexed(spark, sf), QUERY).withColumnRenamed("keyword_score", "score")
+    hits = keyword_hits(spark, sf).withColumnRenamed("keyword_score", "score")
     return fusion.threshold(hits, 10, 0.6, F.round("score", 9).desc(), F.col("doc_id")).select("doc_id", F.round("normalized_score", 6).alias("normalized_score"))
 
 
@@ -281,16 +314,13 @@ _metadata("metadata_gt", ">", 50, "k > 50")
 _metadata("metadata_lt", "<", "10", "k < 10")
 _metadata("metadata_ge", "≥", 50, "k >= 50")
 _metadata("metadata_le", "<=", 10, "k <= 10")
-_metadata("metadata_empty", "empty", None, "k IS NULL")
-_metadata("metadata_not_empty", "not empty", None, "k IS NOT NULL")
-_metadata("metadata_missing", "is", "undefined", "true", "absent")
 
 def _labelled(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.to_json(F.struct("lang", "source", "quality", F.array("lang", "source").alias("tags"), F.lit("2024-03-05").alias("day"))).alias("facets"))
+    return rows.select("doc_id", F.to_json(F.struct("lang", "source", "quality", F.array("lang", "source").alias("tags"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 200).cast("int")), "yyyy-MM-dd").alias("day"))).alias("facets"))
 
 
-_DOC_FACETS_SQL = "d AS (SELECT doc_id, lang, source, quality, '2024-03-05' AS day FROM documents LEFT JOIN labels USING (doc_id))"
+_DOC_FACETS_SQL = "d AS (SELECT doc_id, lang, source, quality, strftime(DATE '2024-01-01' + (doc_id % 200)::INTEGER, '%Y-%m-%d') AS day FROM documents LEFT JOIN labels USING (doc_id))"
 
 
 def _documents_where(name: str, key: str, op: str, value, sql: str):
@@ -312,6 +342,26 @@ _documents_where("metadata_after", "day", "after", "2024-04-01", "day > '2024-04
 _documents_where("metadata_absent_number", "quality", ">", -1, "quality > -1")
 
 
+def _sparse(spark, sf):
+    """A facet that is absent, null, empty in three ways, false, zero or filled, by turns."""
+    kinds = ("{}", '{"x": null}', '{"x": ""}', '{"x": []}', '{"x": {}}', '{"x": false}', '{"x": 0}', '{"x": "v"}', '{"x": [null]}', '{"x": {"y": 1}}')
+    return table(spark, sf, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int")).alias("facets"))
+
+
+def _sparse_where(name: str, op: str, value, sql: str):
+    def run(spark, sf):
+        rows = _sparse(spark, sf)
+        return rows.where(filters.condition("x", op, value, rows.columns)).select("doc_id")
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"SELECT doc_id FROM documents WHERE {sql}"
+
+
+_sparse_where("metadata_empty", "empty", None, "doc_id % 10 < 5")
+_sparse_where("metadata_not_empty", "not empty", None, "doc_id % 10 >= 5")
+_sparse_where("metadata_missing", "is", "undefined", "doc_id % 10 = 0")
+
+
 @query(f"WITH {_DOC_FACETS_SQL} SELECT doc_id FROM d WHERE lang = 'de' OR quality = 0")
 def metadata_tree(spark, sf):
     rows = _labelled(spark, sf)
@@ -546,7 +596,42 @@ for _name, (_kind, _sql) in _LINK_SQL.items():
     _links_of(_name, _kind, _sql)
 
 
-@query()
+
+
+def _tokens_sql(x: str) -> str:
+    return rf"greatest(1, ceil(len(regexp_extract_all({x}, '[A-Za-z0-9_./+-]+')) + len(regexp_extract_all({x}, '\p{{Han}}')) / 1.6 + length(regexp_replace({x}, '\p{{Han}}', '', 'g')) / 8.0))::BIGINT"
+
+
+_TARGET, _MOST = _SETTINGS["target_tokens"], _SETTINGS["max_tokens"]
+#: Of texts (id, t): parts (id, part, p), by walking through each text's blocks one after another.
+_SPLIT_SQL = rf"""blocks AS (SELECT id, unnest(regexp_split_to_array(t, '\n\n+')) AS b, generate_subscripts(regexp_split_to_array(t, '\n\n+'), 1) AS i FROM texts WHERE {_tokens_sql("t")} > {_MOST}),
+steps AS (
+  SELECT id, i, 0 AS part, b AS held FROM blocks WHERE i = 1
+  UNION ALL SELECT id, i, CASE WHEN fits THEN part ELSE part + 1 END, CASE WHEN fits THEN joined ELSE b END FROM (
+    SELECT *, held = '' OR {_tokens_sql("joined")} <= {_TARGET} AS fits FROM (
+      SELECT b.id, b.i, s.part, s.held, b.b, CASE WHEN s.held = '' THEN b.b ELSE s.held || chr(10) || chr(10) || b.b END AS joined FROM steps AS s JOIN blocks AS b ON b.id = s.id AND b.i = s.i + 1))
+), parts AS (
+  SELECT id, part, arg_max(held, i) AS p FROM steps GROUP BY id, part HAVING trim(arg_max(held, i), ' ' || chr(9) || chr(10)) <> '' OR part < (SELECT max(m.part) FROM steps AS m WHERE m.id = steps.id)
+  UNION ALL SELECT id, 0, t FROM texts WHERE {_tokens_sql("t")} <= {_MOST}
+)"""
+
+
+@query(f"""WITH RECURSIVE texts AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents), {_SPLIT_SQL}
+SELECT id AS doc_id, part, {_tokens_sql("p")} AS tokens, sha256(p) AS part_sha FROM parts""")
+def oversize_split(spark, sf):
+    texts = table(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    return markdown.split_texts(texts, _SETTINGS, "doc_id").select("doc_id", "part", "tokens", F.sha2("text", 256).alias("part_sha"))
+
+
+@query(rf"""WITH RECURSIVE {_MD_SQL}, secs AS (
+  SELECT md.path, 1 AS sec, 'Head ' || doc_id AS heading, 'head-' || doc_id AS anchor, string_split(body, chr(10) || '## Links' || chr(10))[1] AS t FROM md
+  UNION ALL SELECT path, 2, 'Head ' || doc_id || ' > Links', 'links', '## Links' || chr(10) || string_split(body, chr(10) || '## Links' || chr(10))[2] FROM md
+), texts AS (SELECT path || ' ' || sec AS id, path, sec, heading, anchor, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM secs), {_SPLIT_SQL},
+rows AS (
+  SELECT path, 0 AS sec, 0 AS part, 'Document Summary' AS heading, 'summary' AS anchor, 'T' || md.doc_id || ' a ' || source AS p FROM md JOIN documents AS d ON d.doc_id = md.doc_id
+  UNION ALL SELECT path, sec, part, heading, anchor, p FROM parts JOIN texts USING (id) WHERE trim(p, ' ' || chr(9) || chr(10)) <> ''
+)
+SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sec, part) - 1)::INTEGER AS seq, heading AS heading_path, anchor, {_tokens_sql("p")} AS token_est, sha256(p) AS content_hash FROM rows""")
 def markdown_chunks(spark, sf):
     rows = _parsed(spark, sf).select("path", F.explode("chunks").alias("c"))
     return rows.select("path", "c.seq", F.array_join("c.heading_path", " > ").alias("heading_path"), "c.anchor", "c.token_est", "c.content_hash")
@@ -565,7 +650,7 @@ def first_heading(spark, sf):
     return _markdown(spark, sf).select("path", T.first_heading(F.col("text")).alias("heading"))
 
 
-@query()
+@query(f"WITH {CHUNKS} SELECT path AS chunk_uid, md5(body) AS content_hash, 32 AS dimensions, NULL::VARCHAR AS error FROM chunks")
 def embed_batches(spark, sf):
     pending = chunks(spark, sf).select(F.col("path").alias("chunk_uid"), F.md5("body").alias("content_hash"), "body", T.estimate_tokens(F.col("body")).cast("long").alias("token_est"))
     settings = {"provider": "local", "dimensions": 32, "batch_size": 16, "max_batch_tokens": 3000, "max_input_tokens": 800}

@@ -90,8 +90,9 @@ RESULT = "chunk_uid string, content_hash string, vector array<double>, error str
 def embed(pending: DataFrame, settings: dict, provider=None) -> DataFrame:
     """RESULT of each pending row (chunk_uid, content_hash, body, token_est).
 
-    A failed batch fails each of its rows. After a failure that may be tried again a partition leaves its other rows
-    alone; they don't come back and stay queued.
+    A failed call fails each row of its batch; a vector of the wrong length fails its row alone. After a failure that may be
+    tried again a partition leaves its other rows alone: they don't come back and stay queued. Other partitions find out
+    for themselves, so a provider that refuses is called once for each partition.
     """
     call = provider or PROVIDERS[settings["provider"]]
     kind = pa.schema([("chunk_uid", pa.string()), ("content_hash", pa.string()), ("vector", pa.list_(pa.float64())), ("error", pa.string()), ("may_retry", pa.bool_())])
@@ -99,15 +100,19 @@ def embed(pending: DataFrame, settings: dict, provider=None) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for batch in batches(part.to_pylist(), settings["batch_size"], settings["max_batch_tokens"], settings["max_input_tokens"]):
-                error, retry, vectors = None, None, [None] * len(batch)
+                failure, vectors = None, [None] * len(batch)
                 try:
                     vectors = call([r["text"] for r in batch], settings)
-                    if settings["dimensions"] and any(len(v) != settings["dimensions"] for v in vectors):
-                        raise EmbeddingError(f"vectors have {len(vectors[0])} dimensions instead of {settings['dimensions']}", False)
                 except EmbeddingError as e:
-                    error, retry, vectors = str(e), e.retryable, [None] * len(batch)
-                yield pa.RecordBatch.from_pylist([{"chunk_uid": r["chunk_uid"], "content_hash": r["content_hash"], "vector": v, "error": error, "may_retry": retry} for r, v in zip(batch, vectors, strict=True)], schema=kind)
-                if retry:
+                    failure = e
+                out = []
+                for r, v in zip(batch, vectors, strict=True):
+                    error, retry = (str(failure), failure.retryable) if failure else (None, None)
+                    if v is not None and settings["dimensions"] and len(v) != settings["dimensions"]:
+                        error, retry, v = f"the vector has {len(v)} dimensions instead of {settings['dimensions']}", False, None
+                    out.append({"chunk_uid": r["chunk_uid"], "content_hash": r["content_hash"], "vector": v, "error": error, "may_retry": retry})
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+                if failure and failure.retryable:
                     return
 
     return pending.select("chunk_uid", "content_hash", "body", "token_est").mapInArrow(run, RESULT)

@@ -185,19 +185,49 @@ def sections(body: str) -> list[tuple[list[str], str, str]]:
     return out
 
 
+def _parts_of(text: str, per_token: float) -> tuple[int, int, int]:
+    """What an estimate adds up, runs of ASCII words, Han characters and other UTF-16 units: those of blocks, with the two
+    line ends between them, are those of the joined text."""
+    han = len(_HAN.findall(text))
+    return len(_RUNS.findall(text)), han, len(_HAN.sub("", text).encode("utf-16-le", "surrogatepass")) // 2
+
+
 def split_large(text: str, target: int, most: int, per_token: float) -> list[str]:
-    """A text beyond `most` tokens in parts of whole blocks that hold `target` tokens, unless one block is larger."""
+    """A text beyond `most` tokens in parts of whole blocks that hold `target` tokens, unless one block is larger.
+
+    Each block is estimated once; what is held is the sum of its blocks.
+    """
     if estimate_tokens(text, per_token) <= most:
         return [text]
-    out, held = [], ""
+    out, held, sums = [], [], (0, 0, 0)
     for block in re.split(r"\n{2,}", text):
-        joined = f"{held}\n\n{block}" if held else block
-        if held and estimate_tokens(joined, per_token) > target:
-            out.append(held)
-            held = block
+        own = _parts_of(block, per_token)
+        some = bool(held) and (len(held) > 1 or held[0] != "")
+        runs, han, rest = (a + b for a, b in zip(sums, own, strict=True)) if some else own
+        rest += 2 * some
+        if some and max(1, math.ceil(runs + han / per_token + rest / 8)) > target:
+            out.append("\n\n".join(held))
+            held, sums = [block], own
         else:
-            held = joined
-    return [*out, held] if trim(held) else out
+            held, sums = [*held, block] if some else [block], (runs, han, rest)
+    last = "\n\n".join(held)
+    return [*out, last] if trim(last) else out
+
+
+def split_texts(rows: DataFrame, settings: dict, key: str, text_col: str = "text") -> DataFrame:
+    """key (long), part, text and tokens of the parts of each text. A null text has none."""
+    schema = pa.schema([(key, pa.int64()), ("part", pa.int32()), ("text", pa.string()), ("tokens", pa.int64())])
+    per_token = settings["cjk_char_per_token"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                parts = [] if text is None else split_large(text, settings["target_tokens"], settings["max_tokens"], per_token)
+                out += [(k, i, p, estimate_tokens(p, per_token)) for i, p in enumerate(parts)]
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(schema.names)}, schema=schema)
+
+    return rows.select(key, text_col).mapInArrow(run, f"{key} long, part int, text string, tokens long")
 
 
 def _decoded(target: str, problems: list[str]) -> str:

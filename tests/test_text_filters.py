@@ -23,7 +23,8 @@ def one(spark, column, **values):
 def test_terms(spark):
     got = one(spark, T.terms(F.col("x")), x="The v1.2, of 冠状动脉 术 don't. A b")
     assert got == ["v1.2", "冠状动脉", "don", "t", "b"]
-    assert T.query_terms("The Ｖ1.2 of 术 and v1.2") == ["v1.2"]
+    for query in ("The Ｖ1.2 of 术 and v1.2", "ＡＢＣ ｶﾞ. x_y", "the"):  # the same rules on both sides
+        assert T.query_terms(query) == list(dict.fromkeys(one(spark, T.terms(F.col("x")), x=query)))
 
 
 def test_estimate_and_names(spark):
