@@ -13,27 +13,47 @@ from fernlight.llm.base import documents, staged
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; the models learn from what `docs` holds outside the held-out fold."""
+    """Documents whose language is identified; the models learn from what `docs` holds outside the held-out fold.
+
+    Null, empty and letterless texts go. Without any labelled language every text with a letter stays. Null ids and
+    repeated rows stay, each judged by its text; other columns pass through; an empty table gives no rows.
+    """
     return langid.keep_identified(docs, langid.train_fold(docs))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text, white space apart: the one with the smallest id."""
+    """One document of each text, white space apart: the one with the smallest id.
+
+    Null counts as empty, and one such document stays. A null id stays only where no copy has an id; of rows with one text
+    and one id one stays; columns of any name pass through; an empty table gives no rows.
+    """
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the smallest id."""
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the smallest id.
+
+    Null and empty texts are alike to nothing and stay, as do rows with null ids; an id of several rows goes only if all of
+    them are linked to smaller ids; columns of any name pass through; an empty table gives no rows.
+    """
     return jaccard.drop_similar(docs, size=5, percent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every finding in their texts replaced."""
+    """All documents, with every finding in their texts replaced.
+
+    Null texts stay null; null ids and repeated rows pass through; n_chars follows a changed text; an empty table gives no
+    rows.
+    """
     return secrets.redact(docs, secrets.train(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' tokens, packed into training sequences."""
+    """The documents' tokens, packed into training sequences.
+
+    A null or empty text is the end id alone; null ids and repeated rows are packed each by itself; other columns are left
+    out; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
