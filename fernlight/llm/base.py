@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import shared_dir, staged
+
+__all__ = ["SPACE", "documents", "free_name", "id_and_text", "id_fold", "rows_of", "shared_dir", "slices", "staged"]
+
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows that Python holds as objects at a time.
-SLICE_ROWS = 256
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -33,28 +33,23 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *extra: Column) ->
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python objects at once."""
+    """The same rows in smaller batches, of at most SLICE_BYTES or one row, so that few texts are Python objects at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set and Spark runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="fernlight-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: its lineage is cut and a lost executor costs a read."""
-    path = f"{shared_dir(df.sparkSession)}/fernlight/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        held = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while held:
+            part = held.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > SLICE_BYTES:
+                held += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs begins with."""
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name = "_" + name
+    return name
 
 
 def rows_of(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import staged
+from .joins import spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of a node points to the smallest of the node's neighbourhood.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        larger = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # in edges u > v
+        large = spread_join(larger, least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import SPACE, staged
+from .base import SPACE, free_name, staged
 
 BUCKETS, TOP, TRACKED = 64, 16, 1024
 
@@ -61,7 +61,7 @@ def drop_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
 
     Copies of frequent texts go where they are read; the text itself is shuffled once, for the rest.
     """
-    mark, key = _free(docs, "digest"), _free(docs, "key")
+    mark, key = free_name(docs, "digest"), free_name(docs, "key")
     keyed = staged(docs.select(_key(id_col).alias("key"), digest(F.col(text_col)).alias("digest")), "digests")
     winners = staged(heavy_winners(keyed), "winners").select(F.col("digest").alias(mark), F.col("first").alias(f"{key}_first"))
     rows = docs.withColumns({mark: digest(F.col(text_col)), key: _key(id_col)}).join(F.broadcast(winners), mark, "left")
@@ -70,12 +70,6 @@ def drop_copies(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     return rows.withColumn(f"{key}_n", F.row_number().over(order)).where(F.col(f"{key}_n") == 1).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while any(c.lower().startswith(name) for c in docs.columns):
-        name = "_" + name
-    return name
-
-
 ORACLE = r"""
 WITH keyed AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

@@ -2,11 +2,14 @@
 
 All n-grams have one global order: rare ones first by the counts of a broadcast sketch of fixed size, and by hash. Equal
 sets are one class. Two sets as alike as the threshold share an n-gram among their first few in that order; the classes
-that share one are first compared with the one of the most common n-grams, and only those that are still in different components with
-each other. A pair whose n-grams before the shared one, in either set, are more than alike sets may have apart isn't
-compared at all. For every other pair, the hashes are cut into fragments: the overlap is counted in each fragment by itself and
-summed. The first fragments alone already tell most pairs apart, when they differ in more n-grams than the whole sets
-may; only the other pairs meet in all fragments. Overlaps are exact counts.
+that share one are first compared with the one of the most common n-grams, and only those that are still in different
+components with each other. A pair whose n-grams before the shared one, in either set, are more than alike sets may have
+apart isn't compared at all. For every other pair the global order is cut into fragments of about equal weight: the
+overlap is counted in each fragment by itself and summed. The first fragments alone, with shortened hashes, already tell
+most pairs apart, when they differ in more n-grams than the whole sets may; shortened hashes can only hide differences.
+Only the other pairs meet in all fragments, with all 64 bits of every n-gram.
+
+No join brings all rows of a heavy key to one task: see joins.py.
 """
 
 from __future__ import annotations
@@ -16,21 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import id_and_text, rows_of, slices, staged
+from .base import free_name, id_and_text, rows_of, slices, staged
 from .components import components
-from .hashing import bitmap, in_bitmap, mix, shingles
+from .hashing import bitmap, in_bitmap, mix, shingle_sets
+from .joins import Heavy, heavy_keys, heavy_of, spread_join
 
 FRAGMENTS = 8
 #: Counters of the sketch and counters in one of its blocks. A broadcast counter is one byte: 4 MB.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
+#: Sketches of partitions that one task adds up, and classes of one n-gram whose pairs one task looks at.
+ADDED, PAIRED = 256, 512
 
 
-def _words(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.encode().lower().split()
+def _sets(texts: list[str], size: int) -> list[np.ndarray]:
+    """The n-grams of each text: words between ASCII white space, A-Z in lower case."""
+    return shingle_sets([t.encode() for t in texts], size, fold=True)
 
 
 def _sum(found: np.ndarray) -> int:
@@ -47,9 +53,8 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int32)
         for batch in slices(batches):
-            found = [shingles(_words(t), size) for t in batch.column("text").to_pylist()]
-            for f in found:
-                np.add.at(counts, _counter(f), 1)
+            found = _sets(batch.column("text").to_pylist(), size)
+            np.add.at(counts, _counter(np.concatenate(found)), 1)
             k = batch.num_rows
             yield rows_of({"id": batch.column("id").to_pylist(), "n": list(map(len, found)), "node": [_sum(f) if len(f) else 0 for f in found], "block": [None] * k, "counts": [None] * k}, schema)
         full = [(i, c) for i, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
@@ -64,24 +69,60 @@ def _counter(found: np.ndarray) -> np.ndarray:
 
 
 def _sketch(blocks: DataFrame) -> np.ndarray:
-    """Blocks added up, each in one task that holds its sums alone; counters as logarithms in a byte."""
-    schema = pa.schema([("block", pa.int32()), ("levels", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in slices(batches, 64):
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = total.setdefault(block, np.zeros(BLOCK, np.int64))
-                own += np.frombuffer(zlib.decompress(counts), np.int32)
-        levels = [np.minimum(255, np.round(7 * np.log2(1 + t))).astype(np.uint8).tobytes() for t in total.values()]
-        yield rows_of({"block": list(total), "levels": levels}, schema)
-
+    """Blocks added up by tasks that hold the sums of a block alone, first in groups where there are very many; counters as
+    logarithms in a byte."""
+
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[int, np.ndarray] = {}
+            for batch in slices(batches, 64):
+                for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                    own = total.setdefault(block, np.zeros(BLOCK, np.int64))
+                    raw = zlib.decompress(counts)
+                    own += np.frombuffer(raw, np.int32 if len(raw) == 4 * BLOCK else np.int64)
+            out = [np.minimum(255, np.round(7 * np.log2(1 + t))).astype(np.uint8).tobytes() if last else zlib.compress(t.tobytes(), 1) for t in total.values()]
+            yield rows_of({"block": list(total), "counts": out}, pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+
+        return run
+
+    number = COUNTERS // BLOCK
+    groups = 1 + blocks.count() // (number * ADDED)
+    if groups > 1:
+        dealt = blocks.withColumn("group", F.pmod(F.xxhash64("counts"), F.lit(groups)))
+        blocks = dealt.repartition(number * groups, "block", "group").select("block", "counts").mapInArrow(add(False), "block int, counts binary")
     out = np.zeros(COUNTERS, np.uint8)
-    for block, levels in blocks.repartition(COUNTERS // BLOCK, "block").mapInArrow(run, "block int, levels binary").collect():
+    for block, levels in blocks.repartition(number, "block").mapInArrow(add(True), "block int, counts binary").collect():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(levels, np.uint8)
     return out
 
 
+def boundaries(levels: np.ndarray) -> np.ndarray:
+    """Where the global order is cut into FRAGMENTS parts of about equal weight, as places (see _ordered)."""
+    kinds = np.bincount(levels, minlength=256).astype(np.float64)
+    weight = np.cumsum(kinds * (2.0 ** (np.arange(256) / 7) - 1))
+    out = []
+    for k in range(1, FRAGMENTS):
+        goal = weight[-1] * k / FRAGMENTS
+        level = min(255, int(np.searchsorted(weight, goal)))
+        before = weight[level - 1] if level else 0.0
+        share = (goal - before) / (weight[level] - before) if weight[level] > before else 0.0
+        out.append(level << 56 | int(min(share, 1 - 1e-9) * (1 << 56)))  # hashes are even within a level
+    return np.array(out, np.uint64)
+
+
+def _ordered(found: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes in the global order, and their places in it: the level, then the hash."""
+    place = levels[_counter(found)].astype(np.uint64) << np.uint64(56) | found >> np.uint64(8)
+    order = np.argsort(place, kind="stable")
+    return found[order], place[order]
+
+
+def fragments(found: np.ndarray, levels: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """The n-grams of a set, cut where the global order is."""
+    ordered, place = _ordered(found, levels)
+    return np.split(ordered, np.searchsorted(place, cuts))
+
+
 def _wanted(batch: pa.RecordBatch, wanted) -> list[str]:
     """Texts of the documents that a bitmap of ids holds; those without an id too."""
     ids = batch.column("id")
@@ -94,14 +135,14 @@ def _probe_cut(percent: int) -> int:
     return min(FRAGMENTS, -(-13 * FRAGMENTS * (100 - percent) // (10 * (100 + percent))))
 
 
-def _keys(piece: np.ndarray) -> np.ndarray:
-    """The 32 bits after those that name the fragment."""
-    return (piece >> np.uint64(29)).astype(np.uint32).view(np.int32)
+def shortened(found: np.ndarray) -> np.ndarray:
+    """Distinct 32-bit parts of hashes. Two sets of these differ in no more places than the hashes themselves do."""
+    return np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
-def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFrame:
+def _heads(rows: DataFrame, size: int, percent: int, sketch, cuts: np.ndarray, wanted) -> DataFrame:
     """node, n, score, first, probe of one document of each class: how common its n-grams are, the first of them in order,
-    and the keys of its first fragments."""
+    and the shortened hashes of its first fragments."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int32()))])
     cut = _probe_cut(percent)
 
@@ -109,15 +150,14 @@ def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFram
         levels = sketch.value
         for batch in slices(batches):
             node, count, score, first, probe = [], [], [], [], []
-            for text in _wanted(batch, wanted):
-                found = shingles(_words(text), size)
+            for found in _sets(_wanted(batch, wanted), size):
                 if len(found):
-                    own = levels[_counter(found)]
+                    ordered, place = _ordered(found, levels)
                     node.append(_sum(found))
                     count.append(len(found))
-                    score.append(int(1000 * own.mean()))
-                    first.append(found[np.argsort(own, kind="stable")[: len(found) - -(-percent * len(found) // 100) + 1]].view(np.int64))
-                    probe.append(_keys(found[: np.searchsorted(found, np.uint64(cut << 61))] if cut < FRAGMENTS else found))
+                    score.append(int(1000 * (place >> np.uint64(56)).mean()))
+                    first.append(ordered[: len(found) - -(-percent * len(found) // 100) + 1].view(np.int64))
+                    probe.append(shortened(ordered[: np.searchsorted(place, cuts[cut - 1])] if cut < FRAGMENTS else ordered))
             yield rows_of({"node": node, "n": count, "score": score, "first": first, "probe": probe}, schema)
 
     return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<int>")
@@ -147,46 +187,82 @@ def _may_link(n, at, n_b, at_b, percent: int):
     return sizes & ((F.least(n - at, n_b - at_b)) * (100 + percent) >= (n + n_b) * percent)
 
 
-def _fragments(rows: DataFrame, size: int, wanted) -> DataFrame:
-    """node, n, part, keys: the fragments of one document of each wanted class. Keys are what a fragment leaves of a hash."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("keys", pa.list_(pa.int32()))])
+def _fragments(rows: DataFrame, size: int, sketch, cuts: np.ndarray, wanted) -> DataFrame:
+    """node, n, part, grams: the fragments of one document of each wanted class."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            node, count, part, keys = [], [], [], []
-            for text in _wanted(batch, wanted):
-                found = shingles(_words(text), size)
+            node, count, part, grams = [], [], [], []
+            for found in _sets(_wanted(batch, wanted), size):
                 own = _sum(found) if len(found) else 0
-                cuts = np.searchsorted(found, (np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(61)))
-                for k, piece in enumerate(np.split(found, cuts)):
+                for k, piece in enumerate(fragments(found, sketch.value, cuts)):
                     if len(piece):
                         node.append(own)
                         count.append(len(found))
                         part.append(k)
-                        keys.append(_keys(piece))
-            yield rows_of({"node": node, "n": count, "part": part, "keys": keys}, schema)
-
-    return rows.mapInArrow(run, "node long, n long, part int, keys array<int>")
-
-
-def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, rows: DataFrame, size: int, percent: int, repeated: bool) -> DataFrame:
-    """Those pairs (a, b) that are as alike as the threshold."""
-    share = rows.sparkSession.sparkContext.broadcast
-    one = heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
-    two = heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
-    apart = F.size("probe_a") + F.size("probe_b") - 2 * F.size(F.array_intersect("probe_a", "probe_b"))
-    may = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-    left = staged(pairs.join(one, "a").join(two, "b").where(may).select("a", "b").distinct(), "pairs")
-    ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-    spokesmen = classes.join(ends, "node", "left_semi").where("id IS NOT NULL")
-    parts = staged(_fragments(rows, size, share(bitmap(spokesmen, "id"))), "parts")
-    if repeated:
-        parts = staged(parts.dropDuplicates(["node", "part"]), "parts")
-    whole = left.join(parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("keys").alias("keys_a")), "a")
-    other = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("keys").alias("keys_b"))
-    each = whole.join(other, ["b", "part"]).select("a", "b", "n_a", "n_b", "part", F.size(F.array_intersect("keys_a", "keys_b")).alias("common"))
-    both = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
-    return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+                        grams.append(piece.view(np.int64))
+            yield rows_of({"node": node, "n": count, "part": part, "grams": grams}, schema)
+
+    return rows.mapInArrow(run, "node long, n long, part int, grams array<long>")
+
+
+class _Join:
+    """What the steps of one join share."""
+
+    def __init__(self, rows: DataFrame, size: int, percent: int):
+        self.rows, self.size, self.percent = rows, size, percent
+        share = rows.sparkSession.sparkContext.broadcast
+        surveyed = staged(_survey(rows, size), "survey")
+        self.sets = surveyed.where("block IS NULL").select("id", "n", "node")
+        levels = _sketch(surveyed.where("block IS NOT NULL").select("block", "counts"))
+        self.sketch, self.cuts = share(levels), boundaries(levels)
+        self.classes = staged(self.sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
+        self.heads = staged(_heads(rows, size, percent, self.sketch, self.cuts, share(bitmap(self.classes.where("id IS NOT NULL"), "id"))), "heads")
+        # Rows that repeat an id and a text, or have no id, may speak for one class several times.
+        self.repeated = self.heads.count() > self.classes.count()
+        if self.repeated:
+            self.heads = staged(self.heads.dropDuplicates(["node"]), "heads")
+
+    def shared(self) -> tuple[DataFrame, Heavy]:
+        """gram, node, n, at, leader, nodes: first n-grams of several classes, with the class they are compared with; and the
+        heavy ones of these n-grams."""
+        # Every class has an n-gram once, so that rows are classes.
+        twice = staged(self.heads.select(F.explode("first").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+        heavy = heavy_of(twice, twice.agg(F.sum("n")).first()[0] or 0)
+        found = _shared(self.heads, self.rows.sparkSession.sparkContext.broadcast(bitmap(twice, "gram")))
+        if heavy:
+            found = staged(found, "shared")
+        best, own = F.max(F.struct("score", "node", "n", "at")), Window.partitionBy("gram")
+        both = found.where(~heavy.holds("gram")).select("*", best.over(own).alias("leader"), F.count(F.lit(1)).over(own).alias("nodes")).where("nodes > 1")
+        if heavy:  # their leaders are fewer than joins.SHARE and broadcast; the other rows are dealt once
+            hot = found.where(heavy.holds("gram"))
+            leaders = hot.groupBy("gram").agg(best.alias("leader"), F.count(F.lit(1)).alias("nodes"))
+            both = both.unionByName(hot.join(F.broadcast(leaders), "gram").select(*both.columns))
+        return staged(both.select("gram", "node", "n", "at", "leader", "nodes"), "shared"), heavy
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that are as alike as the threshold. pairs: a written table."""
+        percent = self.percent
+        one = self.heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
+        two = self.heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
+        heavy_a, heavy_b = heavy_keys(pairs, "a"), heavy_keys(pairs, "b")
+        both = spread_join(spread_join(pairs, one, "a", F.col("b"), heavy=heavy_a), two, "b", F.col("a"), heavy=heavy_b)
+        apart = F.size("probe_a") + F.size("probe_b") - 2 * F.size(F.array_intersect("probe_a", "probe_b"))
+        may = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
+        left = staged(both.where(may).select("a", "b"), "pairs")
+        ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+        spokesmen = staged(self.classes.join(ends, "node", "left_semi").where("id IS NOT NULL").select("id"), "spokesmen")
+        wanted = self.rows.sparkSession.sparkContext.broadcast(bitmap(spokesmen, "id"))
+        parts = staged(_fragments(self.rows, self.size, self.sketch, self.cuts, wanted), "parts")
+        if self.repeated:
+            parts = staged(parts.dropDuplicates(["node", "part"]), "parts")
+        one = parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("grams").alias("grams_a"))
+        two = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("grams").alias("grams_b"))
+        whole = spread_join(left, one, "a", F.col("b"), heavy=heavy_a)
+        each = spread_join(whole, two, "b", F.col("a"), also=("part",), heavy=heavy_b).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
+        both = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
+        return both.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
 
 
 def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -195,55 +271,82 @@ def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
     Sets are of n-grams of `size` words; documents link when 100 * intersection >= percent * union. A null or empty text
     has an empty set and no links: its component is its own id. Rows with equal sets link; repeated rows repeat in the
     result. A null id passes through and is smaller than no other; other columns are ignored; an empty table gives no
-    rows. Nodes of the graph are 64-bit hashes of sets.
+    rows. N-grams and sets are told apart by 64-bit hashes.
     """
-    rows = id_and_text(docs, id_col, text_col)
-    share = docs.sparkSession.sparkContext.broadcast
-    surveyed = staged(_survey(rows, size), "survey")
-    sets = surveyed.where("block IS NULL").select("id", "n", "node")
-    sketch = share(_sketch(surveyed.where("block IS NOT NULL").select("block", "counts")))
-    classes = staged(sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
-    heads = staged(_heads(rows, size, percent, sketch, share(bitmap(classes.where("id IS NOT NULL"), "id"))), "heads")
-    # Rows that repeat an id and a text, or have no id, may speak for one class several times.
-    repeated = heads.count() > classes.count()
-    if repeated:
-        heads = staged(heads.dropDuplicates(["node"]), "heads")
-    twice = heads.select("node", F.explode("first").alias("gram")).groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    shared = staged(_shared(heads, share(bitmap(twice, "gram"))), "shared")
-    leaders = shared.groupBy("gram").agg(F.max(F.struct("score", "node", "n", "at")).alias("leader"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
-    shared = staged(shared.join(leaders, "gram"), "shared")
-    lead = F.col("leader")
+    join = _Join(id_and_text(docs, id_col, text_col), size, percent)
+    (shared, heavy), lead = join.shared(), F.col("leader")
     pairs = shared.where((F.col("node") != lead["node"]) & _may_link(F.col("n"), F.col("at"), lead["n"], lead["at"], percent))
     pairs = staged(pairs.select(F.col("node").alias("a"), lead["node"].alias("b")).distinct(), "pairs")
-    links = staged(_links(pairs, classes, heads, rows, size, percent, repeated), "links")
-    found = components(links)
-    rest = staged(_unsettled(shared, found, pairs, percent), "rest")
+    found = components(staged(join.links(pairs), "links"))
+    rest = staged(_unsettled(shared, heavy, found, pairs, percent), "rest")
     if not rest.isEmpty():
-        more = staged(_links(rest, classes, heads, rows, size, percent, repeated), "links")
+        more = staged(join.links(rest), "links")
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = sets.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("id", "n", "node", F.coalesce("root", "node").alias("root"))
-    smallest = named.where("root <> 0").groupBy("root").agg(F.min("id").alias("component"))
-    return named.join(smallest, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("root") != 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    rooted = staged(join.classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    named = spread_join(rooted.select("node", "root"), smallest, "root", F.col("node")).select("node", "component")
+    full = join.sets.where("node <> 0")
+    rows = spread_join(full, named, "node", F.col("id")).select("id", "n", "component")
+    rows = rows.unionByName(join.sets.where("node = 0").select("id", "n", F.col("id").alias("component")))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _unsettled(shared: DataFrame, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes that share a first n-gram, may link, lie in different components and weren't compared."""
-    grams = shared.where("nodes > 2").select("gram", "node", "n", "at").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _unsettled(shared: DataFrame, heavy: Heavy, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a first n-gram, may link, lie in different components and weren't compared.
+
+    Classes of an n-gram meet only where their sizes are near: in sizes that grow by 100 / percent, in the same step or
+    the next. Of n-grams with very many classes, parts of PAIRED classes meet all others in tasks of their own.
+    """
+    several = shared.where("nodes > 2").select("gram", "node", "n", "at", "nodes")
+    grams = several.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    grams = staged(grams.join(mixed, "gram", "left_semi"), "grams")
-    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    parts = (F.col("nodes") / PAIRED).cast("long") + 1
+    # A hair wider than the ratio, so that rounding keeps sizes that may link within one step.
+    step = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-6))) if percent < 100 else F.col("n")
+    grams = staged(spread_join(grams, mixed, "gram", F.col("node"), heavy=heavy).withColumn("step", step).withColumn("parts", parts), "grams")
+    dealt = grams.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("nodes", "parts")
+    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "parts")
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
     fit = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), percent)
-    pairs = grams.join(other, (grams["gram"] == other["gram"]) & fit).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    pairs = dealt.join(other, ["gram", "step", "part"]).where(fit).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
 def drop_similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, all columns, whose id is the smallest of its component; rows with a null id stay.
 
-    An id of several rows goes only if all of them are in components of smaller ids.
+    An id of several rows goes only if all of them are in components of smaller ids. Null and empty texts stay; columns of
+    any name pass through; an empty table gives no rows.
     """
     found = similar(docs, text_col=text_col, id_col=id_col, size=size, percent=percent)
+    mark = free_name(docs, "gone")
     # Written first, so that its size is known when the join is planned.
-    gone = staged(found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias("__gone")), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = staged(found.groupBy("doc_id").agg(F.max("component_id").alias("c")).where("c < doc_id").select(F.col("doc_id").alias(mark)), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(mark), "left_anti")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))
+                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS grams FROM w
+), n AS (
+  SELECT doc_id, len(grams) AS n_shingles, md5(array_to_string(list_sort(grams), chr(10))) AS m FROM s
+), classes AS (
+  SELECT m, n_shingles, min(doc_id) AS c FROM n WHERE n_shingles > 0 GROUP BY m, n_shingles
+), g AS (
+  SELECT c, n_shingles AS k, md5_number(gram) AS gram FROM classes JOIN s ON s.doc_id = classes.c, unnest(s.grams) AS u(gram)
+), links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.c <> b.c AND 100 * least(a.k, b.k) >= 90 * greatest(a.k, b.k)
+  GROUP BY a.c, b.c, a.k, b.k HAVING 100 * count(*) >= 90 * (a.k + b.k - count(*))
+), reach AS (
+  SELECT c, c AS other FROM classes UNION SELECT reach.c, links.b FROM reach JOIN links ON links.a = reach.other
+), named AS (
+  SELECT c, min(other) AS component_id FROM reach GROUP BY c
+)
+SELECT n.doc_id, n.n_shingles, coalesce(named.component_id, n.doc_id) AS component_id
+FROM n LEFT JOIN classes USING (m, n_shingles) LEFT JOIN named USING (c)
+"""

@@ -56,4 +56,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_langid, op3_ngram_jaccard, op4_media, op5_exact_dedup, op6_substring_dedup, op7_toxicity, op8_bpe, op9_secrets, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard": jaccard.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_substring_dedup": substring.ORACLE}

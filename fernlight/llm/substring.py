@@ -2,13 +2,14 @@
 
 Every window of `size` words has an anchor, the word run of `GRAM` words in it whose hash is smallest; consecutive
 windows with one anchor make a piece. Windows with the same words have the same anchor, so only pieces with the same
-anchor can share one. First the pieces are counted by anchor and content: an anchor with one kind of piece is settled by
-its smallest document. Of the other anchors one document for each kind of piece sends the words; shards of anchors build a
-suffix automaton of their pieces, whose states know the smallest document they occur in, and every piece is streamed
-through it: where the matching statistic reaches `size` words, the state gives the window's first document. Shards are
-sent to the pieces that can match rather than broadcast to all documents, since all documents against all shards would
-grow with the square of the input. At last every document joins what is known of its pieces and drops the words of
-windows that occur in a smaller document.
+anchor can share one. First the pieces are counted by anchor and content, combined where they lie. Of the anchors that
+lie in several documents one document for each kind of piece sends the words; shards of anchors build a suffix automaton
+of their pieces, whose states know the smallest document they occur in, and every kind of piece is streamed through it:
+where the matching statistic reaches `size` words, the state gives the window's first document. Every window that occurs
+in two documents is settled in this way. An anchor with very many kinds of pieces has several shards, through each of
+which all its pieces are streamed. Shards are sent to the pieces that can match rather than broadcast to all documents,
+since all documents against all shards would grow with the square of the input. At last every document joins what is
+known of its pieces and drops the words of windows that occur in a smaller document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import id_and_text, rows_of, slices, staged
-from .hashing import bitmap, in_bitmap, mix, word_hashes
+from .hashing import Powers, bitmap, hashed_words, in_bitmap, mix
+from .joins import spread_join
 
 GRAM = 6
-#: Words of pieces that one automaton holds.
-SHARD_WORDS = 100_000
-#: Anchors with more kinds of pieces than this are settled window by window instead, so that no automaton grows beyond bounds.
-CROWDED = 2_000
+#: Words of pieces that one automaton holds, and pieces that are combined before they are sent.
+SHARD_WORDS, COMBINED = 100_000, 1_000_000
+#: Bits of a word's hash that automata tell words by: a window of 13 is told from others by 390, beside its anchor's 64.
+SYMBOL = 30
+#: Kinds of pieces of one anchor that a shard holds at least; and a bound on the anchors that have several shards.
+KINDS, CROWDS = 2_000, 1 << 18
 NONE = np.iinfo(np.int64).max
 _B = 0x9E3779B97F4A7C15
-_INVERSE = pow(_B, -1, 1 << 64)
+_POWERS, _INVERSES = Powers(_B), Powers(pow(_B, -1, 1 << 64))
 
 
 class Automaton:
@@ -107,14 +110,13 @@ class Pieces:
     """Pieces of several documents: document, first window, number of windows, anchor and content of each.
 
     All documents' words are one array, so that the work is done for many documents at once; windows that would reach
-    from one document into the next are left out.
+    from one document into the next are left out. Anchor and content together, 128 bits, name a kind of piece.
     """
 
-    def __init__(self, texts: list[str], size: int):
-        self.words = [t.encode().split() for t in texts]
-        self.size, self.lengths = size, np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.offset = np.cumsum(self.lengths) - self.lengths
-        self.hash = word_hashes(list(chain.from_iterable(self.words)))
+    def __init__(self, texts: list[bytes], size: int):
+        self.size = size
+        self.hash, self.offset = hashed_words(texts)
+        self.lengths = np.diff(self.offset)
         total = len(self.hash)
         n = total - size + 1
         if n <= 0:
@@ -123,16 +125,17 @@ class Pieces:
         owner = np.repeat(np.arange(len(texts)), self.lengths)
         inside = owner[:n] == owner[size - 1 :]
         grams = total - GRAM + 1
-        h = self.hash[:grams].copy()
+        best = self.hash[:grams].copy()
         for k in range(1, GRAM):
-            h = mix(h) + self.hash[k : k + grams]
-        h = mix(h)
-        # The place of the smallest hash in each window; the first of equal ones.
-        best, place = h[:n].copy(), np.arange(n)
-        for k in range(1, size - GRAM + 1):
-            less = h[k : k + n] < best
-            np.copyto(best, h[k : k + n], where=less)
-            np.copyto(place, np.arange(k, k + n), where=less)
+            best = mix(best) + self.hash[k : k + grams]
+        best, place = mix(best), np.arange(grams)
+        # The place of the smallest hash among each window's runs; the first of equal ones. Spans double until they reach.
+        runs, span = size - GRAM + 1, 1
+        while span < runs:
+            step = min(span, runs - span)
+            less = best[step:] < best[:-step]
+            best, place = np.where(less, best[step:], best[:-step]), np.where(less, place[step:], place[:-step])
+            span += step
         place[~inside] = -1
         first = np.flatnonzero(np.diff(place, prepend=-2))
         count = np.diff(first, append=n)
@@ -140,9 +143,9 @@ class Pieces:
         self.at, self.count = first[some], count[some]
         self.doc = owner[self.at]
         # A polynomial over 64 bits gives the content of any run of words.
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash) * _powers(_INVERSE, total))])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.hash) * _INVERSES(total))])
         end = self.at + self.count + size - 1
-        content = (sums[end] - sums[self.at]) * _powers(_B, total)[self.at]
+        content = (sums[end] - sums[self.at]) * _POWERS(total)[self.at]
         anchor = best[self.at]
         self.anchor = anchor.view(np.int64)
         self.content = mix(content + (end - self.at).astype(np.uint64) + mix(anchor)).view(np.int64)
@@ -152,33 +155,41 @@ class Pieces:
         """First windows, counted within the documents."""
         return self.at - self.offset[self.doc]
 
-    def run(self, k: int) -> np.ndarray:
-        """The hashes of piece k's words."""
-        return self.hash[self.at[k] : self.at[k] + self.count[k] + self.size - 1].view(np.int64)
 
-
-def _powers(of: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(of))
-    out[:1] = 1
-    return np.cumprod(out)
+def _pieces(batch: pa.RecordBatch, size: int) -> Pieces:
+    return Pieces([t.encode() for t in batch.column("text").to_pylist()], size)
 
 
 def _count(rows: DataFrame, size: int) -> DataFrame:
     """anchor, content, low, high, kinds: kinds of pieces of anchors that lie in several documents.
 
-    Each kind has its smallest and its largest document, each anchor its number of kinds. One shuffle, by anchor.
+    Each kind has its smallest and its largest document, each anchor its number of kinds. One shuffle, by anchor; copies
+    are combined before it, COMBINED pieces at a time, so that a common passage sends few rows.
     """
     schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64())])
 
+    def combined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Of copies only the smallest and the largest document matter."""
+        anchor, content, doc = map(np.concatenate, zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((doc, content))
+        anchor, content, doc = anchor[order], content[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1])
+        ends = new | np.append(new[1:], True)
+        return pa.RecordBatch.from_arrays([pa.array(x[ends]) for x in (anchor, content, doc)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches, 1024):
-            found = Pieces(batch.column("text").to_pylist(), size)
-            doc, anchor, content = batch.column("id").to_numpy()[found.doc], found.anchor, found.content
-            # Of copies within the batch only the smallest and the largest document matter.
-            order = np.lexsort((doc, content))
-            new = np.diff(content[order], prepend=~content[order][:1]) != 0
-            order = order[new | np.append(new[1:], True)]
-            yield rows_of({"anchor": anchor[order], "content": content[order], "doc": doc[order]}, schema)
+            found = _pieces(batch, size)
+            held.append((found.anchor, found.content, batch.column("id").to_numpy()[found.doc]))
+            n += len(found.doc)
+            if n >= COMBINED:
+                yield combined(held)
+                n = 0
+        if held:
+            yield combined(held)
 
     dealt = rows.mapInArrow(run, "anchor long, content long, doc long").repartition("anchor")
     kinds = dealt.groupBy("anchor", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
@@ -187,79 +198,126 @@ def _count(rows: DataFrame, size: int) -> DataFrame:
     return kinds.where("least <> most").drop("least", "most")
 
 
-def _send(rows: DataFrame, size: int, wanted) -> DataFrame:
-    """anchor, content, doc, words of pieces that the bitmap asks for."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("words", pa.list_(pa.int64()))])
+def _send(rows: DataFrame, size: int, wanted, copied) -> DataFrame:
+    """anchor, content, doc, several, words of pieces that the first bitmap asks for; several: whether the second has it."""
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("several", pa.bool_()), ("words", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = np.frombuffer(wanted.value, np.uint8)
+        some, more = np.frombuffer(wanted.value, np.uint8), np.frombuffer(copied.value, np.uint8)
         for batch in slices(batches):
-            found = Pieces(batch.column("text").to_pylist(), size)
+            found = _pieces(batch, size)
             doc = batch.column("id").to_numpy()[found.doc]
             hit = np.flatnonzero(in_bitmap(some, found.content ^ doc))
             hit = hit[np.unique(np.stack([found.doc[hit], found.content[hit]]), axis=1, return_index=True)[1]] if len(hit) else hit
-            anchor, content, doc, words = found.anchor[hit], found.content[hit], doc[hit], [found.run(k) for k in hit.tolist()]
-            yield rows_of({"anchor": anchor, "content": content, "doc": doc, "words": words}, schema)
+            several = in_bitmap(more, found.content[hit])
+            ends = np.cumsum(found.count[hit] + size - 1)
+            at = np.arange(int(ends[-1]) if len(hit) else 0)
+            at += np.repeat(found.at[hit] - np.append(0, ends[:-1])[: len(hit)], found.count[hit] + size - 1)
+            words = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array((found.hash[at] >> np.uint64(64 - SYMBOL)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(found.anchor[hit]), pa.array(found.content[hit]), pa.array(doc[hit]), pa.array(several), words], schema=schema)
+
+    return rows.mapInArrow(run, "anchor long, content long, doc long, several boolean, words array<int>")
+
+
+_ANSWER = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("firsts", pa.list_(pa.int64())), ("shards", pa.int64())])
 
-    return rows.mapInArrow(run, "anchor long, content long, doc long, words array<long>")
 
+def _answers(automaton: Automaton, rows: list[tuple], size: int) -> pa.RecordBatch:
+    """For those pieces that remove anything: one first document of all windows, or each window's."""
+    out = []
+    for anchor, content, doc, several, words, shards in rows:
+        firsts = automaton.windows(words, size)
+        least = min(firsts)
+        if several and least < NONE or least < doc:
+            same = shards == 1 and max(firsts) == least
+            out.append((anchor, content, least if same else None, None if same else firsts, shards))
+    return rows_of({name: [r[k] for r in out] for k, name in enumerate(_ANSWER.names)}, _ANSWER)
 
-def _match(sent: DataFrame, size: int, shards: int) -> DataFrame:
-    """content, firsts (one for each window): the pieces of each shard streamed through the shard's automata.
 
-    A shard's pieces come sorted by anchor, and an automaton closes where an anchor ends and it holds enough words.
+def _match(sent: DataFrame, crowded: DataFrame, size: int, tasks: int) -> DataFrame:
+    """anchor, content and first (of all windows) or firsts (one for each): pieces streamed through their shards' automata.
+
+    Pieces come sorted by anchor and shard, those that the shard holds before those that are only streamed, then by kind
+    and document: of a kind that several documents sent, the smallest one's counts. Small anchors share an automaton
+    until it holds SHARD_WORDS words.
     """
 
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("content", pa.int64()), ("firsts", pa.list_(pa.int64()))])
-        held: list[tuple[int, int, list[int]]] = []
-        before, size_now = None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        before, kind, words, automaton = None, None, 0, Automaton()
 
-        def close() -> pa.RecordBatch:
-            automaton = Automaton()
-            for doc, _, words in held:
-                automaton.add(words, doc)
-            automaton.close()
-            out = rows_of({"content": [c for _, c, _ in held], "firsts": [automaton.windows(w, size) for _, _, w in held]}, schema)
-            held.clear()
-            return out
+        def build() -> Automaton:
+            built = Automaton()
+            for _, _, doc, _, own, _ in held:
+                built.add(own, doc)
+            built.close()
+            return built
 
         for batch in slices(batches):
-            for anchor, content, doc, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc", "words")), strict=True):
-                if anchor != before and size_now >= SHARD_WORDS:
-                    yield close()
-                    size_now = 0
-                before = anchor
-                held.append((doc, content, words))
-                size_now += len(words)
+            streamed = []
+            for *row, shard, member in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc", "several", "words", "shards", "shard", "member")), strict=True):
+                if (row[0], shard) != before:
+                    if streamed:
+                        yield _answers(automaton, streamed, size)
+                        streamed = []
+                    if words >= SHARD_WORDS:
+                        yield _answers(build(), held, size)
+                        held.clear()
+                        words = 0
+                    before, kind, automaton = (row[0], shard), None, Automaton()
+                if row[1] == kind:
+                    continue
+                kind = row[1]
+                if member:
+                    held.append(tuple(row))
+                    words += len(row[4])
+                else:
+                    if held:
+                        automaton = build()
+                        yield _answers(automaton, held, size)
+                        held.clear()
+                        words = 0
+                    streamed.append(tuple(row))
+            if streamed:
+                yield _answers(automaton, streamed, size)
         if held:
-            yield close()
+            yield _answers(build(), held, size)
 
-    return sent.repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(shard, "content long, firsts array<long>")
+    several = not crowded.isEmpty()
+    dealt = sent.join(F.broadcast(crowded), "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long"))) if several else sent.withColumn("shards", F.lit(1).cast("long"))
+    dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("member", F.pmod("content", "shards") == F.col("shard"))
+    dealt = dealt.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", F.desc("member"), "content", "doc")
+    found = staged(dealt.mapInArrow(run, "anchor long, content long, first long, firsts array<long>, shards long"), "matched")
+    if several:  # of several shards' answers the smallest counts
+        each = found.where("shards > 1").select("anchor", "content", F.posexplode("firsts").alias("at", "f")).groupBy("anchor", "content", "at").agg(F.min("f").alias("f"))
+        merged = each.groupBy("anchor", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda x: x["f"]).alias("firsts"))
+        found = staged(found.where("shards = 1").unionByName(merged.withColumns({"first": F.lit(None).cast("long"), "shards": F.lit(1).cast("long")})), "answers")
+    return found.drop("shards")
 
 
 def _ask(rows: DataFrame, size: int, wanted) -> DataFrame:
-    """doc, n_words, kept_sha256 (null if pieces may repeat), packed text, and those pieces: content, first window."""
-    piece = pa.struct([("content", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
+    """doc, n_words, kept_sha256 (null if pieces may repeat), packed text, and those pieces: anchor, content, windows."""
+    piece = pa.struct([("anchor", pa.int64()), ("content", pa.int64()), ("start", pa.int32()), ("count", pa.int32())])
     schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("packed", pa.binary()), ("pieces", pa.list_(piece))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches):
-            found = Pieces(batch.column("text").to_pylist(), size)
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            found = Pieces(texts, size)
             hit = np.flatnonzero(in_bitmap(some, found.content))
-            ends = np.searchsorted(found.doc[hit], np.arange(len(found.words) + 1))
-            listed = list(zip(found.content[hit].tolist(), found.start[hit].tolist(), found.count[hit].tolist(), strict=True))
-            n, sha, packed, pieces = found.lengths, [], [], []
-            for d, words in enumerate(found.words):
-                own = listed[ends[d] : ends[d + 1]]
-                joined = b" ".join(words)
+            ends = np.searchsorted(found.doc[hit], np.arange(len(texts) + 1))
+            columns = [found.anchor[hit], found.content[hit], found.start[hit].astype(np.int32), found.count[hit].astype(np.int32)]
+            pieces = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(piece)))
+            sha, packed = [], []
+            for text, own in zip(texts, (ends[1:] > ends[:-1]).tolist(), strict=True):
+                joined = b" ".join(text.split())
                 sha.append(None if own else hashlib.sha256(joined).hexdigest())
                 packed.append(zlib.compress(joined, 1) if own else None)
-                pieces.append([{"content": c, "start": a, "count": k} for c, a, k in own])
-            yield rows_of({"doc": batch.column("id").to_pylist(), "row": batch.column("row").to_pylist(), "n_words": n, "sha": sha, "packed": packed, "pieces": pieces}, schema)
+            arrays = [batch.column("id"), batch.column("row"), pa.array(found.lengths), pa.array(sha, pa.string()), pa.array(packed, pa.binary()), pieces]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc long, row long, n_words long, sha string, packed binary, pieces array<struct<content:long,start:int,count:int>>")
+    return rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "doc long, row long, n_words long, sha string, packed binary, pieces array<struct<anchor:long,content:long,start:int,count:int>>")
 
 
 def _cover(starts: list[int], size: int, n: int) -> np.ndarray:
@@ -279,35 +337,30 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", id_col: str = "do
     null id keep everything and nothing repeats them. Other columns are ignored; an empty table gives no rows.
     """
     rows = id_and_text(docs, id_col, text_col)
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    share = docs.sparkSession.sparkContext.broadcast
     known = rows.where("id IS NOT NULL")
-    shared = staged(_count(known, size), "pieces")
-    # One kind of piece: its windows first occur in its smallest document.
-    plain = shared.where("kinds = 1").select("content", F.col("low").alias("first"), F.lit(None).cast("array<long>").alias("firsts"))
-    mixed = shared.where("kinds > 1")
-    asked = bitmap(mixed.select(F.col("content").bitwiseXOR(F.col("low")).alias("k")), "k")
-    sent = staged(_send(known, size, share(asked)), "sent")
-    crowded = mixed.where(F.col("kinds") > CROWDED).select("anchor").distinct()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    matched = _match(sent.join(crowded, "anchor", "left_anti"), size, shards).unionByName(_settle(sent.join(crowded, "anchor", "left_semi"), size))
-    # Of these only pieces with a window that begins in a document smaller than one that has the piece remove anything.
-    matched = matched.join(mixed.select("content", "high"), "content").where(F.array_min("firsts") < F.col("high"))
-    answers = staged(plain.unionByName(matched.select("content", F.lit(None).cast("long").alias("first"), "firsts")), "answers")
+    answers = _settled(known, size)
     told = staged(_ask(rows, size, share(bitmap(answers, "content"))), "told")
-    window = "filter(transform(sequence(0, p.count - 1), i -> if(coalesce(firsts[i], first) < doc, p.start + i, -1)), x -> x >= 0)"
-    pieces = told.select("row", "doc", F.explode("pieces").alias("p")).withColumn("content", F.col("p.content"))
-    starts = pieces.join(answers, "content").select("row", F.expr(window).alias("starts")).where("size(starts) > 0").groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    window = "filter(transform(sequence(0, count - 1), i -> if(coalesce(firsts[i], first) < doc, start + i, -1)), x -> x >= 0)"
+    pieces = told.select("row", "doc", F.inline("pieces"))
+    starts = spread_join(pieces, answers, "content", F.col("row"), also=("anchor",)).select("row", F.expr(window).alias("starts")).where("size(starts) > 0").groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     open_rows = told.where("sha IS NULL").select("row", "doc", "n_words", "packed").join(starts, "row", "left")
     closed = told.where("sha IS NOT NULL").select(F.col("doc").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
     return closed.unionByName(_remove(open_rows, size))
 
 
-def _settle(sent: DataFrame, size: int) -> DataFrame:
-    """content, firsts as _match gives them, by the hash of each window: for anchors with very many kinds of pieces."""
-    window = sent.select("content", "doc", F.expr(f"posexplode(transform(sequence(1, size(words) - {size - 1}), i -> xxhash64(slice(words, i, {size}))))").alias("at", "window"))
-    first = window.groupBy("window").agg(F.min("doc").alias("first"))
-    return window.join(first, "window").groupBy("content").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "first"))), lambda x: x["first"]).alias("firsts"))
+def _settled(known: DataFrame, size: int) -> DataFrame:
+    """anchor, content, first, firsts of the pieces that remove words from some document."""
+    spark = known.sparkSession
+    share = spark.sparkContext.broadcast
+    shared = staged(_count(known, size), "pieces")
+    asked = bitmap(shared.select(F.col("content").bitwiseXOR(F.col("low")).alias("k")), "k")
+    copied = bitmap(shared.where("low < high"), "content")
+    sent = _send(known, size, share(asked), share(copied))
+    most = max(KINDS, shared.count() // CROWDS)  # so that crowded anchors are fewer than CROWDS
+    crowded = staged(shared.where(F.col("kinds") > most).select("anchor", (F.col("kinds") / most).cast("long").alias("shards")).distinct(), "crowded")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return _match(sent, crowded.withColumn("shards", F.col("shards") + 1), size, tasks)
 
 
 def _remove(rows: DataFrame, size: int) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fernlight.llm import secrets
 from fernlight.llm.base import documents
 
+from .conftest import ODD
 from .test_operators import SF, check_packing, components_by_force
 
 
@@ -37,3 +40,31 @@ def test_stages(spark):
     check_packing(five.collect(), {r.doc_id: r.text for r in four}, 2048)
     whole = corpus_pipeline.run(spark, SF).collect()
     check_packing(whole, {r.doc_id: r.text for r in four}, 2048)
+
+
+def ids(rows):
+    return sorted((r.doc_id for r in rows), key=repr)
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows, missing ids and clashing columns, stage after stage."""
+    clash = odd.withColumnsRenamed({"digest": "__gone", "row": "__salt", "key": "component_id"})
+    want = {
+        "language ID": [1, 2, 6, 7, 8, 8, 9, None, None],
+        "exact dedup": [1, 3, 6, 7, 8, 9, -5, None, 5],
+        "n-gram Jaccard join": [1, 3, 4, 5, 6, 8, 8, 9, -5, None, None],
+        "secret scans": [r[0] for r in ODD],
+    }
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, clash, SF)
+        assert found.columns == clash.columns, name
+        assert ids(found.collect()) == sorted(want[name], key=repr), name
+        empty = stage(spark, none, SF)
+        assert empty.columns == none.columns and empty.count() == 0, name
+    packed = corpus_pipeline.pack(spark, clash, SF).where("start = 0")
+    assert ids(packed.collect()) == sorted((r[0] for r in ODD), key=repr) and corpus_pipeline.pack(spark, none, SF).count() == 0
+
+
+def test_corpus_without_labels_is_kept(spark):
+    docs = documents(spark, SF).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, docs, SF).count() == docs.where("text RLIKE '[A-Za-z]'").count() > 150
