@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import math
 import os
 import re
 import tomllib
@@ -145,8 +146,14 @@ def validate(config: Config) -> None:
     check(config["search.mode"] in ("hybrid", "keyword", "vector"), "search.mode is hybrid, keyword or vector")
     check(config["search.rank_fusion"] in ("rrf", "weighted_rrf"), "search.rank_fusion is rrf or weighted_rrf")
     check(config["chunking.max_tokens"] >= config["chunking.target_tokens"], "chunking.max_tokens is at least chunking.target_tokens")
-    check(config["search.vector_candidates"] >= 0, "search.vector_candidates isn't negative")
-    check(config["search.rrf_k"] > 0, "search.rrf_k is positive")
+    remote = config["embedding.provider"] == "openai-compatible"
+    check(not remote or config["embedding.base_url"] not in ("", "/embeddings"), "embedding.base_url is required for an openai-compatible provider")
+    check(not remote or config["embedding.model"], "embedding.model is required for an openai-compatible provider")
+    n = config["search.vector_candidates"]
+    check(isinstance(n, int) and n >= 0, "search.vector_candidates is a whole number and isn't negative")
+    check(not n or (config["embedding.provider"] != "none" and config["embedding.dimensions"] > 0), "search.vector_candidates needs an embedding.provider and embedding.dimensions")
+    k = config["search.rrf_k"]
+    check(isinstance(k, (int, float)) and math.isfinite(k) and k > 0, "search.rrf_k is positive")
     weights = [config["search.rrf_weights.keyword"], config["search.rrf_weights.vector"]]
     check(all(isinstance(w, (int, float)) and w >= 0 for w in weights), "search.rrf_weights aren't negative")
     check(config["search.rank_fusion"] == "rrf" or any(weights), "of search.rrf_weights one is positive")

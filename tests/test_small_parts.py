@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fernlight.operators import catalog, fusion
 from fernlight.plans import cli
+from fernlight.plans import config as settings
 from fernlight.plans.config import ConfigError
 from fernlight.plans.store import SCHEMA_VERSION, TABLES, Store
 from fernlight.plans.sync import check_provider, lock, sync, touch_gitignore
@@ -76,6 +77,22 @@ def test_provider_check(tmp_path):
     assert check_provider(config, refuse) == {"ok": False, "provider": "local", "error": "HTTP 401: no", "retryable": False}
 
 
+@pytest.mark.parametrize(
+    "wrong",
+    [
+        {"embedding.provider": "openai-compatible", "embedding.model": ""}, {"embedding.provider": "openai-compatible", "embedding.base_url": ""}, {"search.vector_candidates": 5}, {"search.vector_candidates": -1},
+        {"search.vector_candidates": 5, "embedding.provider": "local", "embedding.dimensions": 0}, {"search.rrf_k": float("inf")}, {"search.rrf_k": 0}, {"search.mode": "other"}, {"search.rank_fusion": "sum"},
+        {"search.rank_fusion": "weighted_rrf", "search.rrf_weights": {"keyword": 0, "vector": 0}}, {"search.rrf_weights": {"keyword": -1, "vector": 1}}, {"storage.backend": "jdbc"}, {"chunking.max_tokens": 5},
+    ],
+)
+def test_wrong_settings(tmp_path, wrong):
+    config = load(tmp_path)
+    for dotted, value in wrong.items():  # as a file might have them; empty arguments are ignored
+        settings.put(config.values, dotted, value)
+    with pytest.raises(ConfigError):
+        settings.validate(config)
+
+
 def test_lookups_and_tables(spark, tmp_path):
     write(tmp_path, "a/one.md", "# One\n[[two]] and [[gone]]\n")
     write(tmp_path, "b/two.md", "# Two\n[[one]]\n")
