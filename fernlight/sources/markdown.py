@@ -37,8 +37,8 @@ _NOTE = re.compile(r"\^\[([^\]\n]+?\.md(?:#[^\]\n]+)?)\]")
 _RUNS, _HAN = re.compile(r"[A-Za-z0-9_./+-]+"), regex.compile(r"\p{Han}")
 
 
-class CoreLoader(yaml.SafeLoader):
-    """YAML 1.2's core schema."""
+class CoreLoader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+    """YAML 1.2's core schema, on libyaml where it is there."""
 
 
 CoreLoader.yaml_implicit_resolvers = {}
@@ -67,8 +67,11 @@ def stable_json(value: Any) -> str:
     return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), default=str)
 
 
+_BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.match(_WS, c))
+
+
 def trim(text: str) -> str:
-    return re.sub(rf"\A{_WS}+|{_WS}+\Z", "", text)
+    return text.strip(_BLANKS)
 
 
 def as_bool(value: Any) -> bool | None:
@@ -110,8 +113,8 @@ def iso(value: Any) -> str | None:
 
 
 def estimate_tokens(text: str, per_token: float) -> int:
-    rest = len(_HAN.sub("", text).encode("utf-16-le", "surrogatepass")) // 2
-    return max(1, math.ceil(len(_RUNS.findall(text)) + len(_HAN.findall(text)) / per_token + rest / 8))
+    runs, han, rest = _parts_of(text)
+    return max(1, math.ceil(runs + han / per_token + rest / 8))
 
 
 def anchor_of(heading: str) -> str:
@@ -185,9 +188,11 @@ def sections(body: str) -> list[tuple[list[str], str, str]]:
     return out
 
 
-def _parts_of(text: str, per_token: float) -> tuple[int, int, int]:
+def _parts_of(text: str) -> tuple[int, int, int]:
     """What an estimate adds up, runs of ASCII words, Han characters and other UTF-16 units: those of blocks, with the two
     line ends between them, are those of the joined text."""
+    if text.isascii():
+        return len(_RUNS.findall(text)), 0, len(text)
     han = len(_HAN.findall(text))
     return len(_RUNS.findall(text)), han, len(_HAN.sub("", text).encode("utf-16-le", "surrogatepass")) // 2
 
@@ -201,7 +206,7 @@ def split_large(text: str, target: int, most: int, per_token: float) -> list[str
         return [text]
     out, held, sums = [], [], (0, 0, 0)
     for block in re.split(r"\n{2,}", text):
-        own = _parts_of(block, per_token)
+        own = _parts_of(block)
         some = bool(held) and (len(held) > 1 or held[0] != "")
         runs, han, rest = (a + b for a, b in zip(sums, own, strict=True)) if some else own
         rest += 2 * some
