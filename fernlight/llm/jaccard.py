@@ -181,6 +181,17 @@ def _shared(heads: DataFrame, wanted) -> DataFrame:
     return heads.select("node", "n", "score", "first").mapInArrow(run, "gram long, node long, n long, at int, score int")
 
 
+def _probes(heads: DataFrame, wanted) -> DataFrame:
+    """node, n, probe of the classes that a bitmap holds, and of few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = np.frombuffer(wanted.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(some, batch.column(0).to_numpy())))
+
+    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe array<int>")
+
+
 def _may_link(n, at, n_b, at_b, percent: int):
     """Whether sets that share the n-gram at these places, and none before, can be as alike as the threshold."""
     sizes = F.least(n, n_b) * 100 >= F.greatest(n, n_b) * percent
@@ -244,8 +255,11 @@ class _Join:
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that are as alike as the threshold. pairs: a written table."""
         percent = self.percent
-        one = self.heads.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
-        two = self.heads.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
+        share = self.rows.sparkSession.sparkContext.broadcast
+        ends = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "ends")
+        probes = _probes(self.heads, share(bitmap(ends, "node")))
+        one = probes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("probe").alias("probe_a"))
+        two = probes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
         heavy_a, heavy_b = heavy_keys(pairs, "a"), heavy_keys(pairs, "b")
         both = spread_join(spread_join(pairs, one, "a", F.col("b"), heavy=heavy_a), two, "b", F.col("a"), heavy=heavy_b)
         apart = F.size("probe_a") + F.size("probe_b") - 2 * F.size(F.array_intersect("probe_a", "probe_b"))
@@ -253,7 +267,7 @@ class _Join:
         left = staged(both.where(may).select("a", "b"), "pairs")
         ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
         spokesmen = staged(self.classes.join(ends, "node", "left_semi").where("id IS NOT NULL").select("id"), "spokesmen")
-        wanted = self.rows.sparkSession.sparkContext.broadcast(bitmap(spokesmen, "id"))
+        wanted = share(bitmap(spokesmen, "id"))
         parts = staged(_fragments(self.rows, self.size, self.sketch, self.cuts, wanted), "parts")
         if self.repeated:
             parts = staged(parts.dropDuplicates(["node", "part"]), "parts")
@@ -295,20 +309,26 @@ def similar(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id",
 def _unsettled(shared: DataFrame, heavy: Heavy, found: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that share a first n-gram, may link, lie in different components and weren't compared.
 
-    Classes of an n-gram meet only where their sizes are near: in sizes that grow by 100 / percent, in the same step or
-    the next. Of n-grams with very many classes, parts of PAIRED classes meet all others in tasks of their own.
+    Classes of an n-gram meet only where their sizes are near: a class meets the smaller ones (of equal sizes the smaller
+    nodes) in its own step of sizes, which grow by 100 / percent, and in the step before. Of n-grams with very many classes,
+    parts of PAIRED classes meet all others in tasks of their own.
     """
     several = shared.where("nodes > 2").select("gram", "node", "n", "at", "nodes")
     grams = several.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = grams.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-    parts = (F.col("nodes") / PAIRED).cast("long") + 1
+    least, most, own = F.min("root"), F.max("root"), Window.partitionBy("gram")
+    mixed = grams.where(~heavy.holds("gram")).withColumns({"low": least.over(own), "high": most.over(own)})
+    if heavy:  # fewer than joins.SHARE
+        hot = grams.where(heavy.holds("gram"))
+        mixed = mixed.unionByName(hot.join(F.broadcast(hot.groupBy("gram").agg(least.alias("low"), most.alias("high"))), "gram").select(*mixed.columns))
     # A hair wider than the ratio, so that rounding keeps sizes that may link within one step.
     step = F.floor(F.log(F.col("n")) / F.lit(float(np.log(100 / percent)) * (1 + 1e-6))) if percent < 100 else F.col("n")
-    grams = staged(spread_join(grams, mixed, "gram", F.col("node"), heavy=heavy).withColumn("step", step).withColumn("parts", parts), "grams")
-    dealt = grams.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).drop("nodes", "parts")
-    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), "parts")
-    other = other.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    fit = (F.col("node") > F.col("b")) & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), percent)
+    parts = (F.col("nodes") / PAIRED).cast("long") + 1
+    grams = staged(mixed.where("low <> high").select("gram", "node", "n", "at", "root", step.cast("int").alias("step"), parts.cast("int").alias("parts")), "grams")
+    dealt = grams.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    other = grams.select("gram", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"), F.explode(F.array(F.col("step"), F.col("step") + 1)).alias("step"), "parts")
+    other = other.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    larger = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("node") > F.col("b")))
+    fit = larger & (F.col("root") != F.col("root_b")) & _may_link(F.col("n"), F.col("at"), F.col("n_b"), F.col("at_b"), percent)
     pairs = dealt.join(other, ["gram", "step", "part"]).where(fit).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     return pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
