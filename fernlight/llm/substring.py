@@ -6,8 +6,8 @@ anchor can share one. First the pieces are counted by anchor and content, combin
 lie in several documents one document for each kind of piece sends the words; shards of anchors build a suffix automaton
 of their pieces, whose states know the smallest document they occur in, and every kind of piece is streamed through it:
 where the matching statistic reaches `size` words, the state gives the window's first document. Every window that occurs
-in two documents is settled in this way. An anchor with very many kinds of pieces has several shards, through each of
-which all its pieces are streamed. Shards are sent to the pieces that can match rather than broadcast to all documents,
+in two documents is settled in this way. An anchor with very many kinds of pieces has several shards, to which its windows
+are dealt. Shards are sent to the pieces that can match rather than broadcast to all documents,
 since all documents against all shards would grow with the square of the input. At last every document joins what is
 known of its pieces and drops the words of windows that occur in a smaller document.
 """
@@ -32,7 +32,7 @@ GRAM = 6
 SHARD_WORDS, COMBINED = 100_000, 1_000_000
 #: Bits of a word's hash that automata tell words by: a window of 13 is told from others by 390, beside its anchor's 64.
 SYMBOL = 30
-#: Kinds of pieces of one anchor that a shard holds at least; and a bound on the anchors that have several shards.
+#: Kinds of pieces of one anchor that one shard holds at most; and a bound on the anchors that have several shards.
 KINDS, CROWDS = 2_000, 1 << 18
 NONE = np.iinfo(np.int64).max
 _B = 0x9E3779B97F4A7C15
@@ -219,80 +219,64 @@ def _send(rows: DataFrame, size: int, wanted, copied) -> DataFrame:
     return rows.mapInArrow(run, "anchor long, content long, doc long, several boolean, words array<int>")
 
 
-_ANSWER = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("first", pa.int64()), ("firsts", pa.list_(pa.int64())), ("shards", pa.int64())])
-
-
-def _answers(automaton: Automaton, rows: list[tuple], size: int) -> pa.RecordBatch:
-    """For those pieces that remove anything: one first document of all windows, or each window's."""
-    out = []
-    for anchor, content, doc, several, words, shards in rows:
-        firsts = automaton.windows(words, size)
-        least = min(firsts)
-        if several and least < NONE or least < doc:
-            same = shards == 1 and max(firsts) == least
-            out.append((anchor, content, least if same else None, None if same else firsts, shards))
-    return rows_of({name: [r[k] for r in out] for k, name in enumerate(_ANSWER.names)}, _ANSWER)
+_ANSWER = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("at", pa.int32()), ("doc", pa.int64()), ("several", pa.bool_()), ("first", pa.int64()), ("firsts", pa.list_(pa.int64()))])
 
 
 def _match(sent: DataFrame, crowded: DataFrame, size: int, tasks: int) -> DataFrame:
     """anchor, content and first (of all windows) or firsts (one for each): pieces streamed through their shards' automata.
 
-    Pieces come sorted by anchor and shard, those that the shard holds before those that are only streamed, then by kind
-    and document: of a kind that several documents sent, the smallest one's counts. Small anchors share an automaton
-    until it holds SHARD_WORDS words.
+    A crowded anchor's pieces are taken apart into windows, which are dealt to its shards by a hash of their words, so that
+    equal windows meet. What a shard holds comes sorted by anchor, kind and document: of a kind that several documents
+    sent, the smallest one's counts. Anchors share an automaton until it holds SHARD_WORDS words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        before, kind, words, automaton = None, None, 0, Automaton()
-
-        def build() -> Automaton:
-            built = Automaton()
-            for _, _, doc, _, own, _ in held:
-                built.add(own, doc)
-            built.close()
-            return built
+        group, kind, words = None, None, 0
+
+        def answers() -> pa.RecordBatch:
+            automaton = Automaton()
+            for *_, doc, _, own in held:
+                automaton.add(own, doc)
+            automaton.close()
+            out = []
+            for anchor, content, at, doc, several, own in held:
+                firsts = automaton.windows(own, size)
+                least = min(firsts)
+                # Of a piece that no other document has only what is smaller elsewhere matters; of windows all are put together.
+                if several or least < doc or at is not None:
+                    same = max(firsts) == least
+                    out.append((anchor, content, at, doc, several, least if same else None, None if same else firsts))
+            held.clear()
+            return rows_of({name: [r[k] for r in out] for k, name in enumerate(_ANSWER.names)}, _ANSWER)
 
         for batch in slices(batches):
-            streamed = []
-            for *row, shard, member in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "doc", "several", "words", "shards", "shard", "member")), strict=True):
-                if (row[0], shard) != before:
-                    if streamed:
-                        yield _answers(automaton, streamed, size)
-                        streamed = []
+            for *row, shard in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "at", "doc", "several", "words", "shard")), strict=True):
+                if (row[0], shard) != group:
+                    group, kind = (row[0], shard), None
                     if words >= SHARD_WORDS:
-                        yield _answers(build(), held, size)
-                        held.clear()
+                        yield answers()
                         words = 0
-                    before, kind, automaton = (row[0], shard), None, Automaton()
-                if row[1] == kind:
-                    continue
-                kind = row[1]
-                if member:
+                if (row[1], row[2]) != kind:
+                    kind = (row[1], row[2])
                     held.append(tuple(row))
-                    words += len(row[4])
-                else:
-                    if held:
-                        automaton = build()
-                        yield _answers(automaton, held, size)
-                        held.clear()
-                        words = 0
-                    streamed.append(tuple(row))
-            if streamed:
-                yield _answers(automaton, streamed, size)
+                    words += len(row[5])
         if held:
-            yield _answers(build(), held, size)
-
-    several = not crowded.isEmpty()
-    dealt = sent.join(F.broadcast(crowded), "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long"))) if several else sent.withColumn("shards", F.lit(1).cast("long"))
-    dealt = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))).withColumn("member", F.pmod("content", "shards") == F.col("shard"))
-    dealt = dealt.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", F.desc("member"), "content", "doc")
-    found = staged(dealt.mapInArrow(run, "anchor long, content long, first long, firsts array<long>, shards long"), "matched")
-    if several:  # of several shards' answers the smallest counts
-        each = found.where("shards > 1").select("anchor", "content", F.posexplode("firsts").alias("at", "f")).groupBy("anchor", "content", "at").agg(F.min("f").alias("f"))
-        merged = each.groupBy("anchor", "content").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda x: x["f"]).alias("firsts"))
-        found = staged(found.where("shards = 1").unionByName(merged.withColumns({"first": F.lit(None).cast("long"), "shards": F.lit(1).cast("long")})), "answers")
-    return found.drop("shards")
+            yield answers()
+
+    some = not crowded.isEmpty()
+    plain = (sent.join(F.broadcast(crowded), "anchor", "left_anti") if some else sent).withColumns({"at": F.lit(None).cast("int"), "shard": F.lit(0).cast("long")})
+    if some:
+        window = f"posexplode(transform(sequence(1, size(words) - {size - 1}), i -> slice(words, i, {size})))"
+        apart = sent.join(F.broadcast(crowded), "anchor").select("anchor", "content", "doc", "several", "shards", F.expr(window).alias("at", "words"))
+        plain = plain.unionByName(apart.withColumn("shard", F.pmod(F.xxhash64("words"), F.col("shards"))).drop("shards"))
+    dealt = plain.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", "content", "at", "doc")
+    found = staged(dealt.mapInArrow(run, "anchor long, content long, at int, doc long, several boolean, first long, firsts array<long>"), "matched")
+    if some:
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda x: x["first"])
+        merged = found.where("at IS NOT NULL").groupBy("anchor", "content", "doc", "several").agg(listed.alias("firsts")).where("several OR array_min(firsts) < doc")
+        found = staged(found.where("at IS NULL").select("anchor", "content", "first", "firsts").unionByName(merged.select("anchor", "content", F.lit(None).cast("long").alias("first"), "firsts")), "answers")
+    return found.select("anchor", "content", "first", "firsts")
 
 
 def _ask(rows: DataFrame, size: int, wanted) -> DataFrame:
