@@ -95,12 +95,18 @@ def chunk(uid, body, title="Chunk", slug="chunk", seq=0):
     return {"chunk_uid": uid, "path": f"{slug}.md", "slug": slug, "title": title, "body": body, "seq": seq}
 
 
+def scored(rows, query):
+    """Scores through an inverted index of the rows."""
+    own = keyword.index(rows)
+    return keyword.score(own, keyword.postings(own), T.query_terms(query), query)
+
+
 def test_scores_against_plain_python(spark):
     rng = random.Random(1)
     words = ["alpha", "beta", "gamma", "delta", "zeta", "the"]
     docs = [chunk(f"c{i}", " ".join(rng.choices(words, k=rng.randint(1, 30))), " ".join(rng.choices(words, k=2)), f"{rng.choice(words)}-{i}") for i in range(40)]
     query = "zeta alpha"
-    got = {r.chunk_uid: r.keyword_score for r in keyword.score(keyword.index(spark.createDataFrame(docs)), query).collect()}
+    got = {r.chunk_uid: r.keyword_score for r in scored(spark.createDataFrame(docs), query).collect()}
     terms = lambda s: [w for w in s.lower().replace("-", " ").split() if w != "the"]
     bag = {d["chunk_uid"]: terms(d["title"]) * 4 + terms(d["slug"]) * 3 + terms(d["body"]) for d in docs}
     mean = sum(max(1, len(b)) for b in bag.values()) / len(bag)
@@ -116,13 +122,13 @@ def test_scores_against_plain_python(spark):
 
 def test_rare_terms_and_pooling(spark):
     rows = [chunk("common", "alpha " * 20, "Common alpha", "common-alpha"), chunk("rare", "alpha zeta guide", "Rare zeta", "rare-zeta")]
-    best = keyword.score(keyword.index(spark.createDataFrame(rows)), "alpha zeta").orderBy(F.desc("keyword_score")).first()
+    best = scored(spark.createDataFrame(rows), "alpha zeta").orderBy(F.desc("keyword_score")).first()
     assert best.chunk_uid == "rare"
     many = [chunk(f"d{i}", "alpha alpha", "Alpha", "dominant", i) for i in range(5)] + [chunk("s", "alpha", "S", "second"), chunk("t", "alpha", "T", "third")]
-    hits = keyword.score(keyword.index(spark.createDataFrame(many)), "alpha").withColumnRenamed("keyword_score", "score")
+    hits = scored(spark.createDataFrame(many), "alpha").withColumnRenamed("keyword_score", "score")
     assert [r.path for r in fusion.pool(hits, "path", 3, "score", "path", "seq").collect()][0] == "dominant.md"
     assert fusion.pool(hits, "path", 3, "score", "path", "seq").count() == 3
-    assert keyword.score(keyword.index(spark.createDataFrame(rows)), "the of").count() == 0
+    assert scored(spark.createDataFrame(rows), "the of").count() == 0
 
 
 def test_fusion(spark):
