@@ -136,14 +136,14 @@ def _probe_cut(percent: int) -> int:
 
 
 def shortened(found: np.ndarray) -> np.ndarray:
-    """Distinct 32-bit parts of hashes. Two sets of these differ in no more places than the hashes themselves do."""
-    return np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    """Distinct 16-bit parts of hashes. Two sets of these differ in no more places than the hashes themselves do."""
+    return np.unique((found >> np.uint64(48)).astype(np.uint16)).view(np.int16)
 
 
 def _heads(rows: DataFrame, size: int, percent: int, sketch, cuts: np.ndarray, wanted) -> DataFrame:
     """node, n, score, first, probe of one document of each class: how common its n-grams are, the first of them in order,
     and the shortened hashes of its first fragments."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int32()))])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int16()))])
     cut = _probe_cut(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +160,7 @@ def _heads(rows: DataFrame, size: int, percent: int, sketch, cuts: np.ndarray, w
                     probe.append(shortened(ordered[: np.searchsorted(place, cuts[cut - 1])] if cut < FRAGMENTS else ordered))
             yield rows_of({"node": node, "n": count, "score": score, "first": first, "probe": probe}, schema)
 
-    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<int>")
+    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<smallint>")
 
 
 def _shared(heads: DataFrame, wanted) -> DataFrame:
@@ -189,7 +189,7 @@ def _probes(heads: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(some, batch.column(0).to_numpy())))
 
-    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe array<int>")
+    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe array<smallint>")
 
 
 def _may_link(n, at, n_b, at_b, percent: int):
