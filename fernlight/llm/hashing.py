@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap: EACH for a key, from a megabyte to 64, whatever the input. A fuller bitmap lets more rows pass, all of
+#: Bits of a bitmap: EACH for a key, or as many as asked for, from a megabyte to 64, whatever the input. A fuller bitmap lets more rows pass, all of
 #: which are then joined or looked at exactly.
 EACH, LEAST, MOST = 16, 1 << 23, 1 << 29
 _BLOCK = 4096  # bytes of a block of Spark's bitmap functions
@@ -87,10 +87,10 @@ def shingle_sets(texts: list[bytes], size: int, fold: bool = False) -> list[np.n
     return out
 
 
-def bitmap(keys: DataFrame, key: str) -> bytes:
+def bitmap(keys: DataFrame, key: str, each: int = EACH) -> bytes:
     """Which hashes occur in a column of longs. Spark merges the bitmap's blocks; only the map, of at most MOST bits, is
     collected. keys are read twice, so they should be a written table."""
-    size = 1 << min(MOST.bit_length() - 1, max(LEAST.bit_length() - 1, (EACH * keys.count()).bit_length()))
+    size = 1 << min(MOST.bit_length() - 1, max(LEAST.bit_length() - 1, (each * keys.count()).bit_length()))
     place = F.pmod(F.col(key), F.lit(size)) + 1  # Spark counts bits and blocks from 1
     blocks = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     out = bytearray(size // 8)

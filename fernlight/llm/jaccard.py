@@ -4,10 +4,11 @@ All n-grams have one global order: rare ones first by the counts of a broadcast
 sets are one class. Two sets as alike as the threshold share an n-gram among their first few in that order; the classes
 that share one are first compared with the one of the most common n-grams, and only those that are still in different
 components with each other. A pair whose n-grams before the shared one, in either set, are more than alike sets may have
-apart isn't compared at all. For every other pair the global order is cut into fragments of about equal weight: the
-overlap is counted in each fragment by itself and summed. The first fragments alone, with shortened hashes, already tell
-most pairs apart, when they differ in more n-grams than the whole sets may; shortened hashes can only hide differences.
-Only the other pairs meet in all fragments, with all 64 bits of every n-gram.
+apart isn't compared at all, and an n-gram whose sets all differ too much in size isn't even gathered. Of every set there
+are one or two bits for an n-gram, which tell whether an odd number of n-grams fall on them. Two sets' bits differ in no
+more places than the sets do: pairs that differ in more than alike sets may are done. For every other pair the global order
+is cut into fragments of about equal weight, and the overlap is counted, with all 64 bits of every n-gram, in each fragment
+by itself and summed.
 
 No join brings all rows of a heavy key to one task: see joins.py.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,15 @@ from pyspark.sql import functions as F
 from .base import free_name, id_and_text, rows_of, slices, staged
 from .components import components
 from .hashing import bitmap, in_bitmap, mix, shingle_sets
-from .joins import Heavy, heavy_keys, heavy_of, spread_join
+from .joins import Heavy, heavy_keys, spread_join
 
 FRAGMENTS = 8
 #: Counters of the sketch and counters in one of its blocks. A broadcast counter is one byte: 4 MB.
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: Sketches of partitions that one task adds up, and classes of one n-gram whose pairs one task looks at.
 ADDED, PAIRED = 256, 512
+#: Keys of first n-grams that are held against each other at once (a power of two), and that a task gathers and then sends.
+HELD, GATHERED = 1 << 18, 1 << 22
 
 
 def _sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -59,11 +63,23 @@ def _survey(rows: DataFrame, size: int) -> DataFrame:
             yield rows_of({"id": batch.column("id").to_pylist(), "n": list(map(len, found)), "node": [_sum(f) if len(f) else 0 for f in found], "block": [None] * k, "counts": [None] * k}, schema)
         full = [(i, c) for i, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
         none = [None] * len(full)
-        yield rows_of({"id": none, "n": none, "node": none, "block": [i for i, _ in full], "counts": [zlib.compress(c.tobytes(), 1) for _, c in full]}, schema)
+        yield rows_of({"id": none, "n": none, "node": none, "block": [i for i, _ in full], "counts": [packed(c) for _, c in full]}, schema)
 
     return rows.mapInArrow(run, "id long, n long, node long, block int, counts binary")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A block's counters in as few bytes each as hold them, compressed. They follow no pattern, only some are commoner."""
+    kind = next((k for k in (np.uint8, np.int32) if counts.max() <= np.iinfo(k).max), np.int64)
+    by = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY if kind is np.uint8 else zlib.Z_DEFAULT_STRATEGY)
+    return by.compress(counts.astype(kind).tobytes()) + by.flush()
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    raw = zlib.decompress(counts)
+    return np.frombuffer(raw, {1: np.uint8, 4: np.int32, 8: np.int64}[len(raw) // BLOCK])
+
+
 def _counter(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(7)) & np.uint64(COUNTERS - 1)
 
@@ -78,9 +94,8 @@ def _sketch(blocks: DataFrame) -> np.ndarray:
             for batch in slices(batches, 64):
                 for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                     own = total.setdefault(block, np.zeros(BLOCK, np.int64))
-                    raw = zlib.decompress(counts)
-                    own += np.frombuffer(raw, np.int32 if len(raw) == 4 * BLOCK else np.int64)
-            out = [np.minimum(255, np.round(7 * np.log2(1 + t))).astype(np.uint8).tobytes() if last else zlib.compress(t.tobytes(), 1) for t in total.values()]
+                    own += unpacked(counts)
+            out = [np.minimum(255, np.round(7 * np.log2(1 + t))).astype(np.uint8).tobytes() if last else packed(t) for t in total.values()]
             yield rows_of({"block": list(total), "counts": out}, pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
         return run
@@ -123,60 +138,152 @@ def fragments(found: np.ndarray, levels: np.ndarray, cuts: np.ndarray) -> list[n
     return np.split(ordered, np.searchsorted(place, cuts))
 
 
-def _wanted(batch: pa.RecordBatch, wanted) -> list[str]:
-    """Texts of the documents that a bitmap of ids holds; those without an id too."""
+def _held(batch: pa.RecordBatch, wanted) -> np.ndarray:
+    """Which documents a bitmap of ids holds; those without an id too."""
     ids = batch.column("id")
-    hit = in_bitmap(np.frombuffer(wanted.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
-    return batch.column("text").filter(pa.array(hit)).to_pylist()
+    return in_bitmap(np.frombuffer(wanted.value, np.uint8), ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
 
 
-def _probe_cut(percent: int) -> int:
-    """Fragments in which unlike sets already differ in more n-grams than whole sets that link may."""
-    return min(FRAGMENTS, -(-13 * FRAGMENTS * (100 - percent) // (10 * (100 + percent))))
+def shortened(found: np.ndarray, bits: int = 1 << 16) -> np.ndarray:
+    """Those of `bits` places (a power of two) that an odd number of hashes fall on. Two sets of these differ in no more
+    places than the hashes themselves do, and so do the sets modulo a smaller power of two, odd ones kept."""
+    place = (found >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.flatnonzero(np.bincount(place, minlength=bits) & 1)
 
 
-def shortened(found: np.ndarray) -> np.ndarray:
-    """Distinct 16-bit parts of hashes. Two sets of these differ in no more places than the hashes themselves do."""
-    return np.unique((found >> np.uint64(48)).astype(np.uint16)).view(np.int16)
+def parities(found: np.ndarray) -> bytes:
+    """The shortened hashes of a set as a bitmap of one to two bits for each."""
+    bits = max(64, 1 << (len(found) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[shortened(found, bits)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def _heads(rows: DataFrame, size: int, percent: int, sketch, cuts: np.ndarray, wanted) -> DataFrame:
+def apart(a: bytes, b: bytes) -> int:
+    """In how many n-grams two sets differ at least, by their parities; the longer ones are folded to the shorter."""
+    one, two = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(one ^ np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)).sum())
+
+
+def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFrame:
     """node, n, score, first, probe of one document of each class: how common its n-grams are, the first of them in order,
-    and the shortened hashes of its first fragments."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int16()))])
-    cut = _probe_cut(percent)
+    and the parities of all."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
         for batch in slices(batches):
             node, count, score, first, probe = [], [], [], [], []
-            for found in _sets(_wanted(batch, wanted), size):
+            for found in _sets(batch.column("text").filter(pa.array(_held(batch, wanted))).to_pylist(), size):
                 if len(found):
                     ordered, place = _ordered(found, levels)
                     node.append(_sum(found))
                     count.append(len(found))
                     score.append(int(1000 * (place >> np.uint64(56)).mean()))
                     first.append(ordered[: len(found) - -(-percent * len(found) // 100) + 1].view(np.int64))
-                    probe.append(shortened(ordered[: np.searchsorted(place, cuts[cut - 1])] if cut < FRAGMENTS else ordered))
+                    probe.append(parities(found))
             yield rows_of({"node": node, "n": count, "score": score, "first": first, "probe": probe}, schema)
 
-    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<smallint>")
-
-
-def _shared(heads: DataFrame, wanted) -> DataFrame:
-    """gram, node, n, at, score: first n-grams that the bitmap holds, with their places in the order."""
+    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe binary")
+
+
+def steps(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step of each size, and the size at which the next step begins. Sizes that may link lie in one step or in two that
+    follow each other."""
+    if percent >= 100:
+        return n, n + 1
+    begins = [1]
+    while begins[-1] <= n.max(initial=0):
+        begins.append(begins[-1] * 100 // percent + 1)
+    step = np.searchsorted(begins, n, side="right")
+    return step, np.array(begins)[step]
+
+
+def _firsts(batch: pa.RecordBatch, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all first n-grams in a batch: their set's row, their place in its order, and keys of n-gram and step of sizes: the
+    set's own, the next, and whether sets of the next step may be alike to this one with that n-gram as the first in common.
+    Two sets that link have a key of their first common n-gram in common."""
+    column, n = batch.column("first"), batch.column("n").to_numpy()
+    offsets = column.offsets.to_numpy()
+    row = np.repeat(np.arange(len(n)), np.diff(offsets))
+    at = np.arange(len(row)) - (offsets[:-1] - offsets[0])[row]
+    gram = column.flatten().to_numpy().view(np.uint64)
+    step, begins = steps(n, percent)
+    n, step, begins = n[row], step[row].astype(np.uint64), begins[row]
+    own, over = (mix(gram ^ mix(s)) & np.uint64((1 << bits) - 1) for s in (step, step + np.uint64(1)))
+    return row, at, own, over, (n - at) * (100 + percent) // percent - n >= begins
+
+
+def sparse(keys: np.ndarray, bits: int) -> bytes:
+    """Sorted numbers of so many bits by Elias and Fano: their low bits, and a bitmap of what the others grow by."""
+    low = max(0, bits - len(keys).bit_length())
+    lows = np.unpackbits(keys.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :low]
+    high = np.zeros(len(keys) + (1 << (bits - low)), np.uint8)
+    high[(keys >> np.uint64(low)).astype(np.int64) + np.arange(len(keys))] = 1
+    return np.packbits(np.concatenate([lows.ravel(), high])).tobytes()
+
+
+def dense(coded: bytes, number: int, bits: int) -> np.ndarray:
+    """What sparse() has coded."""
+    low = max(0, bits - number.bit_length())
+    every = np.unpackbits(np.frombuffer(coded, np.uint8))
+    lows = np.zeros((number, 64), np.uint8)
+    lows[:, :low] = every[: number * low].reshape(number, low)
+    high = (np.flatnonzero(every[number * low :]) - np.arange(number)).astype(np.uint64)
+    return np.packbits(lows, axis=1, bitorder="little").view("<u8").ravel() | high << np.uint64(low)
+
+
+def _twice(heads: DataFrame, percent: int, total: int) -> tuple[DataFrame, int]:
+    """key: those keys of first n-grams that several sets have, or few sets with keys alike; and the bits of a key. total:
+    about how many there are.
+
+    Keys have eight bits more than tell all of them apart, and are sent as sorted lists, some two bytes a key.
+    """
+    bits = min(48, total.bit_length() + 8)
+    tail = min(bits, bits - total.bit_length() + HELD.bit_length() - 1)  # bits of a key within its range
+
+    def sent(keys: np.ndarray) -> pa.RecordBatch:
+        keys = np.sort(keys)
+        kept = np.ones(len(keys), bool)
+        kept[2:] = keys[2:] != keys[:-2]  # two of a kind are enough
+        keys = keys[kept]
+        part, begins = np.unique(keys >> np.uint64(tail), return_index=True)
+        pieces = np.split(keys & np.uint64((1 << tail) - 1), begins[1:]) if len(keys) else []
+        return rows_of({"part": part.astype(np.int32), "number": list(map(len, pieces)), "coded": [sparse(p, tail) for p in pieces]}, pa.schema([("part", pa.int32()), ("number", pa.int32()), ("coded", pa.binary())]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, number = [], 0
+        for batch in slices(batches, 4096):
+            _, _, own, over, both = _firsts(batch, percent, bits)
+            found += [own, over[both]]
+            number += len(own) + int(both.sum())
+            if number > GATHERED:
+                yield sent(np.concatenate(found))
+                found, number = [], 0
+        if found:
+            yield sent(np.concatenate(found))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "coded")), strict=True))
+        for part, lists in groupby(rows, key=lambda row: row[0]):
+            keys = np.sort(np.concatenate([dense(coded, number, tail) for _, number, coded in lists]))
+            yield rows_of({"key": (np.unique(keys[1:][keys[1:] == keys[:-1]]) | np.uint64(part << tail)).view(np.int64)}, pa.schema([("key", pa.int64())]))
+
+    lists = heads.select("n", "first").mapInArrow(gather, "part int, number int, coded binary")
+    return lists.repartition("part").sortWithinPartitions("part").mapInArrow(match, "key long"), bits
+
+
+def _shared(heads: DataFrame, percent: int, bits: int, wanted) -> DataFrame:
+    """gram, node, n, at, score: first n-grams with a key that the bitmap holds, with their places in the order."""
     schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("score", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
         for batch in slices(batches, 4096):
-            column = batch.column("first")
-            gram, offsets = column.flatten().to_numpy(), column.offsets.to_numpy()
-            size = np.diff(offsets)
-            at = np.arange(len(gram)) - np.repeat(offsets[:-1] - offsets[0], size)
-            hit = in_bitmap(some, gram)
-            each = {c: np.repeat(batch.column(c).to_numpy(), size)[hit] for c in ("node", "n", "score")}
-            yield rows_of({"gram": gram[hit], "at": at[hit].astype(np.int32)} | each, schema)
+            row, at, own, over, both = _firsts(batch, percent, bits)
+            hit = in_bitmap(some, own) | (both & in_bitmap(some, over))
+            each = {c: batch.column(c).to_numpy()[row[hit]] for c in ("node", "n", "score")}
+            yield rows_of({"gram": batch.column("first").flatten().to_numpy()[hit], "at": at[hit].astype(np.int32)} | each, schema)
 
     return heads.select("node", "n", "score", "first").mapInArrow(run, "gram long, node long, n long, at int, score int")
 
@@ -189,7 +296,22 @@ def _probes(heads: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(some, batch.column(0).to_numpy())))
 
-    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe array<smallint>")
+    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe binary")
+
+
+def _near(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of those pairs (with n_a, probe_a, n_b, probe_b) whose sizes and parities let them be as alike as the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            may = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
+            one, two = batch.column("probe_a"), batch.column("probe_b")
+            for i in np.flatnonzero(may).tolist():
+                may[i] = apart(one[i].as_py(), two[i].as_py()) * (100 + percent) <= int(n[i] + m[i]) * (100 - percent)
+            yield batch.select(["a", "b"]).filter(pa.array(may))
+
+    return pairs.select("a", "n_a", "probe_a", "b", "n_b", "probe_b").mapInArrow(run, "a long, b long")
 
 
 def _may_link(n, at, n_b, at_b, percent: int):
@@ -198,24 +320,21 @@ def _may_link(n, at, n_b, at_b, percent: int):
     return sizes & ((F.least(n - at, n_b - at_b)) * (100 + percent) >= (n + n_b) * percent)
 
 
-def _fragments(rows: DataFrame, size: int, sketch, cuts: np.ndarray, wanted) -> DataFrame:
-    """node, n, part, grams: the fragments of one document of each wanted class."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("grams", pa.list_(pa.int64()))])
+def _fragments(rows: DataFrame, size: int, sketch, cuts: np.ndarray, as_a, as_b) -> DataFrame:
+    """node, n, part, grams, as_a, as_b: the fragments of one document of each class that either bitmap of ids holds, and
+    which of them does."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("grams", pa.list_(pa.int64())), ("as_a", pa.bool_()), ("as_b", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            node, count, part, grams = [], [], [], []
-            for found in _sets(_wanted(batch, wanted), size):
+            a, b = _held(batch, as_a), _held(batch, as_b)
+            out = []
+            for found, *sides in zip(_sets(batch.column("text").filter(pa.array(a | b)).to_pylist(), size), a[a | b].tolist(), b[a | b].tolist(), strict=True):
                 own = _sum(found) if len(found) else 0
-                for k, piece in enumerate(fragments(found, sketch.value, cuts)):
-                    if len(piece):
-                        node.append(own)
-                        count.append(len(found))
-                        part.append(k)
-                        grams.append(piece.view(np.int64))
-            yield rows_of({"node": node, "n": count, "part": part, "grams": grams}, schema)
+                out += [(own, len(found), k, piece.view(np.int64), *sides) for k, piece in enumerate(fragments(found, sketch.value, cuts)) if len(piece)]
+            yield rows_of(dict(zip(schema.names, zip(*out, strict=True), strict=True)) if out else {c: [] for c in schema.names}, schema)
 
-    return rows.mapInArrow(run, "node long, n long, part int, grams array<long>")
+    return rows.mapInArrow(run, "node long, n long, part int, grams array<long>, as_a boolean, as_b boolean")
 
 
 class _Join:
@@ -229,21 +348,22 @@ class _Join:
         levels = _sketch(surveyed.where("block IS NOT NULL").select("block", "counts"))
         self.sketch, self.cuts = share(levels), boundaries(levels)
         self.classes = staged(self.sets.where("node <> 0").groupBy("node").agg(F.min("id").alias("id")), "classes")
-        self.heads = staged(_heads(rows, size, percent, self.sketch, self.cuts, share(bitmap(self.classes.where("id IS NOT NULL"), "id"))), "heads")
+        self.heads = staged(_heads(rows, size, percent, self.sketch, share(bitmap(self.classes.where("id IS NOT NULL"), "id"))), "heads")
         # Rows that repeat an id and a text, or have no id, may speak for one class several times.
-        self.repeated = self.heads.count() > self.classes.count()
+        number, grams = self.heads.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        self.firsts = number + grams * (100 - percent) // 100
+        self.repeated = number > self.classes.count()
         if self.repeated:
             self.heads = staged(self.heads.dropDuplicates(["node"]), "heads")
 
     def shared(self) -> tuple[DataFrame, Heavy]:
         """gram, node, n, at, leader, nodes: first n-grams of several classes, with the class they are compared with; and the
         heavy ones of these n-grams."""
+        twice, bits = _twice(self.heads, self.percent, self.firsts)
+        wanted = bitmap(staged(twice, "twice"), "key", each=64)
         # Every class has an n-gram once, so that rows are classes.
-        twice = staged(self.heads.select(F.explode("first").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
-        heavy = heavy_of(twice, twice.agg(F.sum("n")).first()[0] or 0)
-        found = _shared(self.heads, self.rows.sparkSession.sparkContext.broadcast(bitmap(twice, "gram")))
-        if heavy:
-            found = staged(found, "shared")
+        found = staged(_shared(self.heads, self.percent, bits, self.rows.sparkSession.sparkContext.broadcast(wanted)), "shared")
+        heavy = heavy_keys(found, "gram")
         best, own = F.max(F.struct("score", "node", "n", "at")), Window.partitionBy("gram")
         both = found.where(~heavy.holds("gram")).select("*", best.over(own).alias("leader"), F.count(F.lit(1)).over(own).alias("nodes")).where("nodes > 1")
         if heavy:  # their leaders are fewer than joins.SHARE and broadcast; the other rows are dealt once
@@ -262,17 +382,16 @@ class _Join:
         two = probes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("probe").alias("probe_b"))
         heavy_a, heavy_b = heavy_keys(pairs, "a"), heavy_keys(pairs, "b")
         both = spread_join(spread_join(pairs, one, "a", F.col("b"), heavy=heavy_a), two, "b", F.col("a"), heavy=heavy_b)
-        apart = F.size("probe_a") + F.size("probe_b") - 2 * F.size(F.array_intersect("probe_a", "probe_b"))
-        may = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-        left = staged(both.where(may).select("a", "b"), "pairs")
-        ends = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
-        spokesmen = staged(self.classes.join(ends, "node", "left_semi").where("id IS NOT NULL").select("id"), "spokesmen")
-        wanted = share(bitmap(spokesmen, "id"))
-        parts = staged(_fragments(self.rows, self.size, self.sketch, self.cuts, wanted), "parts")
+        left = staged(_near(both, percent), "pairs")
+        sides = left.select(F.col("a").alias("node"), F.lit(True).alias("as_a")).unionByName(left.select(F.col("b").alias("node"), F.lit(False).alias("as_a")))
+        sides = sides.groupBy("node").agg(F.max("as_a").alias("as_a"), F.max(~F.col("as_a")).alias("as_b"))
+        spokesmen = staged(self.classes.join(sides, "node").where("id IS NOT NULL").select("id", "as_a", "as_b"), "spokesmen")
+        as_a, as_b = (share(bitmap(spokesmen.where(side), "id")) for side in ("as_a", "as_b"))
+        parts = staged(_fragments(self.rows, self.size, self.sketch, self.cuts, as_a, as_b), "parts")
         if self.repeated:
             parts = staged(parts.dropDuplicates(["node", "part"]), "parts")
-        one = parts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("grams").alias("grams_a"))
-        two = parts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("grams").alias("grams_b"))
+        one = parts.where("as_a").select(F.col("node").alias("a"), F.col("n").alias("n_a"), "part", F.col("grams").alias("grams_a"))
+        two = parts.where("as_b").select(F.col("node").alias("b"), F.col("n").alias("n_b"), "part", F.col("grams").alias("grams_b"))
         whole = spread_join(left, one, "a", F.col("b"), heavy=heavy_a)
         each = spread_join(whole, two, "b", F.col("a"), also=("part",), heavy=heavy_b).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("common"))
         both = each.groupBy("a", "b", "n_a", "n_b").agg(F.sum("common").alias("common"))
