@@ -35,7 +35,7 @@ COUNTERS, BLOCK = 1 << 22, 1 << 16
 #: Sketches of partitions that one task adds up, and classes of one n-gram whose pairs one task looks at.
 ADDED, PAIRED = 256, 512
 #: Keys of first n-grams that are held against each other at once (a power of two), and that a task gathers and then sends.
-HELD, GATHERED = 1 << 18, 1 << 22
+HELD, GATHERED = 1 << 18, 1 << 20
 
 
 def _sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -159,16 +159,10 @@ def parities(found: np.ndarray) -> bytes:
     return np.packbits(out, bitorder="little").tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """In how many n-grams two sets differ at least, by their parities; the longer ones are folded to the shorter."""
-    one, two = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    return int(np.bitwise_count(one ^ np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)).sum())
-
-
 def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFrame:
     """node, n, score, first, probe of one document of each class: how common its n-grams are, the first of them in order,
     and the parities of all."""
-    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("score", pa.int32()), ("first", pa.list_(pa.int64())), ("probe", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = sketch.value
@@ -181,10 +175,10 @@ def _heads(rows: DataFrame, size: int, percent: int, sketch, wanted) -> DataFram
                     count.append(len(found))
                     score.append(int(1000 * (place >> np.uint64(56)).mean()))
                     first.append(ordered[: len(found) - -(-percent * len(found) // 100) + 1].view(np.int64))
-                    probe.append(parities(found))
+                    probe.append(np.frombuffer(parities(found), np.int64))
             yield rows_of({"node": node, "n": count, "score": score, "first": first, "probe": probe}, schema)
 
-    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe binary")
+    return rows.mapInArrow(run, "node long, n long, score int, first array<long>, probe array<long>")
 
 
 def steps(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +228,8 @@ def dense(coded: bytes, number: int, bits: int) -> np.ndarray:
 
 
 def _twice(heads: DataFrame, percent: int, total: int) -> tuple[DataFrame, int]:
-    """key: those keys of first n-grams that several sets have, or few sets with keys alike; and the bits of a key. total:
-    about how many there are.
+    """key: those keys of first n-grams that several sets have, or few sets with keys alike, and a second hash of each (see
+    _known); and the bits of a key. total: about how many there are.
 
     Keys have eight bits more than tell all of them apart, and are sent as sorted lists, some two bytes a key.
     """
@@ -253,7 +247,7 @@ def _twice(heads: DataFrame, percent: int, total: int) -> tuple[DataFrame, int]:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, number = [], 0
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 512):
             _, _, own, over, both = _firsts(batch, percent, bits)
             found += [own, over[both]]
             number += len(own) + int(both.sum())
@@ -267,21 +261,27 @@ def _twice(heads: DataFrame, percent: int, total: int) -> tuple[DataFrame, int]:
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "coded")), strict=True))
         for part, lists in groupby(rows, key=lambda row: row[0]):
             keys = np.sort(np.concatenate([dense(coded, number, tail) for _, number, coded in lists]))
-            yield rows_of({"key": (np.unique(keys[1:][keys[1:] == keys[:-1]]) | np.uint64(part << tail)).view(np.int64)}, pa.schema([("key", pa.int64())]))
+            keys = np.unique(keys[1:][keys[1:] == keys[:-1]]) | np.uint64(part << tail)
+            yield rows_of({"key": np.concatenate([keys, mix(keys)]).view(np.int64)}, pa.schema([("key", pa.int64())]))
 
     lists = heads.select("n", "first").mapInArrow(gather, "part int, number int, coded binary")
     return lists.repartition("part").sortWithinPartitions("part").mapInArrow(match, "key long"), bits
 
 
+def _known(some: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether a bitmap holds both hashes of keys: with as many bits, far fewer others pass than with one hash."""
+    return in_bitmap(some, keys) & in_bitmap(some, mix(keys))
+
+
 def _shared(heads: DataFrame, percent: int, bits: int, wanted) -> DataFrame:
     """gram, node, n, at, score: first n-grams with a key that the bitmap holds, with their places in the order."""
     schema = pa.schema([("gram", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("at", pa.int32()), ("score", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
-        for batch in slices(batches, 4096):
+        for batch in slices(batches, 512):
             row, at, own, over, both = _firsts(batch, percent, bits)
-            hit = in_bitmap(some, own) | (both & in_bitmap(some, over))
+            hit = _known(some, own) | (both & _known(some, over))
             each = {c: batch.column(c).to_numpy()[row[hit]] for c in ("node", "n", "score")}
             yield rows_of({"gram": batch.column("first").flatten().to_numpy()[hit], "at": at[hit].astype(np.int32)} | each, schema)
 
@@ -296,22 +296,22 @@ def _probes(heads: DataFrame, wanted) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(some, batch.column(0).to_numpy())))
 
-    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe binary")
+    return heads.select("node", "n", "probe").mapInArrow(run, "node long, n long, probe array<long>")
 
 
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """a, b of those pairs (with n_a, probe_a, n_b, probe_b) whose sizes and parities let them be as alike as the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            may = np.minimum(n, m) * 100 >= np.maximum(n, m) * percent
-            one, two = batch.column("probe_a"), batch.column("probe_b")
-            for i in np.flatnonzero(may).tolist():
-                may[i] = apart(one[i].as_py(), two[i].as_py()) * (100 + percent) <= int(n[i] + m[i]) * (100 - percent)
-            yield batch.select(["a", "b"]).filter(pa.array(may))
+    # Spark's own functions: Python here would keep two more workers in every executor, beside those of the probes.
+    words = F.least(F.size("probe_a"), F.size("probe_b"))
+
+    def folded(probe: str):
+        each = lambda i: F.aggregate(F.sequence(i, F.size(probe) - 1, words), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(F.get(F.col(probe), k)))
+        return F.transform(F.sequence(F.lit(0), words - 1), each)
 
-    return pairs.select("a", "n_a", "probe_a", "b", "n_b", "probe_b").mapInArrow(run, "a long, b long")
+    apart = F.aggregate(F.zip_with(folded("probe_a"), folded("probe_b"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return pairs.where(sizes & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))).select("a", "b")
 
 
 def _may_link(n, at, n_b, at_b, percent: int):
@@ -360,7 +360,7 @@ class _Join:
         """gram, node, n, at, leader, nodes: first n-grams of several classes, with the class they are compared with; and the
         heavy ones of these n-grams."""
         twice, bits = _twice(self.heads, self.percent, self.firsts)
-        wanted = bitmap(staged(twice, "twice"), "key", each=64)
+        wanted = bitmap(staged(twice, "twice"), "key")
         # Every class has an n-gram once, so that rows are classes.
         found = staged(_shared(self.heads, self.percent, bits, self.rows.sparkSession.sparkContext.broadcast(wanted)), "shared")
         heavy = heavy_keys(found, "gram")

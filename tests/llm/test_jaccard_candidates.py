@@ -75,12 +75,15 @@ def test_counters_come_back_and_take_few_bytes():
     assert len(jaccard.packed(rng.poisson(1.0, jaccard.BLOCK).astype(np.int32))) < jaccard.BLOCK * 2 // 7
 
 
-def test_parities_hide_differences_and_never_make_them():
+def test_parities_hide_differences_and_never_make_them(spark):
     rng = np.random.default_rng(4)
-    for n, m in ((1, 1), (30, 33), (64, 65), (500, 540), (3000, 900)):
+    rows, alike = [], set()
+    for i, (n, m, same) in enumerate([(1, 1, 0), (1, 1, 1), (30, 33, 30), (64, 65, 64), (500, 540, 500), (500, 540, 0), (3000, 900, 900), (3000, 900, 0)]):
         pool = np.unique(rng.integers(0, 1 << 64, n + m, dtype=np.uint64))
-        for cut in (0, m // 20, m):
-            a, b = pool[:n], pool[cut : cut + m]
-            assert jaccard.apart(jaccard.parities(a), jaccard.parities(b)) == jaccard.apart(jaccard.parities(b), jaccard.parities(a)) <= len(np.setxor1d(a, b))
-    a, b = (np.unique(rng.integers(0, 1 << 64, 500, dtype=np.uint64)) for _ in range(2))
-    assert jaccard.apart(jaccard.parities(a), jaccard.parities(b)) * 190 > 1000 * 10
+        a, b = pool[:n], np.concatenate([pool[:same], pool[n : n + m - same]])
+        rows.append((i, n, np.frombuffer(jaccard.parities(a), np.int64).tolist(), i, m, np.frombuffer(jaccard.parities(b), np.int64).tolist()))
+        if 100 * same >= 30 * (n + m - same):
+            alike.add(i)
+    pairs = spark.createDataFrame(rows, "a long, n_a long, probe_a array<long>, b long, n_b long, probe_b array<long>")
+    assert alike == {1, 2, 3, 4, 6} <= {r.a for r in jaccard._near(pairs, 30).collect()}  # also where one is folded twice
+    assert {r.a for r in jaccard._near(pairs, 90).collect()} == {1, 2, 3, 4}
