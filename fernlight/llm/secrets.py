@@ -17,6 +17,8 @@ import string
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import merge
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ STEP = 8
 WIDTH, FILTERS, KERNEL, CHANNELS = BEFORE + INSIDE + AFTER, 24, 5, 12
 RECALL = 0.98
 EPOCHS, BATCH, RATE = 6, 128, 0.01
+#: Windows that are held at a time, a multiple of what the network reads at once.
+HELD = 4096
 
 _LETTERS = {c: f"[{c}{c.upper()}]" for c in string.ascii_lowercase}
 _KEY = "".join(_LETTERS.get(c, c) for c in r"password|passwd|secret|token|api_?key")
@@ -74,12 +78,13 @@ for _i, _group in enumerate(("aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJ
         _CLASSES[ord(_c)] = _i
 
 
-def pieces(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """What is read of a candidate: all of it, or of a long one every window and the parts between separators."""
+def pieces(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """What is read of a candidate, by start: all of it, or of a long one every window and the parts between separators."""
     if b - a <= INSIDE:
-        return [(a, b)]
-    out = {(c, c + INSIDE) for c in [*range(a, b - INSIDE, STEP), b - INSIDE]}
-    return sorted(out | {m.span() for m in _PART.finditer(text, a, b) if SHORTEST <= m.end() - m.start() <= INSIDE})
+        return iter([(a, b)])
+    whole = ((c, c + INSIDE) for c in chain(range(a, b - INSIDE, STEP), [b - INSIDE]))
+    parts = (m.span() for m in _PART.finditer(text, a, b) if SHORTEST <= m.end() - m.start() <= INSIDE)
+    return (piece for piece, _ in groupby(merge(whole, parts)))
 
 
 def uncovered(a: int, b: int, spans: list[Span]) -> list[tuple[int, int]]:
@@ -248,9 +253,12 @@ def train(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", sa
                 for a, b in found:
                     own = [(max(a, x), min(b, y)) for x, _, y in base if x < b and a < y]
                     for c, d in own or [(a, b)]:
-                        if d - c >= SHORTEST:
-                            windows += [window(text, a, b, piece) for piece in pieces(text, c, d)]
-                            labels += [int(bool(own))] * (len(windows) - len(labels))
+                        for piece in pieces(text, c, d) if d - c >= SHORTEST else ():
+                            windows.append(window(text, a, b, piece))
+                            labels.append(int(bool(own)))
+                            if len(windows) == HELD:
+                                yield rows_of({"window": windows, "secret": labels}, schema)
+                                windows, labels = [], []
             yield rows_of({"window": windows, "secret": labels}, schema)
 
     share = min(1.0, sample_docs / max(1, docs.count()))
@@ -262,8 +270,24 @@ def train(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", sa
 
 
 def all_spans(texts: list[str], net: Network) -> list[tuple[list[Span], list[Span]]]:
-    """For each text the findings of the fixed patterns, and those with the network's, by start and kind."""
-    base, windows, places = [], [], []
+    """For each text the findings of the fixed patterns, and those with the network's, by start and kind.
+
+    At most HELD windows are held at a time, and of a candidate's flagged pieces, which come by start, only their unions,
+    so that a run of megabytes takes little more memory than its text.
+    """
+    base, windows, places, hits = [], [], [], {}
+
+    def score() -> None:
+        for (i, a, b, c, d), p in zip(places, net.probability(windows), strict=True):
+            if p >= net.threshold:
+                flagged = hits.setdefault((i, a, b), [])
+                if flagged and c <= flagged[-1][1]:
+                    flagged[-1] = (flagged[-1][0], max(d, flagged[-1][1]))
+                else:
+                    flagged.append((c, d))
+        windows.clear()
+        places.clear()
+
     for i, text in enumerate(texts):
         found = runs(text)
         base.append(base_spans(text, found))
@@ -271,12 +295,12 @@ def all_spans(texts: list[str], net: Network) -> list[tuple[list[Span], list[Spa
             for c, d in uncovered(a, b, base[-1]):
                 for piece in pieces(text, c, d):
                     windows.append(window(text, a, b, piece))
-                    places.append((i, c, d, piece))
-    whole, hits = [list(b) for b in base], {}
+                    places.append((i, c, d, *piece))
+                    if len(windows) == HELD:
+                        score()
     if windows:
-        for (i, a, b, piece), p in zip(places, net.probability(windows), strict=True):
-            if p >= net.threshold:
-                hits.setdefault((i, a, b), []).append(piece)
+        score()
+    whole = [list(b) for b in base]
     for (i, a, b), found in hits.items():
         whole[i] += [(c, 3, d) for c, d in widened(texts[i], a, b, found)]
     return [(b, sorted(w)) for b, w in zip(base, whole, strict=True)]

@@ -722,3 +722,22 @@ def test_secret_beside_base_finding():
 
 def test_mask():
     assert secrets.mask("abcdefghij", [(1, 0, 3), (2, 2, 5), (7, 0, 8)], "_") == "a_fg_ij"
+
+
+def test_secret_windows_are_held_in_bounds():
+    """A run of megabytes is scored a few thousand windows at a time, and its flagged pieces are kept as unions."""
+    class Counting:
+        threshold, most = 0.5, 0
+
+        def probability(self, windows):
+            self.most = max(self.most, len(windows))
+            return np.array([float(w[secrets.BEFORE] == "x") for w in windows])
+
+    net = Counting()
+    long, mixed = "xY3" * 60_000, ".".join(["x" * 20, "y" * secrets.INSIDE, "plain-words-in-a-row"] * 50)
+    ((_, whole),) = secrets.all_spans([long], net)
+    assert net.most <= secrets.HELD < len(long) // secrets.STEP and whole == [(0, 3, len(long))]
+    found = list(secrets.pieces(mixed, 0, len(mixed)))
+    assert found == sorted(set(found)) and found[0] == (0, 20) and found[-1][1] == len(mixed)
+    ((_, whole),) = secrets.all_spans([mixed], net)
+    assert whole == [(c, 3, d) for c, d in secrets.widened(mixed, 0, len(mixed), [x for x in found if mixed[x[0]] == "x"])]
