@@ -28,8 +28,11 @@ from .hashing import Powers, bitmap, hashed_words, in_bitmap, mix
 from .joins import spread_join
 
 GRAM = 6
-#: Words of pieces that one automaton holds, and pieces that are combined before they are sent.
-SHARD_WORDS, COMBINED = 100_000, 1_000_000
+#: Words of pieces from which one automaton takes no further anchor (a few thousand states stay in a core's cache), and
+#: pieces that are combined before they are sent.
+SHARD_WORDS, COMBINED = 2_000, 1_000_000
+#: Texts whose pieces are found at once: their arrays stay in a core's cache.
+TEXTS = 64
 #: Bits of a word's hash that automata tell words by: a window of 13 is told from others by 390, beside its anchor's 64.
 SYMBOL = 30
 #: Kinds of pieces of one anchor that one shard holds at most; and a bound on the anchors that have several shards.
@@ -62,48 +65,51 @@ class Automaton:
             p = self.link[p]
         return clone
 
-    def extend(self, symbol: int, owner: int) -> None:
-        p = self.last
-        q = self.next[p].get(symbol, -1)
-        if q >= 0:  # an earlier sequence had this already
-            self.last = q if self.length[q] == self.length[p] + 1 else self._split(p, q, symbol)
-        else:
-            now = self._state(self.length[p] + 1, 0, {}, NONE)
-            while p >= 0 and symbol not in self.next[p]:
-                self.next[p][symbol] = now
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][symbol]
-                self.link[now] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, symbol)
-            self.last = now
-        self.first[self.last] = min(self.first[self.last], owner)
-
     def add(self, symbols: list[int], owner: int) -> None:
-        self.last = 0
+        edges, link, length, first = self.next, self.link, self.length, self.first
+        last = 0
         for s in symbols:
-            self.extend(s, owner)
+            q = edges[last].get(s, -1)
+            if q >= 0:  # an earlier sequence had this already
+                last = q if length[q] == length[last] + 1 else self._split(last, q, s)
+                if owner < first[last]:
+                    first[last] = owner
+                continue
+            now, p = len(edges), last
+            edges.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            first.append(owner)
+            while p >= 0 and s not in edges[p]:
+                edges[p][s] = now
+                p = link[p]
+            if p >= 0:
+                q = edges[p][s]
+                link[now] = q if length[q] == length[p] + 1 else self._split(p, q, s)
+            last = now
 
     def close(self) -> None:
         """A state occurs wherever the states that link to it do."""
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            p = self.link[s]
-            self.first[p] = min(self.first[p], self.first[s])
+        link, first = self.link, self.first
+        for s in sorted(range(1, len(link)), key=self.length.__getitem__, reverse=True):
+            if first[s] < first[link[s]]:
+                first[link[s]] = first[s]
 
     def windows(self, symbols: list[int], size: int) -> list[int]:
         """For each window of `size` symbols the smallest sequence it occurs in, NONE where it occurs in none."""
+        edges, link, length, first = self.next, self.link, self.length, self.first
         state, matched, out = 0, 0, []
-        for k, s in enumerate(symbols):
-            while state and s not in self.next[state]:
-                state = self.link[state]
-                matched = self.length[state]
-            state = self.next[state].get(s, 0)
+        for s in symbols:
+            while state and s not in edges[state]:
+                state = link[state]
+                matched = length[state]
+            state = edges[state].get(s, 0)
             matched = matched + 1 if state else 0
-            while state and self.length[self.link[state]] >= size:
-                state = self.link[state]
-                matched = self.length[state]
-            if k + 1 >= size:
-                out.append(self.first[state] if matched >= size else NONE)
-        return out
+            while state and length[link[state]] >= size:
+                state = link[state]
+                matched = length[state]
+            out.append(first[state] if matched >= size else NONE)
+        return out[size - 1 :]
 
 
 class Pieces:
@@ -181,7 +187,7 @@ def _count(rows: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for batch in slices(batches, 1024):
+        for batch in slices(batches, TEXTS):
             found = _pieces(batch, size)
             held.append((found.anchor, found.content, batch.column("id").to_numpy()[found.doc]))
             n += len(found.doc)
@@ -204,11 +210,12 @@ def _send(rows: DataFrame, size: int, wanted, copied) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, more = np.frombuffer(wanted.value, np.uint8), np.frombuffer(copied.value, np.uint8)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             found = _pieces(batch, size)
             doc = batch.column("id").to_numpy()[found.doc]
             hit = np.flatnonzero(in_bitmap(some, found.content ^ doc))
-            hit = hit[np.unique(np.stack([found.doc[hit], found.content[hit]]), axis=1, return_index=True)[1]] if len(hit) else hit
+            hit = hit[np.lexsort((found.content[hit], found.doc[hit]))]  # of a document's copies the first
+            hit = hit[(np.diff(found.doc[hit], prepend=-1) != 0) | (np.diff(found.content[hit], prepend=0) != 0)]
             several = in_bitmap(more, found.content[hit])
             ends = np.cumsum(found.count[hit] + size - 1)
             at = np.arange(int(ends[-1]) if len(hit) else 0)
@@ -234,48 +241,55 @@ def _match(sent: DataFrame, crowded: DataFrame, size: int, tasks: int) -> DataFr
         held: list[tuple] = []
         group, kind, words = None, None, 0
 
-        def answers() -> pa.RecordBatch:
+        def answers(out: list[tuple]) -> None:
             automaton = Automaton()
             for *_, doc, _, own in held:
                 automaton.add(own, doc)
             automaton.close()
-            out = []
             for anchor, content, at, doc, several, own in held:
                 firsts = automaton.windows(own, size)
                 least = min(firsts)
                 # Of a piece that no other document has only what is smaller elsewhere matters; of windows all are put together.
-                if several or least < doc or at is not None:
+                if several or least < doc or at >= 0:
                     same = max(firsts) == least
                     out.append((anchor, content, at, doc, several, least if same else None, None if same else firsts))
             held.clear()
+
+        def packed(out: list[tuple]) -> pa.RecordBatch:
             return rows_of({name: [r[k] for r in out] for k, name in enumerate(_ANSWER.names)}, _ANSWER)
 
-        for batch in slices(batches):
-            for *row, shard in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "at", "doc", "several", "words", "shard")), strict=True):
+        for batch in slices(batches, 4096):
+            listed, out = batch.column("words"), []
+            ends, flat = (listed.offsets.to_numpy() - listed.offsets[0].as_py()).tolist(), listed.flatten().to_numpy().tolist()
+            for k, (*row, shard) in enumerate(zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("anchor", "content", "at", "doc", "several", "shard")), strict=True)):
                 if (row[0], shard) != group:
                     group, kind = (row[0], shard), None
                     if words >= SHARD_WORDS:
-                        yield answers()
+                        answers(out)
                         words = 0
                 if (row[1], row[2]) != kind:
                     kind = (row[1], row[2])
-                    held.append(tuple(row))
-                    words += len(row[5])
+                    held.append((*row, flat[ends[k] : ends[k + 1]]))
+                    words += ends[k + 1] - ends[k]
+            if out:
+                yield packed(out)
         if held:
-            yield answers()
+            answers(out := [])
+            yield packed(out)
 
     some = not crowded.isEmpty()
-    plain = (sent.join(F.broadcast(crowded), "anchor", "left_anti") if some else sent).withColumns({"at": F.lit(None).cast("int"), "shard": F.lit(0).cast("long")})
-    if some:
-        window = f"posexplode(transform(sequence(1, size(words) - {size - 1}), i -> slice(words, i, {size})))"
-        apart = sent.join(F.broadcast(crowded), "anchor").select("anchor", "content", "doc", "several", "shards", F.expr(window).alias("at", "words"))
-        plain = plain.unionByName(apart.withColumn("shard", F.pmod(F.xxhash64("words"), F.col("shards"))).drop("shards"))
-    dealt = plain.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", "content", "at", "doc")
+    whole = F.array(F.struct(F.lit(-1).alias("at"), "words"))
+    dealt = sent.withColumns({"at": F.lit(-1), "shard": F.lit(0).cast("long")})
+    if some:  # one pass over what was sent, crowded or not
+        windows = F.expr(f"transform(sequence(1, size(words) - {size - 1}), i -> struct(i - 1 AS at, slice(words, i, {size}) AS words))")
+        dealt = sent.join(F.broadcast(crowded), "anchor", "left").select("anchor", "content", "doc", "several", "shards", F.inline(F.when(F.col("shards").isNull(), whole).otherwise(windows)))
+        dealt = dealt.withColumn("shard", F.when(F.col("at") < 0, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("words"), F.col("shards")))).drop("shards")
+    dealt = dealt.repartition(tasks, "anchor", "shard").sortWithinPartitions("anchor", "shard", "content", "at", "doc")
     found = staged(dealt.mapInArrow(run, "anchor long, content long, at int, doc long, several boolean, first long, firsts array<long>"), "matched")
     if some:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "first"))), lambda x: x["first"])
-        merged = found.where("at IS NOT NULL").groupBy("anchor", "content", "doc", "several").agg(listed.alias("firsts")).where("several OR array_min(firsts) < doc")
-        found = staged(found.where("at IS NULL").select("anchor", "content", "first", "firsts").unionByName(merged.select("anchor", "content", F.lit(None).cast("long").alias("first"), "firsts")), "answers")
+        merged = found.where("at >= 0").groupBy("anchor", "content", "doc", "several").agg(listed.alias("firsts")).where("several OR array_min(firsts) < doc")
+        found = staged(found.where("at < 0").select("anchor", "content", "first", "firsts").unionByName(merged.select("anchor", "content", F.lit(None).cast("long").alias("first"), "firsts")), "answers")
     return found.select("anchor", "content", "first", "firsts")
 
 
@@ -286,7 +300,7 @@ def _ask(rows: DataFrame, size: int, wanted) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = np.frombuffer(wanted.value, np.uint8)
-        for batch in slices(batches):
+        for batch in slices(batches, TEXTS):
             texts = [t.encode() for t in batch.column("text").to_pylist()]
             found = Pieces(texts, size)
             hit = np.flatnonzero(in_bitmap(some, found.content))

@@ -452,6 +452,25 @@ def test_substring(spark, odd, none, monkeypatch, crowded):
         assert substring.remove_repeats(none).count() == 0
 
 
+def test_substring_sends_once(spark, monkeypatch):
+    """Crowded anchors or not, the texts are gone through once for the pieces that are sent."""
+    monkeypatch.setattr(substring, "KINDS", 2)
+    read, sending = spark.sparkContext.accumulator(0), substring._send
+
+    def counted(rows, *rest):
+        def note(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        return sending(rows.mapInArrow(note, rows.schema), *rest)
+
+    monkeypatch.setattr(substring, "_send", counted)
+    texts = {i: " ".join([*(f"{i}x{k}" for k in range(i)), *"a b c d e f g h i j k l m n o p".split(), *(f"{i}y{k}" for k in range(9))]) for i in range(12)}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == removed_by_force(texts) and read.value == len(texts)
+
+
 def test_automaton():
     rng = random.Random(6)
     texts = [[rng.randint(0, 2) for _ in range(rng.randint(0, 30))] for _ in range(20)]
